@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import WordHash, arrow_rows, bounded_batches, chunked, shingle_hashes, written
 
 WORDS, SHARE = 5, (3, 4)
-#: Lists up to so long give all their pairs; shingles counted so often in one task are reported as frequent, the
-#: most frequent of them are ordered last; bits of a sketch for each shingle; shingles of one task's block of a group.
-SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_MOST, BLOCK_SHINGLES = 24, 4, 250_000, 3_000_000
+#: Lists up to so long give all their pairs; shingles that come so often in one task are counted over all tasks;
+#: those with such a sum, the most frequent ones up to so many, are ordered last; shingles of one task's block of a group.
+SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 6, 500_000, 4_000_000
 #: Index entries and sets that one task is dealt.
 ENTRIES_A_TASK = 1_500_000
 MU = 0.0085  # DivideSkip's weight of probing against merging
@@ -187,8 +187,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-_SETS = "doc_id long, n long, name long"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64())])
+_SETS = "doc_id long, n long, name long, sketch binary"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("sketch", pa.binary())])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def set_names(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, name of the set) of every document, and (shingle, n) of the frequent ones; one pass over the texts."""
+    """(doc_id, n, name, sketch of the set) of every document, and (shingle, times) of those that come often; one pass over the texts."""
     bounded_batches(docs.sparkSession)
     words = WORDS
 
@@ -220,7 +220,7 @@ def set_names(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for doc_id, text in arrow_rows([batch]):
                 s = shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), hashes, words)
                 name = class_of(s) if len(s) else 0
-                rows.append((doc_id, len(s), name, None, None))
+                rows.append((doc_id, len(s), name, sketch(s) if len(s) else None, None, None))
                 if len(s) and name not in names:  # exact copies count once in a task
                     names.add(name)
                     seen.append(s)
@@ -230,11 +230,11 @@ def set_names(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield from chunked(rows, both, 20_000)
         v, c = counted(seen)
         often = c >= FREQUENT_IN_TASK
-        yield from chunked(((None, None, None, x, y) for x, y in zip(v[often].view(np.int64).tolist(), c[often].tolist(), strict=True)), both, 20_000)
+        yield from chunked(((None, None, None, None, x, y) for x, y in zip(v[often].view(np.int64).tolist(), c[often].tolist(), strict=True)), both, 20_000)
 
     both = pa.schema([*_SETS_ARROW, ("shingle", pa.int64()), ("times", pa.int64())])
     out = written(_texts(docs).mapInArrow(named, _SETS + ", shingle long, times long"), "sets")
-    return out.where("n is not null").select("doc_id", "n", "name"), out.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    return out.where("n is not null").select("doc_id", "n", "name", "sketch"), out.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
 
 
 def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -337,17 +337,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, schema: str, arrow: pa.Schema,
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    spark = docs.sparkSession
     sets, counts = set_names(docs)
     classes = written(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    frequent = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT_MOST).collect()], np.int64).view(np.uint64))
+    frequent = np.sort(np.array([r[0] for r in counts.where(F.col("times") >= FREQUENT_LEAST).orderBy(F.desc("times"), "shingle").limit(FREQUENT_MOST).collect()], np.int64).view(np.uint64))
     entries = int(classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0)
     pairs, stars = candidate_pairs(docs, frequent, entries)
 
     # Sketches of the sets in pairs; a pair that can't link goes.
     ends = pairs.selectExpr("inline(array(struct(a as name), struct(b as name)))").distinct()
     of_pairs = classes.join(ends, "name").select(F.col("least").alias("doc_id"), "name")
-    sketches = written(_sets_of(docs, of_pairs, "name long, sketch binary", pa.schema([("name", pa.int64()), ("sketch", pa.binary())]), lambda s, rest: (rest[0], sketch(s))).dropDuplicates(["name"]), "sketches")
+    sketches = written(of_pairs.join(sets.where("n > 0").select("doc_id", "sketch"), "doc_id").groupBy("name").agg(F.first("sketch").alias("sketch")), "sketches")
     drawn = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,12 +376,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=link)
 
     links = written(tasks.groupBy("c", "i", "j").applyInArrow(linked, "a long, b long").where("a <> b"), "links")
-    final = components(links).withColumnRenamed("v", "name")
+    whole = (cut.agg(F.max("blocks")).first()[0] or 1) == 1  # each group was one task: its links are stars around the least
+    final = (links.select(F.col("b").alias("name"), F.col("a").alias("c")).unionByName(links.select(F.col("a").alias("name"), F.col("a").alias("c")).distinct()) if whole else components(links).withColumnRenamed("v", "name"))
     least = classes.join(final, "name").groupBy("c").agg(F.min("least").alias("component_id"))
     by_class = final.join(least, "c").select("name", "component_id")
     of_class = classes.join(by_class, "name", "left").select("name", F.coalesce("component_id", "least").alias("component_id"))
-    out = sets.join(of_class, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    del spark
+    out = sets.select("doc_id", "n", "name").join(of_class, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out
 
 
