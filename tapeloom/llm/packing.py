@@ -4,9 +4,10 @@ Every document becomes byte-level BPE ids and one end id. A document longer than
 the remainder, the others are full. Pieces are then packed:
 
 1. each partition packs its pieces by best-fit decreasing;
-2. dual-feasible functions give a lower bound of the bins its pieces need; a partition that meets it is certified;
-3. partitions with a gap release their emptiest bins; these documents meet in fewer partitions and are packed again, until
-   no gap is left or one partition holds all that was released. Each round moves few bins and no texts.
+2. dual-feasible functions give a lower bound of the bins that its pieces need, and of those that all pieces need;
+3. while all bins are more than the bound of all, partitions release their emptiest bins, by the gap to their own bound;
+   these documents meet in fewer partitions and are packed again, until the bound is met (the packing is certified) or one
+   partition holds all that was released. Each round moves few bins and no texts.
 
 Null and empty texts have the end id alone and are packed like others. Repeated rows (also of one doc_id) are packed once
 each. An empty table gives an empty result. Extra columns are ignored, whatever their names.
@@ -116,14 +117,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def release(lengths: np.ndarray, place: np.ndarray, fill: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Bins to give up where the bound isn't met: the emptiest, until their free room makes up the gap and one bin more."""
+    """Bins to give up: the emptiest, until their free room makes up the gap to the bound and one bin more. A partition that
+    meets its own bound still gives one bin's worth of room, as the bound of all may be lower than the sum of theirs."""
     gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1))
     given = np.zeros(len(fill), bool)
-    if gap > 0:
-        order = np.argsort(fill, kind="stable")
-        room = np.cumsum(capacity - fill[order])
-        given[order[: int(np.searchsorted(room, (gap + 1) * capacity)) + 1]] = True
-    return given
+    order = np.argsort(fill, kind="stable")
+    room = np.cumsum(capacity - fill[order])
+    given[order[: int(np.searchsorted(room, (gap + 1) * capacity)) + 1]] = True
+    return given & (fill < capacity)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
@@ -133,7 +134,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECE
     base = [f.name for f in pieces.schema]
     held = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
     done: list[DataFrame] = []
-    left, total, rounds = pieces, pieces.count(), 0
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a length
+        counts[row["length"]] = row["n"]
+    bound, closed = lower_bound(counts), 0
+    left, total, rounds = pieces, int(counts.sum()), 0
     tasks = max(1, -(-total // pieces_a_task))
     while True:
         tag, last = rounds << 56, tasks == 1
@@ -142,9 +147,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECE
             from pyspark import TaskContext
 
             task = TaskContext.get().partitionId()
-            table = pa.Table.from_batches(list(batches), _PIECES)
-            if not table.num_rows:
+            held_batches = [b for b in batches if b.num_rows]
+            if not held_batches:
                 return
+            table = pa.Table.from_batches(held_batches).cast(_PIECES)
             lengths = table["length"].to_numpy().astype(np.int64)
             place, offset, fill = best_fit_decreasing(lengths, capacity)
             given = np.zeros(len(fill), bool) if last else release(lengths, place, fill, capacity)
@@ -154,13 +160,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECE
         # Dealt by a hash of what a piece is, so that a rerun task meets the same pieces and hot documents spread.
         dealt = left.select(*base).repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32")) if tasks > 1 else left.select(*base).coalesce(1)
         out = written(dealt.sortWithinPartitions("length", "doc_id", "piece", "ids_crc32").mapInArrow(packed, PIECE_SCHEMA + ", sequence_id long, offset long, open boolean"), "packed")
-        done.append(out.where(~F.col("open")).drop("open"))
-        if last:
-            break
-        left = out.where("open")
-        open_pieces = left.count()
-        if not open_pieces:
+        bins = out.groupBy("open").agg(F.count(F.when(F.col("offset") == 0, 1)).alias("bins"), F.count(F.lit(1)).alias("n")).collect()
+        if last or closed + sum(r["bins"] for r in bins) == bound or not any(r["open"] for r in bins):  # certified, or none left
+            done.append(out.drop("open"))
             break
+        done.append(out.where(~F.col("open")).drop("open"))
+        left, open_pieces = out.where("open"), sum(r["n"] for r in bins if r["open"])
+        closed += sum(r["bins"] for r in bins if not r["open"])
         rounds += 1
         tasks = min(max(1, tasks // 4), max(1, -(-open_pieces // pieces_a_task)))
     result = done[0]
