@@ -290,6 +290,24 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_no_leak_of_short_unaligned_or_edited_items_is_lost(spark):
+    items = [(i, prose(2_000 + i, n)) for i, n in enumerate((8, 9, 12, 15, 18, 25, 40, 59) * 3)]
+    rng = random.Random(8)
+    texts = []
+    for i, item in items:
+        w = item.split()
+        if i >= 8:  # every fourth word changed at most
+            for k in rng.sample(range(len(w)), len(w) // 4):
+                w[k] = f"edit{k}"
+        around = [f"other{rng.randrange(10**6)}" for _ in range(2 * rng.randrange(3, 60) + 1)]
+        cut = len(around) // 2
+        texts.append(" ".join(around[:cut] + w + around[cut:]))
+    texts += [prose(2_100 + i, 400) for i in range(20)]
+    want = decontamination.brute_force(list(enumerate(texts)), items)
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect() if r.lcs_share >= 0.7}
+    assert got == want >= {(i, i) for i, _ in items}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_common_subsequence(a, b):
