@@ -308,6 +308,17 @@ def test_no_leak_of_short_unaligned_or_edited_items_is_lost(spark):
     assert got == want >= {(i, i) for i, _ in items}
 
 
+@pytest.mark.parametrize("fit_passages", [500, 2_000, 20_000])
+def test_fitting_sample_has_its_size_in_a_large_table(spark, fit_passages):
+    total, seed = 40_000, 11
+    numbers = decontamination.Numbers({b"a": 0})
+    docs = spark.range(4_000).select("id", F.repeat(F.lit("a "), 640).alias("text")).toDF("doc_id", "text")
+    portion = fit_passages / total
+    rows = ((r.doc_id, r.text) for r in decontamination.sampled_documents(docs, portion, seed).toLocalIterator())
+    n = sum(1 for _ in decontamination.fit_sample(rows, numbers, portion, seed))
+    assert 0.8 * fit_passages < n < 1.2 * fit_passages
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_common_subsequence(a, b):
