@@ -308,6 +308,18 @@ def test_no_leak_of_short_unaligned_or_edited_items_is_lost(spark):
     assert got == want >= {(i, i) for i, _ in items}
 
 
+def test_copies_of_long_items_and_of_their_ends(spark):
+    # The words around and in the items are of one vocabulary, as in prose.
+    items = [(i, prose(3_000 + i, n)) for i, n in enumerate((100, 200, 300, 400, 430, 700, 1_000))]
+    texts = [prose(3_100 + i, 150) + " " + item + " " + prose(3_200 + i, 77) for i, item in items]
+    texts += [prose(3_300 + i, 60) + " " + " ".join(items[i][1].split()[-400:]) for i in (4, 5, 6)]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.lcs_share) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {(i, i, 1.0) for i in range(7)} | {(7, 4, 1.0), (8, 5, 1.0), (9, 6, 1.0)}
+    parts = decontamination.Items([(i, t, None) for i, t in items])
+    assert all(words[-1:] == decontamination.terms_of(items[i][1])[-1:] for i, words in {i: w for i, w in zip(parts.ids, parts.words, strict=True)}.items())
+
+
 @pytest.mark.parametrize("fit_passages", [500, 2_000, 20_000])
 def test_fitting_sample_has_its_size_in_a_large_table(spark, fit_passages):
     total, seed = 40_000, 11
