@@ -264,6 +264,16 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan_licenses(files.limit(0)).count() == 0
 
 
+def test_term_frequencies_are_over_all_files(spark):
+    texts = [None, "", "Released under the MIT License.", "(license), no-cue: \"permitted\"", "under the hill", "Licensed to the public", prose(4_000)] + ["This work is licensed under a license."] * 40 + [prose(4_001 + i) for i in range(150)]
+    got, total = licenses.term_frequencies(documents(spark, texts))
+    wanted = {w for _, t in licenses.TEMPLATES for w in licenses.terms(t)}
+    plain = Counter(w for t in texts for w in wanted & set(licenses.terms(t or "")))
+    assert total == len(texts) and {w: n for w, n in got.items() if n} == plain and got["license"] == 42
+    scanner = licenses.Scanner(got, total)
+    assert scanner.scan("Released under the MIT License.", "a/b.txt")[0] == "MIT" and scanner.scan("Licensed under the Foo License.", "a/b.txt")[0] is None
+
+
 # Decontamination
 
 
