@@ -1,9 +1,9 @@
 """URL filters by a temporal list join: what a dated block list said of a page when it was fetched.
 
 List entries are dated events (entry, action, listed_on): `block`, `allow` or `remove` of a host, of a parent domain or of a
-path prefix (host/segment). Per entry and date the last event of a day (by action's name where a day has several) opens a
-validity interval that the entry's next event closes. A capture is looked up under each of its keys: its path prefixes, its
-host, and the host's parent domains. The as-of join matches an interval that holds the fetch time; the most specific match
+path prefix (host/segment/...). Per entry each event opens a validity interval that the entry's next event closes; events and
+captures go by time, a date being its midnight (of several events at one time the greatest action name counts). A capture is
+looked up under each of its keys: its path prefixes, as deep as the list's deepest entry, its host, and the host's parent domains. The as-of join matches an interval that holds the fetch time; the most specific match
 decides, and captures without one pass.
 
 Both sides are dealt by key and month, so the captures of one hot host are spread over the months, and Spark splits
@@ -20,9 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fixed value: path segments that a path entry can have.
-PATH_DEPTH = 2
-
 
 def url_keys(url: str = "url") -> tuple:
     """Expressions: host (lower case, without port and user), and the array of (key, rank) from the most specific on."""
@@ -33,33 +30,34 @@ def url_keys(url: str = "url") -> tuple:
 
 def list_intervals(events: DataFrame) -> DataFrame:
     """(entry, action, valid_from, valid_to) with valid_to open at the end; `remove` closes and opens nothing."""
-    day = events.where("entry is not null and listed_on is not null").select(F.lower("entry").alias("entry"), "action", F.to_date("listed_on").alias("day"))
-    last = day.groupBy("entry", "day").agg(F.max("action").alias("action"))
-    # The events of one entry are its history: as many as days on which it changed.
-    span = last.withColumn("valid_to", F.lead("day").over(Window.partitionBy("entry").orderBy("day")))
-    return span.where("action in ('block', 'allow')").select("entry", "action", F.col("day").alias("valid_from"), "valid_to")
+    listed = events.where("entry is not null and listed_on is not null").select(F.lower("entry").alias("entry"), "action", F.to_timestamp("listed_on").alias("at"))
+    last = listed.groupBy("entry", "at").agg(F.max("action").alias("action"))
+    # The events of one entry are its history: as many as times at which it changed.
+    span = last.withColumn("valid_to", F.lead("at").over(Window.partitionBy("entry").orderBy("at")))
+    return span.where("action in ('block', 'allow')").select("entry", "action", F.col("at").alias("valid_from"), "valid_to")
 
 
 def judge_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     """page_id, host, fetched_on, matched_entry, action, kept of every capture (page_id, url, fetched_on)."""
     host, path = url_keys()
-    rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.to_date("fetched_on").alias("fetched_on"))
+    rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.to_date("fetched_on").alias("fetched_on"), F.to_timestamp("fetched_on").alias("_at"))
     rows = rows.withColumn("host", F.expr(f"nullif({host}, '')")).withColumn("_path", F.expr(f"filter(split({path}, '/'), x -> x <> '')"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    keys = f"""array_distinct(concat(
-        transform(sequence(least(size(_path), {PATH_DEPTH}), 0, -1), i -> struct(lower(concat_ws('/', host, slice(_path, 1, i))) as key, 100 + i as rank)),
+    deepest = events.agg(F.coalesce(F.max(F.size(F.split("entry", "/")) - 1), F.lit(0)).alias("_depth"))  # one row
+    keys = """array_distinct(concat(
+        transform(sequence(least(size(_path), _depth), 0, -1), i -> struct(lower(concat_ws('/', host, slice(_path, 1, i))) as key, 100 + i as rank)),
         transform(filter(sequence(2, size(split(host, '[.]'))), i -> i < size(split(host, '[.]'))),
                   i -> struct(concat_ws('.', slice(split(host, '[.]'), size(split(host, '[.]')) - i + 1, i)) as key, i as rank))))"""
-    keyed = rows.where("host is not null and fetched_on is not null").select("_row", "page_id", "fetched_on", F.expr(f"inline({keys})")).withColumn("month", F.trunc("fetched_on", "month"))
+    keyed = rows.where("host is not null and fetched_on is not null").crossJoin(F.broadcast(deepest)).select("_row", "page_id", "fetched_on", "_at", F.expr(f"inline({keys})")).withColumn("month", F.trunc("fetched_on", "month"))
     bounds = rows.agg(F.trunc(F.min("fetched_on"), "month").alias("first"), F.trunc(F.max("fetched_on"), "month").alias("last"))  # one row
     spans = (
         list_intervals(events)
         .crossJoin(F.broadcast(bounds))  # with one row: the range of the captures
         .where("first is not null and valid_from < add_months(last, 1) and (valid_to is null or valid_to > first)")
-        .withColumn("month", F.expr("explode(sequence(greatest(trunc(valid_from, 'month'), first), least(coalesce(trunc(date_sub(valid_to, 1), 'month'), last), last), interval 1 month))"))
+        .withColumn("month", F.expr("explode(sequence(greatest(trunc(valid_from, 'month'), first), least(coalesce(trunc(valid_to - interval 1 microsecond, 'month'), last), last), interval 1 month))"))
         .select(F.col("entry").alias("key"), "month", "action", "valid_from", "valid_to")
     )
-    hits = keyed.join(spans, ["key", "month"]).where("fetched_on >= valid_from and (valid_to is null or fetched_on < valid_to)")
+    hits = keyed.join(spans, ["key", "month"]).where("_at >= valid_from and (valid_to is null or _at < valid_to)")
     best = hits.groupBy("_row").agg(F.max(F.struct("rank", "key", "action")).alias("hit"))
     out = rows.select("_row", "page_id", "host", "fetched_on").join(best, "_row", "left")
     return out.select("page_id", "host", "fetched_on", F.col("hit.key").alias("matched_entry"), F.col("hit.action").alias("action"), F.coalesce(F.col("hit.action") != "block", F.lit(True)).alias("kept"))

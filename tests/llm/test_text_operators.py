@@ -251,6 +251,14 @@ def test_lists_as_of_the_fetch(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_deep_entries_and_times_within_a_day(spark):
+    at = ["2024-01-31 09:00:00", "2024-01-31 11:00:00", "2024-02-01 01:00:00", "2024-02-01 05:00:00"]
+    pages = spark.createDataFrame([(k, "http://h.com/a/b/c/d?x", t) for k, t in enumerate(at)] + [(9, "http://h.com/a/b/x", at[3])], "page_id long, url string, fetched_on string")
+    events = spark.createDataFrame([("h.com/a/b/c", "block", "2024-01-31 08:00:00"), ("h.com/a/b/c", "remove", "2024-01-31 10:00:00"), ("h.com/a/b/c", "block", "2024-01-31 12:00:00"), ("h.com/a/b/c", "remove", "2024-02-01 04:00:00")], "entry string, action string, listed_on string")
+    got = {r.page_id: (r.matched_entry, r.kept) for r in url_filters.judge_captures(pages, events).collect()}
+    assert got == {0: ("h.com/a/b/c", False), 1: (None, True), 2: ("h.com/a/b/c", False), 3: (None, True), 9: (None, True)}
+
+
 # Licences
 
 
