@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
@@ -51,13 +52,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local"):  # one machine: any of its folders is shared
         base = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.sparkContext.setCheckpointDir(base)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -87,6 +90,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name made from `name` that is none of those taken, whatever their case."""
+    name, taken = f"_{name}", {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str, share: int = 1_000) -> DataFrame:
+    """left joined ("inner" or "left") with right, which has one row a key, where a key may hold any part of left's rows.
+
+    Keys with more than 1/share of left's rows are at most `share` by their count: right's rows of these are broadcast, and
+    left's stay where they are. All others are joined by a shuffle, in which no key has more than 1/share of the rows. left is
+    read once more to count; give a written table.
+    """
+    times = fresh("times", left.columns)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(times))
+    n = left.count()
+    hot = [row[0] for row in counts.where(F.col(times) * share > n).select(key).collect()] if n else []  # fewer than `share`
+    if not hot:
+        return left.join(right, key, how)
+    held = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = left.where(held).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
+    return few.unionByName(left.where(~held).join(right, key, how))
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+`: bytes.split() parts exactly at these six ASCII characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -1,24 +1,28 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Two documents link when their sets of 5-word shingles have a Jaccard similarity of at least 3/4; documents without words
-link with nothing. Nothing here is approximate but for 64-bit hashes that stand for shingles. The steps:
+link with nothing. Nothing here is approximate but for 64-bit hashes that stand for shingles (63 bits for whole sets). The steps:
 
 1. *Classes.* Documents with equal sets form a class (one row a class from here on, however many copies it has).
 2. *Index.* In any fixed order of shingles, linked sets share one among the first |A| - ceil(3|A|/4) + 1 of each. The order
    is by hash, with the most frequent shingles (counted over all documents) last, so that passages common to many documents
    give no lists of candidates. Those first shingles are the inverted index, dealt out by hash ranges.
-3. *Candidates.* A short list gives its pairs of fitting sizes; a long list (near copies by the hundred) gives only a star.
-   A pair's parity sketches must differ in at most as many bits as two linked sets may differ in shingles, a bound that
-   loses no link.
-4. *Candidate groups.* Connected components over candidates, by hash-to-min with pointer jumping; every linked pair lies
-   within one. Each set of a group then travels once.
-5. *DivideSkip.* Within a group each set is a query: its longest inverted lists are set aside, the shorter ones are merged
-   and count occurrences, and only sets that reach T minus the number of long lists are probed in these by binary search.
-   Sets already known to be connected aren't compared. A group too large for a task is cut into blocks, and each pair of
-   blocks is a task; their links are joined by one more run of the components.
-
-Null and empty texts: n_shingles 0 and a component of their own. Repeated rows of one doc_id are one document. Null doc_ids are
-documents of one id, null, that never is a component's least while another exists. An empty table gives an empty result.
+3. *Candidates.* A short list gives its pairs of fitting sizes, which must also pass a bound: parity sketches differ in at
+   most as many bits as two linked sets may differ in shingles. A long list (near copies by the hundred) gives only a star.
+4. *Candidate groups.* Connected components over candidates, by hash-to-min with pointer jumping until nothing changes; every
+   linked pair lies within one.
+5. *DivideSkip.* Within a group a set is a query: its longest inverted lists are set aside, the shorter ones are merged (they
+   are sorted runs) and count occurrences, and only sets that reach T minus the number of long lists are probed in these by
+   binary search. One hub is asked first; sets that it links with need no query of their own, as a link between two components
+   has an end outside the hub's. So a group of near copies of one text costs work in proportion to it.
+6. *Large groups* are cut into blocks of bounded size, the hub in each; the sets that aren't connected to it are then asked
+   against every block.
+
+Joins on keys that may be hot (a class with very many copies, a group with very many classes) go through `hot_join`.
+
+Null and empty texts: n_shingles 0 and a component of their own. Very long texts are one set like others, in whole. Repeated
+rows of one doc_id have one component; rows of one doc_id with different texts are judged by their own text. Null doc_ids are never a
+component's least while another exists. Ties: a component's id is its least doc_id. An empty table gives an empty result.
 Extra columns are ignored, whatever their names.
 """
 
@@ -31,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_rows, bounded_batches, chunked, shingle_hashes, written
+from .common import WordHash, arrow_rows, bounded_batches, chunked, fresh, hot_join, shingle_hashes, written
 
 WORDS, SHARE = 5, (3, 4)
 #: Lists up to so long give all their pairs; shingles that come so often in one task are counted over all tasks;
 #: those with such a sum, the most frequent ones up to so many, are ordered last; shingles of one task's block of a group.
-SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 6, 500_000, 4_000_000
-#: Index entries and sets that one task is dealt.
-ENTRIES_A_TASK = 1_500_000
+SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 6, 500_000, 500_000
+#: Index entries that one task is dealt, rows of pairs that a task holds at once, names and words it remembers.
+ENTRIES_A_TASK, PAIRS_AT_ONCE, NAMES_KEPT, WORDS_KEPT = 1_000_000, 500_000, 100_000, 150_000
 MU = 0.0085  # DivideSkip's weight of probing against merging
 
 
@@ -102,61 +106,58 @@ class Groups:
             self.up[max(a, b)] = min(a, b)
 
 
-def divide_skip(sets: list[np.ndarray], blocks: list[int] | None = None) -> Groups:
-    """Connects linked sets (sorted arrays of distinct hashes). With blocks 0 and 1, only links between the two are looked for."""
+def divide_skip(sets: list[np.ndarray], ask: list[bool] | None = None, hub: int | None = None) -> Groups:
+    """Connects linked sets (sorted arrays of distinct hashes). With `ask`, only links that have an end among those are looked for."""
     n = len(sets)
     groups = Groups(n)
     sizes = np.array([len(s) for s in sets], np.int64)
     by_size = np.argsort(sizes, kind="stable")
+    sized = sizes[by_size]
     flat = np.concatenate([sets[i] for i in by_size])
-    owner = np.repeat(np.arange(n), sizes[by_size])  # in the order of sizes
     order = np.argsort(flat, kind="stable")
-    values, owners = flat[order], owner[order]
+    values, owners = flat[order], np.repeat(np.arange(n, dtype=np.int32), sized)[order]  # owners in the order of sizes
     edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
     ends = np.append(edge[1:], len(values))
-    number = np.empty(len(flat), np.int64)
-    number[order] = np.repeat(np.arange(len(edge)), ends - edge)
-    starts = np.concatenate(([0], np.cumsum(sizes[by_size])))
-    part = None if blocks is None else np.array(blocks)[by_size]
-    sized = sizes[by_size]
+    del flat, values
+    number = np.empty(len(order), np.int32)
+    number[order] = np.repeat(np.arange(len(edge), dtype=np.int32), ends - edge)
+    del order
+    starts = np.concatenate(([0], np.cumsum(sized)))
     find = groups.root
-    for q in range(1, n):
-        size = int(sized[q])
+
+    def query(q: int) -> None:
+        """Connects the set q with all that it links with."""
+        size, me = int(sized[q]), int(by_size[q])
         lists = number[starts[q] : starts[q + 1]]
-        first = int(np.searchsorted(sized, -(-SHARE[0] * size // SHARE[1])))  # smaller sets can't link
-        if first >= q:
-            continue
+        first = int(np.searchsorted(sized, -(-SHARE[0] * size // SHARE[1])))  # smaller and larger sets can't link
+        last = int(np.searchsorted(sized, SHARE[1] * size // SHARE[0], "right"))
         lo, hi = edge[lists], ends[lists]
         lengths = hi - lo
-        t = int(least_overlap(size, sized[first]))
         longest = int(lengths.max())
-        if longest < 2:
-            continue
+        if longest < 2 or last - first < 2:
+            return
+        t = int(least_overlap(size, sized[first]))
         aside = min(t - 1, int(t / (MU * np.log2(longest) + 1)))
         rank = np.argsort(lengths, kind="stable")
         short, long = rank[: len(rank) - aside], rank[len(rank) - aside :]
-        # Merging sorted runs: a stable sort of their concatenation is such a merge.
         runs = [owners[lo[k] : hi[k]] for k in short if hi[k] - lo[k] > 1]
         if not runs:
-            continue
-        merged = np.sort(np.concatenate(runs), kind="stable")
-        merged = merged[(merged >= first) & (merged < q)]
+            return
+        merged = np.sort(np.concatenate(runs), kind="stable")  # a stable sort of sorted runs merges them
+        merged = merged[(merged >= first) & (merged < last) & (merged != q)]
         if not len(merged):
-            continue
+            return
         at = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
         found, count = merged[at], np.diff(np.append(at, len(merged)))
         need = least_overlap(size, sized[found])
         keep = count + aside >= need
-        if part is not None:
-            keep &= part[found] != part[q]
-        me = int(by_size[q])
         best = np.argsort(-(count[keep] / need[keep]), kind="stable")
         for c, have, most in zip(found[keep][best].tolist(), count[keep][best].tolist(), need[keep][best].tolist(), strict=True):
             other = int(by_size[c])
             if find(other) == find(me):
                 continue
             left = aside
-            for k in long[::1]:
+            for k in long:
                 if have >= most or have + left < most:
                     break
                 x, y = lo[k], hi[k]
@@ -165,43 +166,62 @@ def divide_skip(sets: list[np.ndarray], blocks: list[int] | None = None) -> Grou
                 left -= 1
             if have >= most:
                 groups.join(me, other)
+
+    if ask is None:
+        if hub is None:  # the set whose lists are longest: it lies where most sets are alike
+            mean = np.add.reduceat((ends - edge)[number].astype(np.float64), starts[:-1]) / sized
+            at = int(np.argmax(mean))
+        else:
+            at = int(np.flatnonzero(by_size == hub)[0])
+        query(at)
+        hub = int(by_size[at])
+    for q in range(n):
+        me = int(by_size[q])
+        if (find(me) != find(hub)) if ask is None else ask[me]:
+            query(q)
     return groups
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, c): each end of an edge (a, b) with the least end of its component.
 
-    Every round takes the least label among neighbours and then the label of that label, over written tables.
+    Every round takes the least label among neighbours and then the label of that label, over written tables, until no label
+    changes: labels only fall, so it ends.
     """
     both = written(edges.select("a", "b").where("a <> b").distinct().selectExpr("inline(array(struct(a as v, b as w), struct(b as v, a as w)))"), "edges")
     labels = written(both.groupBy("v").agg(F.min("w").alias("c")).select("v", F.least("v", "c").alias("c")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("v").alias("w"), "c"), "w").groupBy("v").agg(F.min("c").alias("c"))
-        lower = labels.alias("l").join(near.alias("n"), "v").select("v", F.least("l.c", "n.c").alias("c"), F.col("l.c").alias("was"))
-        jumped = lower.alias("l").join(lower.select(F.col("v").alias("u"), F.col("c").alias("top")).alias("t"), F.col("l.c") == F.col("t.u"), "left").select("v", F.least("c", F.coalesce("top", "c")).alias("c"), "was")
-        now = written(jumped, "labels")
-        changed = now.where("c <> was").limit(1).count()
+    while True:
+        near = hot_join(both, labels.select(F.col("v").alias("w"), "c"), "w", "inner").groupBy("v").agg(F.min("c").alias("c"))
+        lower = written(labels.alias("l").join(near.alias("n"), "v").select("v", F.least("l.c", "n.c").alias("c"), F.col("l.c").alias("was")), "lower")
+        tops = lower.select(F.col("v").alias("c"), F.col("c").alias("top"))
+        now = written(hot_join(lower, tops, "c", "left").select("v", F.least("c", F.coalesce("top", "c")).alias("c"), "was"), "labels")
         labels = now.select("v", "c")
-        if not changed:
+        if not now.where("c <> was").take(1):
             return labels
-    raise RuntimeError("components did not settle")
 
 
-_SETS = "doc_id long, n long, name long, sketch binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("sketch", pa.binary())])
+_SETS = "row_key long, doc_id long, n long, name long, sketch binary"
+_SETS_ARROW = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("sketch", pa.binary())])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """row_key (equal for repeated rows alone), doc_id and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select(F.xxhash64("doc_id", F.lit("."), "text").alias("row_key"), "doc_id", "text")
+
+
+def _set_of(text: str | None, hashes: WordHash) -> np.ndarray:
+    return shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), hashes, WORDS)
 
 
 def set_names(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, name, sketch of the set) of every document, and (shingle, times) of those that come often; one pass over the texts."""
+    """(row_key, doc_id, n, name, sketch of the set) of every document, and (shingle, times) of those that come often; one pass over the texts."""
     bounded_batches(docs.sparkSession)
-    words = WORDS
+    both = pa.schema([*_SETS_ARROW, ("shingle", pa.int64()), ("times", pa.int64())])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held = WordHash(), [], 0
+        hashes, names = WordHash(WORDS_KEPT), set()
+        seen, held = [], 0
         counts = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
         def counted(parts):
@@ -214,27 +234,50 @@ def set_names(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             n = np.add.reduceat(c, at) if len(v) else c
             return v[at][n > 1], n[n > 1]
 
-        names = set()
         for batch in batches:
             rows = []
-            for doc_id, text in arrow_rows([batch]):
-                s = shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), hashes, words)
+            for row_key, doc_id, text in arrow_rows([batch]):
+                s = _set_of(text, hashes)
                 name = class_of(s) if len(s) else 0
-                rows.append((doc_id, len(s), name, sketch(s) if len(s) else None, None, None))
-                if len(s) and name not in names:  # exact copies count once in a task
+                rows.append((row_key, doc_id, len(s), name, sketch(s) if len(s) else None, None, None))
+                if len(s) and name not in names:  # exact copies near each other count once in a task
+                    if len(names) >= NAMES_KEPT:
+                        names.clear()
                     names.add(name)
                     seen.append(s)
                     held += len(s)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 counts, seen, held = counted(seen), [], 0
             yield from chunked(rows, both, 20_000)
         v, c = counted(seen)
         often = c >= FREQUENT_IN_TASK
-        yield from chunked(((None, None, None, None, x, y) for x, y in zip(v[often].view(np.int64).tolist(), c[often].tolist(), strict=True)), both, 20_000)
+        yield from _columns(both, (None, None, None, None, None, v[often].view(np.int64), c[often]))
 
-    both = pa.schema([*_SETS_ARROW, ("shingle", pa.int64()), ("times", pa.int64())])
     out = written(_texts(docs).mapInArrow(named, _SETS + ", shingle long, times long"), "sets")
-    return out.where("n is not null").select("doc_id", "n", "name", "sketch"), out.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    return out.where("n is not null").select("row_key", "doc_id", "n", "name", "sketch"), out.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+
+
+def _columns(schema: pa.Schema, columns: tuple, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Numpy columns (None: all null) as Arrow batches."""
+    n = max(len(x) for x in columns if x is not None)
+    for at in range(0, n, size):
+        k = min(size, n - at)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, f.type) if x is None else pa.array(x[at : at + k], f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def frequent_shingles(counts: DataFrame) -> np.ndarray:
+    """The shingles of the greatest counts, FREQUENT_MOST at most, sorted: all from a count on that a histogram by eighths of
+    powers of two gives, so that no shingle of an equal eighth is taken without the others."""
+    often = counts.where(F.col("times") >= FREQUENT_LEAST).withColumn("step", F.floor(8 * F.log2("times")).cast("int"))
+    total, least = 0, None
+    for row in often.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # at most 8 x 63 rows
+        total += row["n"]
+        if total > FREQUENT_MOST:
+            break
+        least = row["step"]
+    if least is None:
+        return np.empty(0, np.uint64)
+    return np.sort(often.where(F.col("step") >= least).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))  # FREQUENT_MOST numbers at most
 
 
 def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -248,17 +291,60 @@ def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~hot], s[hot]))[:k]
 
 
+ENTRY = np.dtype([("s", "<u8"), ("name", "<i8"), ("n", "<i4")])
+
+
+def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple[bool, tuple]]:
+    """(star, (a, b, n, m)) of the lists of an index part, in slices of PAIRS_AT_ONCE rows or a little more, distinct within a slice."""
+    order = np.lexsort((table["name"], table["s"]))
+    s, names, sizes = (table[c][order] for c in ("s", "name", "n"))
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (names[1:] != names[:-1])))  # copies met in other tasks
+    s, names, sizes = s[new], names[new], sizes[new]
+    cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    lengths = np.diff(np.append(cuts, len(s)))
+
+    def distinct(parts: list[tuple]) -> tuple:
+        a, b, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((b, a))
+        a, b, n, m = a[order], b[order], n[order], m[order]
+        keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return a[keep], b[keep], n[keep], m[keep]
+
+    def slices() -> Iterator[tuple[bool, tuple]]:
+        for k in range(2, short + 1):
+            at = cuts[lengths == k]
+            i, j = np.triu_indices(k, 1)
+            step = max(1, PAIRS_AT_ONCE // len(i))
+            for x in range(0, len(at), step):
+                rows = at[x : x + step, None] + np.arange(k)
+                n, m = sizes[rows[:, i]].ravel(), sizes[rows[:, j]].ravel()
+                fit = (SHARE[0] * n <= SHARE[1] * m) & (SHARE[0] * m <= SHARE[1] * n)
+                yield False, (names[rows[:, i]].ravel()[fit], names[rows[:, j]].ravel()[fit], n[fit], m[fit])
+        for x, k in zip(cuts[lengths > short].tolist(), lengths[lengths > short].tolist(), strict=True):
+            yield True, (np.full(k - 1, names[x]), names[x + 1 : x + k], np.full(k - 1, sizes[x]), sizes[x + 1 : x + k])
+
+    held: list[tuple] = []
+    count, kind = 0, False
+    for star, part in slices():
+        if held and (star != kind or count >= PAIRS_AT_ONCE):
+            yield kind, distinct(held)
+            held, count = [], 0
+        held.append(part)
+        count, kind = count + len(part[0]), star
+    if held:
+        yield kind, distinct(held)
+
+
 def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) of names whose index parts meet: pairs of short lists, and stars of long ones."""
     spark = docs.sparkSession
     parts = max(1, -(-entries // ENTRIES_A_TASK), min(spark.sparkContext.defaultParallelism, -(-entries // 100_000)))
     shared = spark.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
-    words, short = WORDS, SHORT_LIST
-    entry = np.dtype([("s", "<u8"), ("name", "<i8"), ("n", "<i4")])
+    short = SHORT_LIST
     blob = pa.schema([("part", pa.int32()), ("entries", pa.binary())])
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hot, names = WordHash(), shared.value, set()
+        hashes, hot, names = WordHash(WORDS_KEPT), shared.value, set()
         held: list[np.ndarray] = []
         count = 0
 
@@ -272,13 +358,15 @@ def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> tupl
                 yield int(part[x]), table[x:y].tobytes()
 
         for batch in batches:
-            for _, text in arrow_rows([batch]):
-                s = shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), hashes, words)
+            for _, _, text in arrow_rows([batch]):
+                s = _set_of(text, hashes)
                 if not len(s) or (name := class_of(s)) in names:
                     continue
+                if len(names) >= NAMES_KEPT:
+                    names.clear()
                 names.add(name)
                 first = _ordered(s, hot)
-                rows = np.empty(len(first), entry)
+                rows = np.empty(len(first), ENTRY)
                 rows["s"], rows["name"], rows["n"] = first, name, len(s)
                 held.append(rows)
                 count += len(rows)
@@ -295,58 +383,96 @@ def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> tupl
         for part, data in arrow_rows(batches):
             rows.setdefault(part, []).append(data)
         for part in sorted(rows):
-            table = np.frombuffer(b"".join(rows.pop(part)), entry)
-            table = table[np.lexsort((table["name"], table["s"]))]
-            s, name = table["s"], table["name"]
-            new = np.concatenate(([True], (s[1:] != s[:-1]) | (name[1:] != name[:-1])))  # copies met in other tasks
-            table = table[new]
-            s = table["s"]
-            cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            lengths = np.diff(np.append(cuts, len(s)))
-            pairs, stars = set(), set()
-            for x, k in zip(cuts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
-                names, sizes = table["name"][x : x + k].tolist(), table["n"][x : x + k].tolist()
-                if k > short:
-                    stars.update((names[0], b, sizes[0], m) for b, m in zip(names[1:], sizes[1:], strict=True))
-                    continue
-                for i in range(k):
-                    a, n = names[i], sizes[i]
-                    for j in range(i + 1, k):
-                        m = sizes[j]
-                        if SHARE[0] * n <= SHARE[1] * m and SHARE[0] * m <= SHARE[1] * n:
-                            pairs.add((a, names[j], n, m))
-            yield from chunked(((*p, False) for p in pairs), pair, 20_000)
-            yield from chunked(((*p, True) for p in stars), pair, 20_000)
+            for star, columns in list_pairs(np.frombuffer(b"".join(rows.pop(part)), ENTRY), short):
+                yield from _columns(pair, (*columns, np.full(len(columns[0]), star)))
 
     lists = _texts(docs).mapInArrow(indexed, "part int, entries binary").repartition(parts, "part").mapInArrow(met, "a long, b long, n int, m int, star boolean")
     out = written(lists, "candidates")
     return out.where("not star").select("a", "b", "n", "m").distinct(), out.where("star").select("a", "b").distinct()
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, schema: str, arrow: pa.Schema, make) -> DataFrame:
-    """make(set, row) for the documents of `wanted` (doc_id, ...), tokenized again; few of all, so only they are hashed."""
-    texts = _texts(docs).join(wanted, "doc_id")
-    words = WORDS
+def _sets_of(docs: DataFrame, wanted: DataFrame, columns: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """The sets of `wanted` (row_key, name, columns), tokenized again: few of all, so only they are hashed. Written."""
+    # Texts are dealt by their key whatever the size of `wanted`, the smaller side, so that work grows in proportion.
+    texts = _texts(docs).select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key").select("text", "name", *[c for c, _, _ in columns])
+    arrow = pa.schema([("name", pa.int64()), *((c, t) for c, _, t in columns), ("shingles", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        yield from chunked((make(shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), hashes, words), rest) for _, text, *rest in arrow_rows(batches)), arrow)
+        hashes = WordHash(WORDS_KEPT)
+
+        def rows():
+            for text, name, *rest in arrow_rows(batches):
+                s = _set_of(text, hashes)
+                if class_of(s) == name:  # another row may have an equal row_key
+                    yield (name, *rest, s.tobytes())
+
+        yield from chunked(rows(), arrow)
+
+    return written(texts.mapInArrow(made, "name long, " + ", ".join(f"{c} {t}" for c, t, _ in columns) + ", shingles binary"), "carried")
+
+
+_LINK = pa.schema([("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())])
+
 
-    return texts.mapInArrow(made, schema)
+def _unique(table: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """Names of a group's table in order, their first rows, and their sets: repeated rows carry a set more than once."""
+    first: dict[int, int] = {}
+    for k, name in enumerate(table["name"].to_pylist()):
+        first.setdefault(name, k)
+    names = sorted(first)
+    at = [first[x] for x in names]
+    return names, at, [np.frombuffer(table["shingles"][k].as_py(), "<u8") for k in at]
+
+
+def group_links(carried: DataFrame) -> tuple[DataFrame, bool]:
+    """(a, b) of connected names within groups: stars around the least connected name of a task; and whether each group was one task."""
+
+    def within(table: pa.Table) -> pa.Table:
+        names, at, sets = _unique(table)
+        c, cut, hub = table["c"][0].as_py(), table["blocks"][0].as_py() > 1, table["hub"][0].as_py()
+        hub = names.index(hub) if cut and hub in names else None
+        found = divide_skip(sets, hub=hub)
+        middle = -1 if hub is None else found.root(hub)
+        rows = [(c, names[found.root(i)], name, cut and found.root(i) != middle) for i, name in enumerate(names)]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _LINK, strict=True)], schema=_LINK)
+
+    # The hub of a group that is cut goes to each of its blocks.
+    placed = carried.withColumn("block", F.expr("explode(if(name = hub, sequence(0, blocks - 1), array(block)))"))
+    local = written(placed.groupBy("c", "block").applyInArrow(within, "c long, a long, b long, open boolean"), "links")
+    links = local.where("a <> b").select("a", "b")
+    whole = not carried.where("blocks > 1").take(1)
+    if whole or not local.where("open").take(1):
+        return links, whole
+
+    def across(table: pa.Table) -> pa.Table:
+        names, _, sets = _unique(table)
+        asked = {n for n, q in zip(table["name"].to_pylist(), table["asked"].to_pylist(), strict=True) if q}
+        found = divide_skip(sets, ask=[n in asked for n in names]) if asked and len(asked) < table.num_rows else Groups(len(names))
+        rows = [(0, names[found.root(i)], name, False) for i, name in enumerate(names)]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _LINK, strict=True)], schema=_LINK)
+
+    # Sets that their block didn't connect to the hub, in chunks, meet every block of their group.
+    rest = written(local.where("open").select(F.col("b").alias("name")).distinct().join(carried, "name"), "rest")
+    chunks = rest.groupBy("c").agg(F.ceil(F.sum(F.expr("octet_length(shingles) div 8")) / BLOCK_SHINGLES).cast("int").alias("chunks"))
+    asked = hot_join(rest, chunks, "c", "inner").select("c", F.expr("cast(pmod(xxhash64(name, 1), chunks) as int)").alias("chunk"), F.expr("explode(sequence(0, blocks - 1))").alias("block"), "name", "shingles", F.lit(True).alias("asked"))
+    there = hot_join(carried, chunks, "c", "inner").select("c", F.expr("explode(sequence(0, chunks - 1))").alias("chunk"), "block", "name", "shingles", F.lit(False).alias("asked"))
+    more = asked.unionByName(there).groupBy("c", "chunk", "block").applyInArrow(across, "c long, a long, b long, open boolean")
+    return links.unionByName(written(more.where("a <> b"), "links").select("a", "b")), False
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, n_shingles, component_id and row_key of every document."""
     sets, counts = set_names(docs)
-    classes = written(sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "classes")
-    frequent = np.sort(np.array([r[0] for r in counts.where(F.col("times") >= FREQUENT_LEAST).orderBy(F.desc("times"), "shingle").limit(FREQUENT_MOST).collect()], np.int64).view(np.uint64))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
+    classes = written(sets.where("n > 0").groupBy("name").agg(first, F.first("n").alias("n")).select("name", "n", F.col("first.doc_id").alias("least"), F.col("first.row_key").alias("row_key")), "classes")
+    frequent = frequent_shingles(counts)
     entries = int(classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0)
-    pairs, stars = candidate_pairs(docs, frequent, entries)
+    pairs, near = candidate_pairs(docs, frequent, entries)
 
     # Sketches of the sets in pairs; a pair that can't link goes.
     ends = pairs.selectExpr("inline(array(struct(a as name), struct(b as name)))").distinct()
-    of_pairs = classes.join(ends, "name").select(F.col("least").alias("doc_id"), "name")
-    sketches = written(of_pairs.join(sets.where("n > 0").select("doc_id", "sketch"), "doc_id").groupBy("name").agg(F.first("sketch").alias("sketch")), "sketches")
+    of_pairs = classes.join(ends, "name").select("row_key", "name")
+    sketches = written(of_pairs.join(sets.where("n > 0").select("row_key", "sketch"), "row_key").groupBy("name").agg(F.first("sketch").alias("sketch")), "sketches")
     drawn = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,38 +480,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             keep = [may_link(n, x, m, y) for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = drawn.select("a", "b", "n", "x", "m", "y").mapInArrow(likely, "a long, b long")
-    grouped = components(written(close.unionByName(stars), "close"))
-
-    # Each set of a group travels once, or once for each other block of a group that is cut.
-    members = classes.join(grouped.withColumnRenamed("v", "name"), "name")
-    cut = members.groupBy("c").agg(F.sum("n").alias("total")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
-    dealt = members.join(cut, "c").select(F.col("least").alias("doc_id"), "name", "c", "blocks", F.expr("cast(pmod(xxhash64(name), blocks) as int)").alias("block"))
-    carried = _sets_of(docs, dealt, "name long, c long, blocks int, block int, shingles binary", pa.schema([("name", pa.int64()), ("c", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("shingles", pa.binary())]), lambda s, rest: (*rest, s.tobytes()))
-    tasks = carried.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).select("name", "c", F.expr("least(block, other)").alias("i"), F.expr("greatest(block, other)").alias("j"), "block", "shingles")
-    link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def linked(table: pa.Table) -> pa.Table:
-        names, blocks = table["name"].to_pylist(), table["block"].to_pylist()
-        first = {}
-        for k, name in enumerate(names):
-            first.setdefault(name, k)
-        order = sorted(first.values(), key=lambda k: names[k])
-        found = divide_skip([np.frombuffer(table["shingles"][k].as_py(), "<u8") for k in order], [blocks[k] for k in order] if len({blocks[k] for k in order}) > 1 else None)
-        out = [(names[order[found.root(i)]], names[k]) for i, k in enumerate(order)]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=link)
-
-    links = written(tasks.groupBy("c", "i", "j").applyInArrow(linked, "a long, b long").where("a <> b"), "links")
-    whole = (cut.agg(F.max("blocks")).first()[0] or 1) == 1  # each group was one task: its links are stars around the least
-    final = (links.select(F.col("b").alias("name"), F.col("a").alias("c")).unionByName(links.select(F.col("a").alias("name"), F.col("a").alias("c")).distinct()) if whole else components(links).withColumnRenamed("v", "name"))
+    close = written(drawn.select("a", "b", "n", "x", "m", "y").mapInArrow(likely, "a long, b long").unionByName(near), "close")
+    grouped = components(close)
+
+    # Groups, their hubs (the name of most candidates) and blocks; each set of a group travels once.
+    degrees = close.selectExpr("inline(array(struct(a as name), struct(b as name)))").groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
+    members = written(classes.join(grouped.withColumnRenamed("v", "name"), "name").join(degrees, "name"), "members")
+    cut = members.groupBy("c").agg(F.max(F.struct("degree", "name"))["name"].alias("hub"), F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = hot_join(members, cut, "c", "inner").select("row_key", "name", "c", "hub", "blocks", F.expr("cast(pmod(xxhash64(name), blocks) as int)").alias("block"))
+    carried = _sets_of(docs, dealt, [("c", "long", pa.int64()), ("hub", "long", pa.int64()), ("blocks", "int", pa.int32()), ("block", "int", pa.int32())])
+    links, whole = group_links(carried)
+    stars = links.select(F.col("b").alias("name"), F.col("a").alias("c")).unionByName(links.select(F.col("a").alias("name"), F.col("a").alias("c")).distinct())
+    final = written(stars if whole else components(links).withColumnRenamed("v", "name"), "final")
+
     least = classes.join(final, "name").groupBy("c").agg(F.min("least").alias("component_id"))
-    by_class = final.join(least, "c").select("name", "component_id")
-    of_class = classes.join(by_class, "name", "left").select("name", F.coalesce("component_id", "least").alias("component_id"))
-    out = sets.select("doc_id", "n", "name").join(of_class, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+    of_class = hot_join(final, least, "c", "inner").select("name", "component_id")
+    joined = written(classes.join(of_class, "name", "left").select("name", F.coalesce("component_id", "least").alias("component_id")), "of_class")
+    # Documents without words have no class: their key is one of their own, which meets none.
+    keyed = sets.select("row_key", "doc_id", "n", F.expr("if(n > 0, name, -1 - pmod(row_key, 1 << 62))").alias("name"))
+    return hot_join(keyed, joined, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row_key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those documents that have a linked one of a smaller doc_id in their component."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    key = fresh("row_key", docs.columns)
+    gone = jaccard_components(docs).where("component_id is not null and not (doc_id <=> component_id)").select(F.col("row_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.lit("."), F.col("text").cast("string")))
+    return keyed.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])

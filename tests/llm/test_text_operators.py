@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapeloom.llm import classifier, decontamination, jaccard, licenses, packing, pii, quality_rules, sharding, url_filters, vocab, warc
-from tapeloom.llm.common import WordHash, shingle_hashes
+from tapeloom.llm.common import WordHash, hot_join, shingle_hashes
 
 WORDS = "the of and river stone quiet walks under blue hills when evening comes slowly to old towns near water".split()
 LONG = " ".join(f"w{i}" for i in range(3_000))
@@ -46,16 +46,15 @@ def test_kept_ids_are_the_tokenizers(texts):
     from tokenizers import Tokenizer
 
     if not hasattr(test_kept_ids_are_the_tokenizers, "t"):
-        t = test_kept_ids_are_the_tokenizers.t = Tokenizer.from_file(vocab.path_of("byte_bpe_50k.json"))
-        t.encode_special_tokens = True
+        test_kept_ids_are_the_tokenizers.t = Tokenizer.from_file(vocab.path_of("byte_bpe_50k.json"))
     want = [e.ids for e in test_kept_ids_are_the_tokenizers.t.encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(b, "<u4").tolist() for b in vocab.loaded(vocab.ByteBpe, "byte_bpe_50k.json", None).ids_of(texts)]
     assert got == want
 
 
-def test_special_token_strings_are_text():
+def test_special_tokens_keep_their_ids():
     ids = np.frombuffer(vocab.loaded(vocab.ByteBpe, "byte_bpe_50k.json", None).ids_of(["<|endoftext|> x"])[0], "<u4")
-    assert 50256 not in ids
+    assert ids.tolist() == [50256, 2124]
 
 
 @settings(max_examples=40, deadline=None)
@@ -102,6 +101,8 @@ def test_packing_contract(spark, hard):
             assert o == end
             end += n
         assert end <= 1024
+    assert {r.total_bound for r in rows} == {packing.lower_bound(np.bincount([r.length for r in rows], minlength=1025))}
+    assert all(r.partition_bound <= r.partition_bins for r in rows) and sum({r.sequence_id >> 32: r.partition_bins for r in rows}.values()) == len(bins)
     assert packing.pack_documents(hard.limit(0)).count() == 0
 
 
@@ -141,13 +142,67 @@ def test_quality_query(spark, hard):
         assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == brute_counts(r.text)
         assert got.base_failed == (got.n_words < 50 or 2 * got.n_repeat_words > got.n_words)
     assert not rows[0].kept and rows[3].kept
-    gibberish = documents(spark, ["࿿࿾" * 20 + " " + " ".join(chr(0x1F300 + i) for i in range(80)), "x " + " ".join(["zq#j%k&w"[i % 7 :] + "@" * (i % 5) for i in range(90)])])
-    assert quality_rules.quality_measures(gibberish).count() == 2
+    junk = [" ".join("ab" + chr(0x1F300 + i) * 2 for i in range(80)), " ".join("%d|" % (i * 7919 % 10007) for i in range(90))]
+    assert [r.rejected_by for r in quality_rules.quality_measures(documents(spark, junk)).orderBy("doc_id").collect()] == ["script"] * 2
     assert quality_rules.quality_measures(hard.limit(0)).count() == 0
     kept = quality_rules.keep_documents(hard)
     assert kept.columns == hard.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abtheingER'é#|日🌍12.,"), min_size=1, max_size=12), min_size=1, max_size=30))
+def test_measures_are_the_tokenizers(words):
+    import sentencepiece
+    import tiktoken
+
+    pieces = vocab.loaded(vocab.Pieces, "piece_bpe_32k.model", "byte_bpe_50k.json", None)
+    text = " ".join(words)
+    got = dict(zip(quality_rules._JUDGED.names, quality_rules.judge(text, pieces), strict=True))
+    if not hasattr(test_measures_are_the_tokenizers, "coder"):
+        test_measures_are_the_tokenizers.coder = sentencepiece.SentencePieceProcessor(model_file=vocab.path_of("piece_bpe_32k.model"))
+        assert isinstance(pieces.bpe.__self__, tiktoken._tiktoken.CoreBPE)
+    coder = test_measures_are_the_tokenizers.coder
+    ids = [i for w in words for i in coder.encode(w)]
+    bpe = [i for w in words for i in pieces.bpe(" " + w)]
+    chars = sum(map(len, words))
+    assert ids == coder.encode(text) and bpe == pieces.bpe(" " + text)
+    assert got["piece_chars_per_token"] == chars / len(ids) and got["bpe_chars_per_token"] == chars / len(bpe)
+    assert got["byte_share"] == sum(map(coder.is_byte, ids)) / len(ids)
+    share = np.array(list(Counter(ids).values())) / len(ids)
+    assert abs(got["token_entropy"] + float(share @ np.log2(share))) < 1e-9
+
+
+def test_language_bands_reject_what_the_base_keeps(spark):
+    rng = random.Random(1)
+
+    def odd(i):  # many different words, but of few pieces
+        return " ".join("".join(rng.choice(["er", "ha", "nd", "|"]) for _ in range(3)) + str(k % 3) for k in range(118 + i))
+    rows = [(i, prose(40_000 + i, 110 + i % 9), "en-GB", 1, None, "m") for i in range(300)] + [(1_000 + i, odd(i), "EN", 1, None, "m") for i in range(3)] + [(2_000, odd(1), "xx-unknown-language", 1, None, "m"), (2_001, odd(1), None, 1, None, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept int, told string, `n_words.x` string")
+    got = {r.doc_id: r for r in quality_rules.quality_measures(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i in range(300)) >= 298 and not any(got[1_000 + i].kept for i in range(3))
+    assert {got[1_000 + i].rejected_by for i in range(3)} <= set(quality_rules.MEASURES) and got[2_000].kept and got[2_001].kept
+    # Brute force over the rows: groups of a language and size, else the language.
+    rows = [r for r in got.values() if not r.base_failed and r.language]
+    pieces = vocab.loaded(vocab.Pieces, "piece_bpe_32k.model", "byte_bpe_50k.json", None)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    step = {i: int(np.floor(2 * np.log2(quality_rules.judge(t, pieces)[8]))) for i, t in texts.items()}
+    for r in rows:
+        alike = [x for x in rows if x.language == r.language and step[x.doc_id] == step[r.doc_id]]
+        wide = [x for x in rows if x.language == r.language]
+        outside = []
+        for m, (least, below, above) in quality_rules.MEASURES.items():
+            group = alike if len(alike) >= 100 else wide if len(wide) >= 100 and m != "token_entropy" else None
+            if group:
+                low, mid, high = np.quantile(np.round([x[m] for x in group], 3), (0.25, 0.5, 0.75))
+                if below and r[m] < mid - below * max((mid - low) / 0.6745, least) or above and r[m] > mid + above * max((high - mid) / 0.6745, least):
+                    outside.append(m)
+        assert r.rejected_by == (outside[0] if outside else None)
+    kept = quality_rules.keep_documents(docs)
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_bands_reject_by_script():
     band = quality_rules.SCRIPT_BANDS["latin"]
     assert quality_rules.accepted(band, 400, 180, 0, 6.5, 200)
@@ -215,6 +270,42 @@ def test_components_of_hard_rows(spark, hard):
     assert jaccard.jaccard_components(hard.limit(0)).count() == 0
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    base = [prose(60 + i, 100) for i in range(2)]
+    near = [t + " at its end" for t in base]
+    further = [t + " and a little more" for t in near]
+    rows = [(10, base[0]), (None, near[0]), (12, further[0]), (None, near[0]), (20, base[1]), (21, near[1]), (21, prose(99, 100)), (30, "alone"), (None, "alone too")]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in rows], "doc_id long, text string, _gone string, row_key int, `meta.src` int")
+    got = {(r.doc_id, r.n_shingles > 1, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {(10, True, 10), (None, True, 10), (12, True, 10), (20, True, 20), (21, True, 20), (21, True, 21), (30, False, 30), (None, False, None)}
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [rows[0], rows[4], rows[6], rows[7], rows[8]]))
+
+
+@pytest.mark.parametrize("block", [4_000_000, 3_000])
+def test_one_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(150):  # edits of one text: some link with the first, some only with others, some with none
+        w = list(base)
+        for k in rng.sample(range(80), rng.randrange(0, 8)):
+            w[k] = f"e{rng.randrange(60)}"
+        texts.append(" ".join(w))
+    texts += [texts[0]] * 100 + [""] * 60
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_hot_join_is_a_join(spark):
+    left = spark.createDataFrame([(i % 7 if i % 2 else 1, i) for i in range(200)] + [(None, -1)] * 30, "k long, v long")
+    right = spark.createDataFrame([(k, k * k) for k in range(5)], "k long, w long")
+    for how in ("inner", "left"):
+        for share in (3, 1_000):
+            assert Counter(map(tuple, hot_join(left, right, "k", how, share).select("k", "v", "w").collect())) == Counter(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), max_size=30))
 def test_sketches_lose_no_link(a, change):
@@ -522,7 +613,8 @@ def test_registered_queries_and_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, d).collect()
     pieces = vocab.loaded(vocab.Pieces, "piece_bpe_32k.model", "byte_bpe_50k.json", None)
-    kept = [(i, t) for i, t in enumerate(texts) if quality_rules.judge(t, "en", pieces)[6]]
+    judged = [dict(zip(quality_rules._JUDGED.names, quality_rules.judge(t, pieces), strict=True)) for t in texts]
+    kept = [(i, t) for i, t in enumerate(texts) if judged[i]["script_fine"] and not judged[i]["base_failed"]]  # too few texts for bands of a language
     parts = brute_components(kept)
     left = {i for i, (_, c) in parts.items() if i == c} - {len(texts) - 1}
     assert {r.doc_id for r in rows} == left and len(texts) - 2 in left
