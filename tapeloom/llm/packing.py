@@ -9,8 +9,12 @@ the remainder, the others are full. Pieces are then packed:
    these documents meet in fewer partitions and are packed again, until the bound is met (the packing is certified) or one
    partition holds all that was released. Each round moves few bins and no texts.
 
-Null and empty texts have the end id alone and are packed like others. Repeated rows (also of one doc_id) are packed once
-each. An empty table gives an empty result. Extra columns are ignored, whatever their names.
+The certificate goes with the rows: `partition_bins` and `partition_bound` are the bins that the row's partition kept and the
+bound of the pieces in them, `total_bound` is the bound of all pieces.
+
+Null and empty texts have the end id alone and are packed like others. Very long texts are cut, none is dropped. Pieces of equal
+length are taken in the order of doc_id (null first), piece and ids. Repeated rows (also of one doc_id, or of a null one) are
+packed once each. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -128,11 +132,11 @@ def release(lengths: np.ndarray, place: np.ndarray, fill: np.ndarray, capacity:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces. Full pieces are sequences of their own."""
+    """Adds sequence_id, offset and the certificates to a written table of pieces. Full pieces are sequences of their own."""
     spark = pieces.sparkSession
     bounded_batches(spark)
     base = [f.name for f in pieces.schema]
-    held = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
+    held = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("partition_bins", pa.int64()), ("partition_bound", pa.int64()), ("open", pa.bool_())])
     done: list[DataFrame] = []
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a length
@@ -154,12 +158,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECE
             lengths = table["length"].to_numpy().astype(np.int64)
             place, offset, fill = best_fit_decreasing(lengths, capacity)
             given = np.zeros(len(fill), bool) if last else release(lengths, place, fill, capacity)
-            table = table.append_column("sequence_id", pa.array(tag + (task << 32) + place)).append_column("offset", pa.array(offset)).append_column("open", pa.array(given[place]))
+            here = len(table)
+            least = lower_bound(np.bincount(lengths[~given[place]], minlength=capacity + 1))
+            more = {"sequence_id": tag + (task << 32) + place, "offset": offset, "partition_bins": np.full(here, (~given).sum()), "partition_bound": np.full(here, least), "open": given[place]}
+            for name, values in more.items():
+                table = table.append_column(name, pa.array(values))
             yield from table.cast(held).to_batches(20_000)
 
         # Dealt by a hash of what a piece is, so that a rerun task meets the same pieces and hot documents spread.
         dealt = left.select(*base).repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32")) if tasks > 1 else left.select(*base).coalesce(1)
-        out = written(dealt.sortWithinPartitions("length", "doc_id", "piece", "ids_crc32").mapInArrow(packed, PIECE_SCHEMA + ", sequence_id long, offset long, open boolean"), "packed")
+        out = written(dealt.sortWithinPartitions("length", "doc_id", "piece", "ids_crc32").mapInArrow(packed, PIECE_SCHEMA + ", sequence_id long, offset long, partition_bins long, partition_bound long, open boolean"), "packed")
         bins = out.groupBy("open").agg(F.count(F.when(F.col("offset") == 0, 1)).alias("bins"), F.count(F.lit(1)).alias("n")).collect()
         if last or closed + sum(r["bins"] for r in bins) == bound or not any(r["open"] for r in bins):  # certified, or none left
             done.append(out.drop("open"))
@@ -172,9 +180,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECE
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result
+    return result.withColumn("total_bound", F.lit(bound).cast("long"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", folder: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every document's pieces."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and the certificates of every document's pieces."""
     return pack(written(tokenized_pieces(docs, vocabulary, folder, capacity), "pieces"), capacity)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 
@@ -23,12 +24,19 @@ def path_of(file: str, folder: str | None = None) -> str:
     return public_tokenizers.path(file)
 
 
+def special_tokens(file: str, folder: str | None = None) -> dict[str, int]:
+    """The special tokens that a tokenizer's `.json` file lists, and their ids."""
+    with open(path_of(file, folder), encoding="utf-8") as source:
+        return {t["content"]: t["id"] for t in json.load(source)["added_tokens"] if t["special"]}
+
+
 class ByteBpe:
     """Byte-level BPE ids of whole texts as little-endian uint32 bytes.
 
     The `.json` file and the `.tiktoken` ranks hold the same vocabulary and give the same ids; the ranks are read
     by the faster library. Its pattern starts a new piece at each single blank between two characters that aren't
-    white space, so such stretches are encoded apart and kept; a text with a run of white space is encoded whole.
+    white space, so such stretches are encoded apart and kept; a text with a run of white space is encoded whole. The
+    strings of the `.json` file's special tokens become those tokens' ids, as the tokenizer's plain call gives them.
     """
 
     def __init__(self, file: str = "byte_bpe_50k.json", folder: str | None = None):
@@ -42,6 +50,8 @@ class ByteBpe:
         self.encode = self.coder._core_bpe.encode_ordinary
         self.starts = np.array([self.coder.decode_single_token_bytes(i).startswith(b" ") for i in range(self.coder.n_vocab)])
         self.kept: dict[str, bytes] = {}
+        self.special = special_tokens(file, folder) if file.endswith(".json") else {}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def learn(self, words: set[str]) -> None:
         """Encode words without white space, each after a blank, where they aren't kept yet. A full cache is emptied first."""
@@ -61,6 +71,15 @@ class ByteBpe:
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text of a batch."""
+        if self.marks:
+            apart = [self.marks.split(text) if self.marks.search(text) else None for text in texts]
+            if any(apart):  # texts between special tokens are encoded each by itself
+                plain = iter(self._plain([t for text, parts in zip(texts, apart, strict=True) for t in (parts[::2] if parts else [text])]))
+                return [b"".join(np.array([self.special[p]], "<u4").tobytes() if k % 2 else next(plain) for k, p in enumerate(parts)) if parts else next(plain) for parts in apart]
+        return self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """ids_of texts without special tokens."""
         out: list = [None] * len(texts)
         for i in range(0, len(texts), 200):
             split = {}
