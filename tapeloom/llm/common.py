@@ -98,16 +98,17 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, how: str, share: int = 1_000) -> DataFrame:
-    """left joined ("inner" or "left") with right, which has one row a key, where a key may hold any part of left's rows.
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str, share: int = 1_000, keys: DataFrame | None = None) -> DataFrame:
+    """left joined ("inner" or "left") with right, which has one row a key (or few), where a key may hold any part of left's rows.
 
     Keys with more than 1/share of left's rows are at most `share` by their count: right's rows of these are broadcast, and
-    left's stay where they are. All others are joined by a shuffle, in which no key has more than 1/share of the rows. left is
-    read once more to count; give a written table.
+    left's stay where they are. All others are joined by a shuffle, in which no key has more than 1/share of the rows. left, or
+    `keys`, which has a row for each of left's, is read once more to count: give a written table.
     """
-    times = fresh("times", left.columns)
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(times))
-    n = left.count()
+    keys = left if keys is None else keys
+    times = fresh("times", keys.columns)
+    counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(times))
+    n = keys.count()
     hot = [row[0] for row in counts.where(F.col(times) * share > n).select(key).collect()] if n else []  # fewer than `share`
     if not hot:
         return left.join(right, key, how)

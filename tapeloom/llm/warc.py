@@ -3,13 +3,16 @@
 An archive file is: one skippable frame that holds the file's dictionary, then a Zstandard frame for each record. Between
 frames lie empty skippable frames, which decoders pass over: Spark's own text writer puts them there as its line separator,
 so that archives are committed task by task on any file system that Spark writes to, and a lost executor leaves no half
-file behind. A file has at most `records_a_file` records, so a reader task holds bounded bytes.
+file behind. A file has at most `records_a_file` records (1,000). A reader task holds one file and its records one by one, so
+files of pages of some megabytes each want a smaller number; Spark reads no file of 2 GB or more.
 
 Records: of pages with equal payloads of at least `least` bytes, that with the smallest page_id is a response, others are
 revisits that refer to it and carry no payload. Smaller payloads are all responses. Null html is an empty payload. Pages
 that repeat the smallest page_id with the same payload are responses too. A null page_id never is the one referred to while
 another page has the payload; if none has an id, all are responses. Null urls give records without a target; control
-characters in urls are percent-encoded. An empty table gives no archive and an empty result. Extra columns are ignored.
+characters in urls are percent-encoded. Very long payloads are records like others. Pages that repeat in all have records of one
+name each. Payloads that very many pages share go through `hot_join`: their pages stay where they are. An empty table gives no
+archive and an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, chunked, new_path, written
+from .common import arrow_rows, bounded_batches, chunked, hot_join, new_path, written
 
 #: Magic numbers of frames, of a dictionary and of the skippable frames for dictionaries and separators.
 FRAME, DICTIONARY, SKIP_DICTIONARY, SKIP_EMPTY = 0xFD2FB528, 0xEC30A437, 0x184D2A5D, 0x184D2A50
 SEPARATOR = struct.pack("<II", SKIP_EMPTY, 0)
-LEAST_BYTES, RECORDS_A_FILE, LEVEL = 100, 4_000, 3
+LEAST_BYTES, RECORDS_A_FILE, LEVEL = 100, 1_000, 3
 #: A file's dictionary is trained on at most so many of its first payloads, each up to so many bytes.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 8_192, 16_384
 DATE = "2024-01-01T00:00:00Z"
@@ -200,8 +203,9 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, record
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    typed = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
+    digests = written(rows.select("page_id", "digest", F.octet_length("payload").alias("size")), "digests")
+    first = digests.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    typed = hot_join(rows, first, "digest", "left", keys=digests).select("page_id", "url", "payload", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
     frame = pa.schema([("frame", pa.binary())])
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
