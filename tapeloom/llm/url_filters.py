@@ -6,12 +6,14 @@ captures go by time, a date being its midnight (of several events at one time th
 looked up under each of its keys: its path prefixes, as deep as the list's deepest entry, its host, and the host's parent domains. The as-of join matches an interval that holds the fetch time; the most specific match
 decides, and captures without one pass.
 
-Both sides are dealt by key and month, so the captures of one hot host are spread over the months, and Spark splits
-partitions that stay large; an interval is repeated for each month of the captures' range that it covers, not without end.
+Both sides are dealt by key and month, so the captures of one hot host are spread over the months; a key and month that still
+holds very many of them goes through `hot_join`. An interval is repeated for each month of the captures' range that it covers,
+not without end. Captures are numbered once, in a written table, so a lost executor changes no number.
 DataFrame functions only; no Python runs on executors.
 
-Null or unreadable urls have no host and pass; null fetch times match nothing; repeated captures are judged each. Null
-entries and dates are left out. Empty captures give an empty result, an empty list passes all. Extra columns are ignored.
+Null or unreadable urls have no host and pass; null fetch times match nothing; repeated captures are judged each. Very long urls
+and paths are read whole. Ties: of matches of one rank the greatest key, then action. Null entries and dates are left out. Empty
+captures give an empty result, an empty list passes all. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import hot_join, written
+
 
 def url_keys(url: str = "url") -> tuple:
     """Expressions: host (lower case, without port and user), and the array of (key, rank) from the most specific on."""
@@ -42,22 +46,23 @@ def judge_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     host, path = url_keys()
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.to_date("fetched_on").alias("fetched_on"), F.to_timestamp("fetched_on").alias("_at"))
     rows = rows.withColumn("host", F.expr(f"nullif({host}, '')")).withColumn("_path", F.expr(f"filter(split({path}, '/'), x -> x <> '')"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "captures")
     deepest = events.agg(F.coalesce(F.max(F.size(F.split("entry", "/")) - 1), F.lit(0)).alias("_depth"))  # one row
     keys = """array_distinct(concat(
         transform(sequence(least(size(_path), _depth), 0, -1), i -> struct(lower(concat_ws('/', host, slice(_path, 1, i))) as key, 100 + i as rank)),
         transform(filter(sequence(2, size(split(host, '[.]'))), i -> i < size(split(host, '[.]'))),
                   i -> struct(concat_ws('.', slice(split(host, '[.]'), size(split(host, '[.]')) - i + 1, i)) as key, i as rank))))"""
-    keyed = rows.where("host is not null and fetched_on is not null").crossJoin(F.broadcast(deepest)).select("_row", "page_id", "fetched_on", "_at", F.expr(f"inline({keys})")).withColumn("month", F.trunc("fetched_on", "month"))
+    keyed = rows.where("host is not null and fetched_on is not null").crossJoin(F.broadcast(deepest)).select("_row", "page_id", "fetched_on", "_at", F.expr(f"inline({keys})")).select("_row", "_at", "key", "rank", F.concat_ws("|", "key", F.trunc("fetched_on", "month")).alias("slot"))
     bounds = rows.agg(F.trunc(F.min("fetched_on"), "month").alias("first"), F.trunc(F.max("fetched_on"), "month").alias("last"))  # one row
     spans = (
         list_intervals(events)
         .crossJoin(F.broadcast(bounds))  # with one row: the range of the captures
         .where("first is not null and valid_from < add_months(last, 1) and (valid_to is null or valid_to > first)")
         .withColumn("month", F.expr("explode(sequence(greatest(trunc(valid_from, 'month'), first), least(coalesce(trunc(valid_to - interval 1 microsecond, 'month'), last), last), interval 1 month))"))
-        .select(F.col("entry").alias("key"), "month", "action", "valid_from", "valid_to")
+        .select(F.concat_ws("|", "entry", "month").alias("slot"), "action", "valid_from", "valid_to")
     )
-    hits = keyed.join(spans, ["key", "month"]).where("_at >= valid_from and (valid_to is null or _at < valid_to)")
+    # A slot's intervals are the changes of one entry in a month.
+    hits = hot_join(keyed, spans, "slot", "inner").where("_at >= valid_from and (valid_to is null or _at < valid_to)")
     best = hits.groupBy("_row").agg(F.max(F.struct("rank", "key", "action")).alias("hit"))
     out = rows.select("_row", "page_id", "host", "fetched_on").join(best, "_row", "left")
     return out.select("page_id", "host", "fetched_on", F.col("hit.key").alias("matched_entry"), F.col("hit.action").alias("action"), F.coalesce(F.col("hit.action") != "block", F.lit(True)).alias("kept"))
