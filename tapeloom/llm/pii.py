@@ -9,9 +9,9 @@ by the method: iban (mod 97 is 1, not inside a longer word) and account (7 to 20
 as `passport` or `IBAN` stands within 40 characters before it). Scores are points of 100: a kind's own, and 15 more with a
 word of its kind nearby; added spans need 60.
 
-Null texts count as empty and have no spans. Kinds may overlap. Repeated rows are judged each. An empty table gives an empty
-result. Extra columns are ignored by `find_spans`' digest and kept by `redact`, whatever their names but those it makes
-itself (all begin with `_pii_`).
+Null texts count as empty and have no spans; `redact` leaves them null. Very long texts are searched whole. Kinds may overlap; ties
+of spans that start together go by the order of kinds. Repeated rows, and null doc_ids, are judged each. An empty table gives an
+empty result. Extra columns are ignored by `span_digest` and kept by `find_spans` and `redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,8 +72,8 @@ _MAY = {"email": "contains(_pii_text, '@')", "ip": "contains(_pii_text, '.') and
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """Adds `_pii_text` and `_pii_spans` (s, o, kind, e, points; sorted by start, then kind) to the rows of docs."""
-    out = docs.withColumn("_pii_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_pii_digit", F.expr("rlike(_pii_text, '[0-9]')"))
+    """`_pii_own` (the row of docs as a struct), `_pii_text` and `_pii_spans` (s, o, kind, e, points; sorted by start, then kind)."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_pii_own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_pii_text")).withColumn("_pii_digit", F.expr("rlike(_pii_text, '[0-9]')"))
     out = out.select("*", *[F.expr(f"if({_MAY[kind]}, split(_pii_text, {_quoted(java)}, -1), array(_pii_text))").alias(f"_pii_gap_{kind}") for kind, java, _, _ in KINDS])
     out = out.select("*", *[F.expr(f"if(size(_pii_gap_{kind}) > 1, regexp_extract_all(_pii_text, {_quoted(java)}, 0), cast(array() as array<string>))").alias(f"_pii_hit_{kind}") for kind, java, _, _ in KINDS])
     parts = []
@@ -87,7 +87,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     others = ", ".join(f"_pii_found_{kind}" for kind, *_ in KINDS[:-1])
     clear = f"if(size(_pii_found_account) = 0, _pii_found_account, filter(_pii_found_account, x -> not exists(concat({others}), y -> x.s < y.e and y.s < x.e)))"
     out = out.withColumn("_pii_spans", F.expr(f"array_sort(concat({others}, {clear}))"))
-    return out.select(*docs.columns, "_pii_text", "_pii_spans")
+    return out.select("_pii_own", "_pii_text", "_pii_spans")
 
 
 def _joined(spans: str) -> str:
@@ -99,7 +99,7 @@ def span_digest(docs: DataFrame) -> DataFrame:
     found = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     counts = [F.expr(f"cast(size(filter(_pii_spans, x -> x.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind, *_ in KINDS]
     return found.select(
-        "doc_id",
+        F.col("_pii_own.doc_id").alias("doc_id"),
         *counts,
         F.expr(f"sha2({_joined(f'filter(_pii_spans, x -> x.o < {BASE_KINDS})')}, 256)").alias("base_sha256"),
         F.expr(_joined("_pii_spans")).alias("spans"),
@@ -117,9 +117,8 @@ def redact(docs: DataFrame) -> DataFrame:
     rebuilt = """aggregate(_pii_cuts, struct(0 as p, cast(array() as array<string>) as a),
         (acc, x) -> struct(x.e as p, concat(acc.a, array(substr(_pii_text, acc.p + 1, x.s - acc.p), concat('<', x.kind, '>'))) as a),
         acc -> concat(array_join(acc.a, ''), substr(_pii_text, acc.p + 1)))"""
-    names = docs.columns
     out = found.withColumn("_pii_cuts", F.expr(merged))
-    return out.select(*[F.expr(f"if(size(_pii_cuts) = 0, text, {rebuilt})").alias("text") if n == "text" else F.col(f"`{n}`") for n in names])
+    return out.select(*[F.expr(f"if(size(_pii_cuts) = 0, _pii_own.text, {rebuilt})").alias("text") if n == "text" else F.col("_pii_own")[n].alias(n) for n in docs.columns])
 
 
 def _oracle() -> str:
