@@ -5,11 +5,13 @@ pairs of shapes, and that a word stands twice or three times in a row. Each indi
 hinge-loss model is fitted to the scaled indicators by dual coordinate descent; a logistic curve over the margins, fitted
 on labelled rows that the hinge model didn't see, makes them scores from 0 to 1.
 
-Fitting takes at most about `most_rows` labelled rows (4,000), chosen by a hash of doc_id, never those held out
-(crc32 of doc_id as text, mod 3, is 1). Labels, lang, source and doc_id are no inputs of a score. Every document is scored
-over its whole text. Null and empty texts have no indicator and get the curve's value at the intercept. Labels with no
-matching document, null labels and labels that contradict each other are left out; with labels of one class or none, every
-score is the share of class 1 (0.5 without labels). Repeated documents are scored each. Empty tables give empty results.
+Fitting takes at most about `most_rows` labelled rows (4,000) of at most about `most_bytes` of text (200 MB), chosen by a hash of
+doc_id, never those held out (crc32 of doc_id as text, mod 3, is 1). Labels, lang, source and doc_id are no inputs of a score.
+Every document is scored over its whole text, however long. Null and empty texts have no indicator and get the curve's value at
+the intercept. Labels with no matching document, null labels and labels that contradict each other are left out; with labels of
+one class or none, every score is the share of class 1 (0.5 without labels). Ties: a score of 0.5 is predicted 1. Null doc_ids have
+no label and aren't held out. Repeated documents are scored each. Empty tables give empty results. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -154,29 +156,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """text and quality of at most about `most_rows` labelled documents that aren't held out, chosen by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_TEXT_BYTES) -> DataFrame:
+    """text and quality of at most about `most_rows` labelled documents of `most_bytes` that aren't held out, chosen by a hash of doc_id."""
     one = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     one = one.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     n = one.count()
-    if n > most_rows:
-        one = one.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / n))
-    # At most about most_rows ids, by the line above.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(one), "doc_id").select("doc_id", "text", "quality")
+    share = min(1.0, most_rows / max(1, n))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    def chosen(share: float) -> DataFrame:
+        few = one.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * share)) if share < 1 else one
+        return texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality")  # at most about most_rows ids, by share
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """Fits a model on the sample; rows come to the driver in the order of doc_id until the bound of text is reached."""
+    size = chosen(share).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return chosen(share * min(1.0, most_bytes / max(1, size)))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_TEXT_BYTES) -> Model:
+    """Fits a model on the sample, in the order of doc_id and text."""
     bounded_batches(docs.sparkSession)
-    rows = sorted(labelled_sample(docs, labels, most_rows).toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    texts, marks, held = [], [], 0
-    for row in rows:
-        held += len(row["text"] or "")
-        if held > MOST_TEXT_BYTES:
-            break
-        texts.append(row["text"] or "")
-        marks.append(row["quality"])
-    return fit(texts, marks)
+    rows = sorted(labelled_sample(docs, labels, most_rows, most_bytes).toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    return fit([r["text"] or "" for r in rows], [r["quality"] for r in rows])
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
