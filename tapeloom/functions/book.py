@@ -86,10 +86,12 @@ def flow_at_level(a: Along, book: Book, k: int) -> Column:
     return (buying + selling).cast("double")
 
 
-def deep_flow(a: Along, book: Book, depth: int = 10, decay: float = 0.0, normalize: bool = False) -> Column:
-    """Flow over levels with weights that decay by depth; the leader's book in cross-market use, by its prefix."""
+def deep_flow(a: Along, book: Book, depth: int = 10, decay: float = 0.0, normalize: bool = False, flows: list[Column] | None = None) -> Column:
+    """Flow over levels with weights that decay by depth; the leader's book in cross-market use, by its prefix. `flows` are the
+    levels' flows where a frame has them already."""
     weights = [math.exp(-decay * k) for k in range(depth)]
-    total = added([w * flow_at_level(a, book, k) for k, w in enumerate(weights, 1)])
+    flows = flows or [flow_at_level(a, book, k) for k in range(1, depth + 1)]
+    total = added([w * x for w, x in zip(weights, flows, strict=True)])
     return total / sum(weights) if normalize else total
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.along import Along
 from ..functions.session import bar_of_day, time_of_day
 
-LABELS = ("label", "hit_offset", "realized_ret", "realized_ret_pts", "truncated")
+LABELS = ("label", "hit_offset", "realized_ret", "realized_ret_pts", "halt_truncated")
 
 
 def true_range(a: Along) -> Column:
@@ -37,14 +37,24 @@ def with_atr(bars: DataFrame, n: int, by: str = "instr", mode: str = "calendar",
 
 def first_touch(bars: DataFrame, up: Column | float, down: Column | float, horizon: int, most: int | None = None, halts: bool = True, gap_seconds: int = 1800, halt_mode: str = "drop", least: int = 2, by: list[str] | None = None) -> DataFrame:
     """Adds LABELS to bars with atr. `up`, `down` and `horizon` may be columns (then `most` bounds the horizon)."""
-    if halt_mode not in ("drop", "truncate"):
-        raise ValueError(f"halt_mode is drop or truncate, not {halt_mode!r}")
+    rows = with_next(bars, most or horizon, by)
+    return touched(rows, up, down, horizon, halts, gap_seconds, halt_mode, least).select(*bars.columns, *LABELS)
+
+
+def with_next(bars: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
+    """Adds _next, the `most` bars that follow each: one window, whatever barriers and horizons are tried on it."""
     a = Along(by or ["instr"], ["ts"])
-    t = horizon if isinstance(horizon, Column) else F.lit(horizon)
     seconds = lambda c: F.unix_seconds(c.cast("timestamp")) + F.date_format(c, "SSSSSS").cast("double") / 1e6
     rows = bars.withColumn("_s", seconds(F.col("ts"))).withColumn("_was", a.lag(F.col("_s")))
     bar = F.struct("_s", "_was", "open", "high", "low", "close")
-    rows = rows.withColumn("_next", F.slice(F.collect_list(bar).over(a.window.rowsBetween(1, most or horizon)), F.lit(1), t))
+    return rows.withColumn("_next", F.collect_list(bar).over(a.window.rowsBetween(1, most)))
+
+
+def touched(rows: DataFrame, up: Column | float, down: Column | float, horizon: Column | int, halts: bool = True, gap_seconds: int = 1800, halt_mode: str = "drop", least: int = 2) -> DataFrame:
+    """Adds LABELS to rows of with_next that have atr."""
+    if halt_mode not in ("drop", "truncate"):
+        raise ValueError(f"halt_mode is drop or truncate, not {halt_mode!r}")
+    rows = rows.withColumn("_next", F.slice("_next", F.lit(1), horizon if isinstance(horizon, Column) else F.lit(horizon)))
     rows = rows.withColumns({"_top": F.col("close") + F.lit(up) * F.col("atr"), "_bottom": F.col("close") - F.lit(down) * F.col("atr")})
     places = lambda cond: F.expr(f"coalesce(array_position(transform(_next, x -> {cond}), true), 0)")  # noqa: E731  1 for the next bar, 0 for none
     halt = places(f"x._s - x._was > {gap_seconds}") if halts else F.lit(0)
@@ -62,9 +72,8 @@ def first_touch(bars: DataFrame, up: Column | float, down: Column | float, horiz
     label = F.when(live & F.col("_hit").isNotNull(), side).otherwise(0)
     exit_ = F.when(live, F.when(F.col("_hit").isNotNull(), F.when(side == 1, F.col("_top")).otherwise(F.col("_bottom"))).when(F.col("_span") > 0, last))
     offset = F.when(~known, 0).when(F.col("_dropped"), -1).otherwise(F.coalesce(F.col("_hit"), F.when(F.col("_span") > 0, F.col("_span")), F.lit(0)))
-    rows = rows.withColumns({"label": label.cast("int"), "hit_offset": offset.cast("int"), "_exit": exit_, "truncated": known & (F.col("_halt") > 0) & ~F.col("_dropped")})
-    rows = rows.withColumns({"realized_ret": F.ln(F.col("_exit") / F.col("close")), "realized_ret_pts": F.col("_exit") - F.col("close")})
-    return rows.select(*bars.columns, *LABELS)
+    rows = rows.withColumns({"label": label.cast("int"), "hit_offset": offset.cast("int"), "_exit": exit_, "halt_truncated": known & (F.col("_halt") > 0) & ~F.col("_dropped")})
+    return rows.withColumns({"realized_ret": F.ln(F.col("_exit") / F.col("close")), "realized_ret_pts": F.col("_exit") - F.col("close")})
 
 
 def balance(p_up: Column, p_down: Column, p_zero: Column) -> Column:
@@ -100,14 +109,15 @@ def label_statistics(labeled: DataFrame, by: list[str], cost: float = 0.5) -> Da
 
 
 def tune_labels(bars: DataFrame, ups: tuple = (1.0, 1.5, 2.0), downs: tuple = (1.0, 1.5, 2.0), horizons: tuple = (4, 8, 12), windows: tuple = (20,), mode: str = "calendar", minutes: int = 15, cost: float = 0.5, by: str = "instr", **options) -> DataFrame:
-    """Statistics of every combination. The grid is exploded onto the bars after their windows are collected once a range
-    window, so that all combinations share one shuffle; combinations without rows have none."""
+    """Statistics of every combination. Each bar's following bars are collected once a range window; the grid is exploded onto
+    them behind that window and goes straight into the aggregation, so no combination is shuffled or sorted by itself.
+    Combinations without rows have none."""
     grid = [(float(u), float(d), int(t)) for t in horizons for u in ups for d in downs]
     out = None
     for n in windows:
-        rows = with_atr(bars, n, by, mode, minutes)
+        rows = with_next(with_atr(bars, n, by, mode, minutes), max(horizons), [by])
         rows = rows.select("*", F.inline(F.array(*[F.struct(F.lit(u).alias("k_up"), F.lit(d).alias("k_dn"), F.lit(t).alias("T")) for u, d, t in grid])))
-        labeled = first_touch(rows, F.col("k_up"), F.col("k_dn"), F.col("T"), most=max(horizons), by=[by, "k_up", "k_dn", "T"], **options)
+        labeled = touched(rows, F.col("k_up"), F.col("k_dn"), F.col("T"), **options)
         stats = label_statistics(labeled, ["k_up", "k_dn", "T"], cost).withColumn("atr_window", F.lit(n))
         out = stats if out is None else out.unionByName(stats)
     return out
@@ -119,5 +129,6 @@ def hourly_statistics(labeled: DataFrame, cost: float = 0.5) -> tuple[DataFrame,
 
     hours = label_statistics(labeled.withColumn("hour_et", F.hour(eastern(F.col("ts")))), ["hour_et"], cost)
     weighted = lambda c: (F.sum(F.col(c) * F.col("n_total")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n_total")))).alias(c)
-    sessions = hours.groupBy(session_name(F.col("hour_et")).alias("session")).agg(F.sum("n_total").alias("n_total"), *[weighted(c) for c in ("frac_pos", "frac_neg", "frac_zero", "balance_score")])
+    name = F.regexp_replace(session_name(F.col("hour_et")), "^(RTH|ETH)$", "US_$1")
+    sessions = hours.groupBy(name.alias("session")).agg(F.sum("n_total").alias("n_total"), *[weighted(c) for c in ("frac_pos", "frac_neg", "frac_zero", "balance_score")])
     return hours, sessions

@@ -7,12 +7,40 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Columns that are never features; parts of names that mark liquidity features.
-NOT_FEATURES = {"ts", "instr", "seq", "label", "hit_offset", "realized_ret", "realized_ret_pts", "truncated", "atr", "open", "high", "low", "close", "hour_et", "year"}
-LIQUIDITY = ("spread", "imbalance", "depth", "hhi", "ofi", "microprice", "liquidity", "cancel", "hidden")
-
-
-def feature_columns(df: DataFrame, deny: set[str] = NOT_FEATURES) -> list[str]:
+from .cross_section import CLASSES
+
+ALL_INSTRUMENTS = [i for members in CLASSES.values() for i in members]
+#: Raw columns, labels and bookkeeping that are never features.
+NOT_FEATURES = {
+    "ts", "root", "expiry",
+    "open", "high", "low", "close", "volume", "dollar_volume",
+    "buys_qty", "sells_qty", "trades_count", "unclassified_count",
+    "implied_volume", "implied_buys", "implied_sells",
+    "bid_close", "ask_close", "mid_close", "spread_abs_close",
+    "spread_mean_sub", "spread_std_sub", "spread_max_sub", "spread_min_sub",
+    "cvd_globex", "cvd_rth", "bars_since_rth_reset",
+    "is_session_warm",
+    *(f"{side}_{kind}_L{k}" for side in ("bid", "ask") for kind in ("px", "sz", "ord") for k in range(1, 11)),
+    "book_ts_close", "book_ts_close_bid", "book_ts_close_ask",
+    "label", "realized_ret", "realized_ret_pts", "hit_offset", "atr",
+    "halt_truncated",
+}
+#: Columns that panels of this engine have for their keys and order.
+KEYS = {"instr", "seq", "year"}
+#: Parts of names that mark liquidity features.
+LIQUIDITY = (
+    "eff_spread", "depth_weighted_spread", "amihud_illiq",
+    "volume_imbalance_L", "order_count_imbalance_L", "order_size_imbalance_L",
+    "large_trade", "hhi_", "dw_imbalance", "cum_imbalance",
+    "side_cond_", "spread", "kyle_lambda", "average_trade_size",
+    "rolling_volume", "log_volume",
+)
+#: Beginnings of names, and whole names, of cross-sectional features.
+CROSS_STARTS = ("cs_universe_", "cs_class_", "ix_", "corr_", "slope_2s5s_", "slope_5s10s_", "slope_2s10s_", "slope_10s30s_")
+CROSS_NAMES = ("synthetic_dxy_logret", "risk_off_score", "butterfly_2s5s10s")
+
+
+def feature_columns(df: DataFrame, deny: set[str] = NOT_FEATURES | KEYS) -> list[str]:
     """Numeric columns that aren't denied."""
     return [f.name for f in df.schema.fields if f.name not in deny and f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte")]
 
@@ -110,26 +138,41 @@ def greedy_select(scores: DataFrame, corr: DataFrame, most: int, most_corr: floa
     return taken
 
 
-def walk_forward(n: int, folds: int = 5, embargo: int = 8, purge: int = 8, least_train: int = 5_000) -> list[tuple[int, int, int, int]]:
-    """(train_from, train_to, test_from, test_to) of expanding folds over n rows in order of time."""
+def walk_forward(n: int, folds: int = 5, embargo: int = 8, purge: int = 8, least_train: int = 5_000, least_fold: int = 100, least_test: int = 50) -> list[tuple[int, int, int, int]]:
+    """(train_from, train_to, test_from, test_to) of expanding folds over n rows in order of time; a fold's test rows are as
+    many as n / (folds + 1), as far as there are rows. Fewer than `least_fold` such rows are an error; a test of fewer than
+    `least_test` rows ends the folds."""
     size = n // (folds + 1)
+    if size < least_fold:
+        raise ValueError(f"{n} rows are too few for {folds} folds")
     out = []
     for k in range(1, folds + 1):
-        end = k * size
-        train_to, test_from, test_to = max(least_train, end - purge), end + embargo, min(n, end + size)
-        if train_to > 0 and test_from < test_to and train_to <= n:
+        train_to, test_from = max(least_train, k * size - purge), k * size + embargo
+        test_to = min(test_from + size, n)
+        if test_to - test_from < least_test:
+            break
+        if train_to <= n:
             out.append((0, train_to, test_from, test_to))
     return out
 
 
-def with_folds(df: DataFrame, splits: list[tuple[int, int, int, int]], order: list[str], by: list[str]) -> DataFrame:
-    """Rows of each group numbered in order of time, with the fold they test and the folds they train."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    rows = df.withColumn("row_no", n)
-    within = lambda a, b: (F.col("row_no") >= a) & (F.col("row_no") < b)
-    test = F.coalesce(*[F.when(within(c, d), k) for k, (_, _, c, d) in enumerate(splits)], F.lit(-1)) if splits else F.lit(-1)
-    train = F.filter(F.array(*[F.when(within(a, b), k) for k, (a, b, _, _) in enumerate(splits)]), lambda x: x.isNotNull()) if splits else F.array()
-    return rows.withColumns({"test_fold": test, "train_folds": train})
+def with_folds(df: DataFrame, order: list[str], by: list[str], folds: int = 5, embargo: int = 8, purge: int = 8, least_train: int = 5_000, least_fold: int = 100, least_test: int = 50) -> DataFrame:
+    """Rows of each group numbered in order of time, with the fold they test (-1: none) and the folds they train, by the rule of
+    `walk_forward` over each group's own number of rows."""
+    group = Window.partitionBy(*by)
+    rows = df.withColumns({"row_no": F.row_number().over(group.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(group)})
+    size = F.floor(F.col("_n") / (folds + 1)).cast("int")
+    rows = rows.withColumn("_size", F.when(size >= least_fold, size).otherwise(F.raise_error(F.lit(f"too few rows for {folds} folds")).cast("int")))
+    test, train = F.lit(-1), []
+    for k in range(folds):
+        end = F.col("_size") * (k + 1)
+        test_from = end + embargo
+        test_to = F.least(test_from + F.col("_size"), F.col("_n"))
+        train_to = F.greatest(F.lit(least_train), end - purge)
+        valid = (test_to - test_from >= least_test) & (train_to <= F.col("_n"))
+        test = F.when(valid & (F.col("row_no") >= test_from) & (F.col("row_no") < test_to), k).otherwise(test)
+        train.append(F.when(valid & (F.col("row_no") < train_to), k))
+    return rows.withColumns({"test_fold": test, "train_folds": F.filter(F.array(*train), lambda x: x.isNotNull())}).drop("_n", "_size")
 
 
 def class_metrics(df: DataFrame, label: str, probabilities: dict[int, str]) -> DataFrame:
@@ -166,11 +209,11 @@ def robustness(stats: DataFrame, keys: list[str], values: list[str]) -> DataFram
     return stats.groupBy(*keys).agg(*[f(v).alias(f"{v}_{n}") for v in values for n, f in (("min", F.min), ("mean", F.avg))])
 
 
-def is_cross_asset(feature: Column, target: str, others: list[str]) -> Column:
+def is_cross_asset(feature: Column, target: str, instruments: list[str] = ALL_INSTRUMENTS) -> Column:
     """Whether a feature's name is of another instrument or of the cross-section."""
-    out = feature.startswith("cs_") | feature.startswith("corr_") | feature.startswith("ix_corr_") | feature.startswith("slope_") | feature.startswith("butterfly_") | feature.startswith("synthetic_")
-    for o in others:
-        out = out | (feature.startswith(f"{o}_") if o != target else F.lit(False))
+    out = feature.isin(*CROSS_NAMES)
+    for start in (*CROSS_STARTS, *(f"{i}_" for i in instruments if i != target)):
+        out = out | feature.startswith(start)
     return out
 
 
@@ -178,6 +221,12 @@ def is_liquidity(feature: Column) -> Column:
     return feature.rlike("|".join(LIQUIDITY))
 
 
+def liquidity_ranks(scores: DataFrame, value: str = "rank_ic", by: list[str] | None = None) -> DataFrame:
+    """Liquidity features with their rank among all features of a score, by its size; scores have a row a feature (of `by`)."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(F.abs(value)), "feature")
+    return scores.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("rank", F.row_number().over(w)).where(is_liquidity(F.col("feature")))
+
+
 def consistency(scores: DataFrame, top: int = 50) -> tuple[DataFrame, DataFrame]:
     """Of scores (target, feature, ic): features among the best of every target with one sign, and overlaps of targets."""
     w = Window.partitionBy("target").orderBy(F.desc_nulls_last(F.abs("ic")), "feature")

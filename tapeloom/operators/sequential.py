@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import bar
+from ..functions.along import Along
 from ..functions.session import eastern
 
 
@@ -49,12 +51,30 @@ def fracdiff(df: DataFrame, value: str, d: float, out: str, tau: float = 1e-5, b
     return _per_group(df, by or ["instr"], [(out, "double")], work, ["ts"])
 
 
-def dickey_fuller(x: np.ndarray, lags: int = 1) -> float:
-    """The t statistic of the unit-root regression with a constant and lagged differences."""
+def _unit_root_design(x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """Differences, and the constant, the level and the lagged differences that explain them."""
     dx = np.diff(x)
-    y, n = dx[lags:], len(dx) - lags
-    columns = [np.ones(n), x[lags:-1], *(dx[lags - i - 1 : len(dx) - i - 1] for i in range(lags))]
-    a = np.stack(columns, axis=1)
+    n = len(dx) - lags
+    return np.stack([np.ones(n), x[lags:-1], *(dx[lags - i - 1 : len(dx) - i - 1] for i in range(lags))], axis=1), dx[lags:]
+
+
+def chosen_lags(x: np.ndarray) -> int:
+    """The number of lagged differences of the least AIC; all numbers are compared over the rows that the largest leaves."""
+    most = max(0, min(len(x) // 2 - 2, math.ceil(12 * (len(x) / 100) ** 0.25)))
+    a, y = _unit_root_design(x, most)
+    gram, right, n = a.T @ a, a.T @ y, len(y)
+    best = (math.inf, 0)
+    for lags in range(most + 1):
+        k = lags + 2  # regressions are nested: each is a corner of the products of the largest
+        rest = float(y @ y - right[:k] @ np.linalg.lstsq(gram[:k, :k], right[:k], rcond=None)[0])
+        best = min(best, (n * math.log(max(rest, 1e-300) / n) + 2 * k, lags))
+    return best[1]
+
+
+def dickey_fuller(x: np.ndarray, lags: int | None = None) -> float:
+    """The t statistic of the unit-root regression with a constant and lagged differences, by default as many as AIC chooses."""
+    a, y = _unit_root_design(x, chosen_lags(x) if lags is None else lags)
+    n = len(y)
     beta, *_ = np.linalg.lstsq(a, y, rcond=None)
     rest = y - a @ beta
     scale = rest @ rest / max(1, n - a.shape[1])
@@ -158,15 +178,15 @@ def intensities(bars: DataFrame, fast: float = 5.0, slow: float = 60.0, by: list
 
 
 def ema(df: DataFrame, values: list[str], spans: tuple[int, ...] = (10, 30), by: list[str] | None = None) -> DataFrame:
-    """Exponential means {value}_ema_w{span} from the first value on; nulls keep the mean."""
-    fields = [(f"{v}_ema_w{s}", "double") for v in values for s in spans]
+    """Exponential means {value}_ema_s{span} from the first value on. A null row has none, and ages what came before it."""
+    fields = [(f"{v}_ema_s{s}", "double") for v in values for s in spans]
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         for v in values:
             x = pd.to_numeric(g[v], errors="coerce").astype(float)
             for s in spans:
-                y = x.ewm(span=s, adjust=False, ignore_na=True).mean()
-                g[f"{v}_ema_w{s}"] = y.astype(object).where(x.notna(), None)
+                y = x.ewm(span=s, adjust=False, ignore_na=False).mean()
+                g[f"{v}_ema_s{s}"] = y.astype(object).where(x.notna(), None)
         return g
 
     return _per_group(df, by or ["instr"], fields, work, ["ts"])
@@ -175,4 +195,14 @@ def ema(df: DataFrame, values: list[str], spans: tuple[int, ...] = (10, 30), by:
 def ewm_volatility(df: DataFrame, ret: str, span: int, out: str, by: list[str] | None = None) -> DataFrame:
     """Root of the exponential mean of squared returns."""
     squares = df.withColumn("_sq", F.col(ret) * F.col(ret))
-    return ema(squares, ["_sq"], (span,), by).withColumn(out, F.sqrt(f"_sq_ema_w{span}")).drop("_sq", f"_sq_ema_w{span}")
+    return ema(squares, ["_sq"], (span,), by).withColumn(out, F.sqrt(f"_sq_ema_s{span}")).drop("_sq", f"_sq_ema_s{span}")
+
+
+def realized_volatility(df: DataFrame, ret: str, n: int, method: str = "std", out: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Adds the rolling deviation of n returns ("std"), or the root of their exponential mean square of span n ("ewma")."""
+    out = out or f"realized_vol_w{n}"
+    if method == "std":
+        return df.withColumn(out, bar.realized_volatility(Along(by or ["instr"], ["ts"]), F.col(ret), n))
+    if method == "ewma":
+        return ewm_volatility(df, ret, n, out, by)
+    raise ValueError(f"method is std or ewma, not {method!r}")

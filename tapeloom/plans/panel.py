@@ -3,6 +3,8 @@ window share its shuffle and sort."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,24 @@ from ..operators import bars as bars_op
 from ..operators import cross_section, daily, labels, sequential
 from ..operators.asof import asof
 
-#: Fixed value: columns that are normalised by time of day, where a panel has them.
-NORMALISED = ("ofi", "log_volume", "spread_to_mid_bps", "realized_vol_w20", "trades_count_log", "average_trade_size", "cvd_change", "net_aggressor_volume")
-SMOOTHED = ("ofi", "log_return", "spread_to_mid_bps", "log_volume", "cvd_change", "aggressor_ratio", "realized_vol_w20", "vwap_deviation")
+#: Columns that are normalised by time of day, and those that are smoothed, where a panel has them.
+NORMALISED = (
+    "log_return", "abs_log_return", "log_volume",
+    "ofi", "aggressor_ratio", "cvd_change", "net_aggressor_volume",
+    "average_trade_size", "trades_count_log",
+    "implied_volume_share", "implied_aggressor_skew",
+    "spread_to_mid_bps", "spread_sub_var_ratio",
+    "realized_vol_w20", "realized_vol_w60", "realized_vol_w120",
+    "vol_surprise_w20", "vol_surprise_w60", "vol_surprise_w120",
+    "range_vol_parkinson_w20", "range_vol_parkinson_w60", "range_vol_gk_w20",
+    "up_vol_w60", "down_vol_w60", "vol_direction_ratio_w60",
+    "vol_ratio_short_long",
+    "rolling_skew_w60", "rolling_kurt_w60", "vol_of_vol_w60",
+    "amihud_illiq_w20", "return_autocorr_lag1_w60",
+    "vwap_return_w20", "price_volume_corr_w60", "price_impact_slope_w60",
+    "jump_indicator_w20", "vwap_deviation",
+)
+SMOOTHED = ("abs_log_return", "ofi", "cvd_change", "spread_to_mid_bps", "vol_surprise_w20", "vol_surprise_w60", "realized_vol_w20", "log_volume")
 
 
 def base_features(bars: DataFrame, rv: tuple = (20, 60, 120), ranges: tuple = (20, 60), surprise: tuple = (20, 60, 120), moments: int = 60, asymmetry: int = 60, auto: int = 60, short: int = 20, long: int = 60, roll: int = 20, by: str = "instr") -> DataFrame:
@@ -79,6 +96,10 @@ def book_features(bars: DataFrame, depth: int = 10, n: int = 60, by: str = "inst
     """Composites over the levels that the frame has (named by the depth asked for), features of single levels, migration."""
     a, b, have = Along([by], ["ts", "seq"]), book.Book(), set(bars.columns)
     d = book.effective_depth(bars.columns, depth)
+    # The levels' flows stand in columns of their own, so that each is worked out once.
+    flow = {k: f"_flow_L{k}" for k in range(1, depth + 1) if {f"{s}_{x}_L{k}" for s in ("bid", "ask") for x in ("px", "sz")} <= have}
+    bars = bars.withColumns({c: book.flow_at_level(a, b, k) for k, c in flow.items()})
+    flows = [F.col(flow[k]) for k in range(1, d + 1)] if all(k in flow for k in range(1, d + 1)) else None
     new = {
         f"cum_imbalance_d{depth}": book.cumulative_imbalance(b, d),
         f"dw_imbalance_d{depth}": book.distance_weighted_imbalance(b, d),
@@ -86,8 +107,8 @@ def book_features(bars: DataFrame, depth: int = 10, n: int = 60, by: str = "inst
         f"liquidity_adjusted_spread_d{depth}": book.liquidity_adjusted_spread(b, d),
         f"hhi_bid_d{depth}": book.concentration(b, "bid", d),
         f"hhi_ask_d{depth}": book.concentration(b, "ask", d),
-        f"deep_ofi_d{depth}_decay0": book.deep_flow(a, b, d),
-        f"deep_ofi_d{depth}_decay03": book.deep_flow(a, b, d, 0.3),
+        f"deep_ofi_d{depth}_decay0": book.deep_flow(a, b, d, flows=flows),
+        f"deep_ofi_d{depth}_decay03": book.deep_flow(a, b, d, 0.3, flows=flows),
         f"spread_zscore_w{n}": book.spread_zscore(a, b, 1, n),
     }
     if d >= 3:
@@ -99,7 +120,7 @@ def book_features(bars: DataFrame, depth: int = 10, n: int = 60, by: str = "inst
         if level("px"):
             new[f"basic_spread_L{k}"] = b.spread(k)
         if level("px", "sz"):
-            new[f"ofi_at_L{k}"] = book.flow_at_level(a, b, k)
+            new[f"ofi_at_L{k}"] = F.col(flow[k])
         if k <= 5 and level("ord"):
             new[f"order_count_imbalance_L{k}"] = book.order_count_imbalance(b, k)
             if level("sz"):
@@ -108,7 +129,7 @@ def book_features(bars: DataFrame, depth: int = 10, n: int = 60, by: str = "inst
         for to in (2, 3):
             if {f"{side}_sz_L1", f"{side}_sz_L{to}"} <= have:
                 new[f"{side}_migration_L1_to_L{to}"] = book.migration(a, b, side, to)
-    return bars.withColumns(new)
+    return bars.withColumns(new).drop(*flow.values())
 
 
 def pattern_features(rows: DataFrame, n: int = 30, spike: int = 20, atr: int = 20, by: str = "instr") -> DataFrame:
@@ -187,15 +208,19 @@ def sub_bar_features(bars: DataFrame, short_bars: DataFrame, bucket: int = 25_00
     return asof(out, sequential.intensities(short_bars, fast, slow, [by]), [by])
 
 
+#: Columns of a book's levels.
+_LEVEL = re.compile("(bid|ask)_(px|sz)_L[0-9]+")
+
+
 def vx_features(target: DataFrame, slots: list[DataFrame], n: int = 20, spread_n: int = 60, by: str = "instr", instruments: list | None = None) -> DataFrame:
-    """Volatility futures of up to three slots as of each bar: mids, deviation, calendar spread and ratio, curvature. Slots
-    without an instrument column stand for all of `instruments`."""
+    """Volatility futures of up to three slots as of each bar: mids, deviation, calendar spread and ratio, curvature, and the
+    deep flow of the first slot's book where it has sizes. Slots without an instrument column stand for all of `instruments`."""
     if not 1 <= len(slots) <= 3:
         raise ValueError("one to three slots")
     out = target
     keys = [by]
     for k, s in enumerate(slots, 1):
-        named = s.select(*[x for x in keys if x in s.columns], "ts", *[F.col(x).alias(f"VX{k}_{y}") for x, y in (("bid_close", "bid_px_L1"), ("ask_close", "ask_px_L1"), ("mid_close", "mid_close"), ("spread_abs_close", "spread_abs_close"))])
+        named = s.select(*[x for x in keys if x in s.columns], "ts", *[F.col(x).alias(f"VX{k}_{y}") for x, y in (("bid_close", "bid_px_L1"), ("ask_close", "ask_px_L1"), ("mid_close", "mid_close"), ("spread_abs_close", "spread_abs_close"))], *[F.col(x).alias(f"VX{k}_{x}") for x in s.columns if _LEVEL.fullmatch(x) and x not in ("bid_px_L1", "ask_px_L1")])
         if by not in named.columns:
             if not instruments:
                 raise ValueError("slots without instruments need a list of them")
@@ -203,6 +228,8 @@ def vx_features(target: DataFrame, slots: list[DataFrame], n: int = 20, spread_n
         out = asof(out, named, [by])
     a, books = Along([by], ["ts", "seq"]), [book.Book(f"VX{k}") for k in range(1, len(slots) + 1)]
     new = {"vx1_mid": books[0].mid(), f"vx1_zscore_w{n}": a.zscore(books[0].mid(), n), f"vx_spread_zscore_w{spread_n}": a.zscore(books[0].spread(), spread_n)}
+    if {"VX1_bid_sz_L1", "VX1_ask_sz_L1"} <= set(out.columns):
+        new["vx_ofi_weighted"] = book.deep_flow(a, books[0], book.effective_depth(out.columns, 10, "VX1_"))
     if len(slots) > 1:
         new |= {"vx2_mid": books[1].mid(), "vx_calendar_spread": books[0].mid() - books[1].mid(), "vx_calendar_ratio": share(books[0].mid(), books[1].mid())}
     if len(slots) > 2:
@@ -225,6 +252,12 @@ def instrument_features(bars: DataFrame, days: tuple = (30, 60), overnight: bool
     return sequential.ema(rows, [v for v in SMOOTHED if v in rows.columns]) if smoothed else rows
 
 
+def with_options(panel: DataFrame, options: DataFrame, on: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """The panel with the columns of an options panel that it hasn't itself: the panel decides rows and shared columns. Times
+    that the options repeat repeat the panel's rows, as a left join does."""
+    return panel.join(options.select(*on, *[c for c in options.columns if c not in on and c not in panel.columns]), list(on), "left")
+
+
 def target_panel(target: str, features: DataFrame, wide: DataFrame | None = None, up: float = 1.5, down: float = 1.0, horizon: int = 8, days: int = 30, minutes: int = 15, least: int = 5, drop_invalid: bool = True, **options) -> DataFrame:
     """A target's features beside the wide frame (without the target's own columns), with labels over ranges by time of day."""
     rows = features
@@ -246,4 +279,4 @@ def column_groups(columns: list[str]) -> dict[str, int]:
     return out
 
 
-__all__ = ["EPS", "base_features", "book_features", "column_groups", "cross_section", "engine_features", "execution_features", "instrument_features", "normalised", "pattern_features", "sub_bar_features", "target_panel", "vx_features"]
+__all__ = ["EPS", "base_features", "book_features", "column_groups", "cross_section", "engine_features", "execution_features", "instrument_features", "normalised", "pattern_features", "sub_bar_features", "target_panel", "vx_features", "with_options"]

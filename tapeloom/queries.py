@@ -536,8 +536,7 @@ def _gauss(spark, d):
 
 WIDE_NAMES = ("6E", "6J", "6B", "6C", "ZT", "ZF", "ZN", "ZB", "GC", "CL", "ES", "NQ")
 WIDE = f"""{MONTHLY}, wide as (select ts, {', '.join(f'min(log_return) filter (instr = {k}) as "{n}_log_return"' for k, n in enumerate(WIDE_NAMES))} from moved group by 1)"""
-_B = {k: v / sum(cs.BASKET.values()) for k, v in cs.BASKET.items()}
-DXY = f"""(-{_B['EUR']!r} * "6E_log_return" - {_B['JPY']!r} * "6J_log_return" - {_B['GBP']!r} * "6B_log_return" - {_B['CAD']!r} * "6C_log_return")"""
+DXY = """(-(5.76e-1 * "6E_log_return" + 1.36e-1 * "6J_log_return" + 1.19e-1 * "6B_log_return" + 9.1e-2 * "6C_log_return") / 9.22e-1)"""
 
 
 def pearson_sql(x: str, y: str, n: int) -> str:
@@ -586,15 +585,20 @@ def _hawkes(spark, d):
     return rounded(one.select("instr", "ts", "fast_buy", "fast_sell").join(both, ["instr", "ts"]))
 
 
-EMA = "nb as (select *, row_number() over (partition by instr order by ts) as k from bars), em(instr, k, ts, e3, e8) as (select instr, k, ts, ln(close), ln(close) from nb where k = 1 union all select b.instr, b.k, b.ts, e.e3 + (2.0 / 4) * (ln(b.close) - e.e3), e.e8 + (2.0 / 9) * (ln(b.close) - e.e8) from em e join nb b on b.instr = e.instr and b.k = e.k + 1)"
+HOLES = "case when day(ts) % 3 = 0 and hour(ts) in (6, 12) then null else ln(close) end"
+# A null row leaves the mean and multiplies its weight; the next value restores the weight to one.
+_mean = lambda e, w, a: f"case when b.x is null then e.{e} when e.{e} is null then b.x else (e.{w} * (1 - {a}) * e.{e} + {a} * b.x) / (e.{w} * (1 - {a}) + {a}) end, case when b.x is null and e.{e} is not null then e.{w} * (1 - {a}) else cast(1 as double) end"
+EMA = f"nb as (select *, {HOLES} as x, row_number() over (partition by instr order by ts) as k from bars), em(instr, k, ts, x, e3, w3, e8, w8) as (select instr, k, ts, x, x, cast(1 as double), x, cast(1 as double) from nb where k = 1 union all select b.instr, b.k, b.ts, b.x, {_mean('e3', 'w3', '5e-1')}, {_mean('e8', 'w8', '(2e0 / 9e0)')} from em e join nb b on b.instr = e.instr and b.k = e.k + 1)"
 
 
-@query("ema", f"with recursive {TO_BARS}, {EMA} select instr, ts, round(e3, 6) + 0.0 as close_ema_w3, round(e8, 6) + 0.0 as close_ema_w8 from em")
+@query("ema", f"with recursive {TO_BARS}, {EMA} select instr, ts, case when x is not null then round(e3, 6) + 0.0 end as close_ema_s3, case when x is not null then round(e8, 6) + 0.0 end as close_ema_s8 from em")
 def _ema(spark, d):
-    return rounded(sequential.ema(ad.bars(spark, d).select("instr", "ts", F.ln("close").alias("close")), ["close"], (3, 8)).drop("close"))
+    holes = F.when((F.day("ts") % 3 == 0) & F.hour("ts").isin(6, 12), None).otherwise(F.ln("close"))
+    return rounded(sequential.ema(ad.bars(spark, d).select("instr", "ts", holes.alias("close")), ["close"], (3, 8)).drop("close"))
 
 
-_FD = sequential.fracdiff_weights(0.4, 1e-2)
+#: The weights of order 0.4 down to 0.01: each is the one before times (k - 1 - 0.4) / k.
+_FD = (1.0, -0.4, -0.12, -0.064, -0.0416, -0.029952, -0.0229632, -0.01837056, -0.015155712, -0.0127981568, -0.011006414848)
 
 
 @query("fracdiff", f"with {TO_BARS}, x as (select instr, ts, ln(close) as lc from bars) select instr, ts, round({' + '.join(f'{float(w)!r} * {lag(chr(108) + chr(99), k) if k else chr(108) + chr(99)}' for k, w in enumerate(_FD))}, 6) + 0.0 as fd from x")
@@ -613,11 +617,11 @@ def _fracdiff_auto(spark, d):
     return rounded(sequential.fracdiff_auto(ad.bars(spark, d).select("instr", "ts", F.ln("close").alias("lc")), "lc", "fd", tau=1e-3).drop("lc"))
 
 
-@query("sub_bar_engines", f"with recursive {TO_BARS}, {VPIN}, bk as (select instr, ts, abs(sg) / tot as vpin from vp where done), cnt as (select instr, {DAY} as day, count(*) as n from bk group by 1, 2), daybars as (select instr, {DAY} as ts, 1 as one from bars group by 1, 2) select b.instr, b.ts, round(k.vpin, 6) + 0.0 as vpin, round(epoch(b.ts) - epoch(k.ts), 6) + 0.0 as vpin_staleness_seconds, coalesce(cnt.n, 0) as vpin_buckets_velocity_w15m from daybars b asof left join bk k on b.instr = k.instr and b.ts >= k.ts left join cnt on cnt.instr = b.instr and cnt.day = b.ts")
+@query("sub_bar_engines", f"with recursive {TO_BARS}, {VPIN}, bk as (select instr, ts, abs(sg) / tot as vpin from vp where done), cnt as (select instr, {DAY} as day, count(*) as n from bk group by 1, 2), daybars as (select instr, {DAY} as ts, 1 as one from bars group by 1, 2), " + HAWKES.format(", ".join(f"{_decay(x, h)} as {n}_{h}" for n, x in (("b", "buys_qty"), ("s", "sells_qty")) for h in (43200, 172800))) + " select b.instr, b.ts, round(h.b_43200 - h.s_43200, 6) + 0.0 as hawkes_imbalance_hl43200, round(h.b_172800 - h.s_172800, 6) + 0.0 as hawkes_imbalance_hl172800, round((h.b_43200 - h.s_43200) - (h.b_172800 - h.s_172800), 6) + 0.0 as hawkes_acceleration, round(k.vpin, 6) + 0.0 as vpin, round(epoch(b.ts) - epoch(k.ts), 6) + 0.0 as vpin_staleness_seconds, coalesce(cnt.n, 0) as vpin_buckets_velocity_w15m from daybars b asof left join bk k on b.instr = k.instr and b.ts >= k.ts left join cnt on cnt.instr = b.instr and cnt.day = b.ts asof left join hk h on h.instr = b.instr and b.ts >= h.ts")
 def _sub_bar(spark, d):
     short = ad.bars(spark, d)
     long = bars_op.in_bars(short, "1 day").agg(F.lit(0).alias("seq"))
-    return rounded(panel.sub_bar_features(long, short, 800, 43200.0, 172800.0, "1 day").select("instr", "ts", "vpin", "vpin_staleness_seconds", "vpin_buckets_velocity_w15m"))
+    return rounded(panel.sub_bar_features(long, short, 800, 43200.0, 172800.0, "1 day").select("instr", "ts", "vpin", "vpin_staleness_seconds", "vpin_buckets_velocity_w15m", "hawkes_imbalance_hl43200", "hawkes_imbalance_hl172800", "hawkes_acceleration"))
 
 
 @query("execution_features", f"with {TO_BARS}, {DEPTH}, {EXEC_SQL.split(DEPTH + ', ')[1]}, e3 as (select instr, bar as ts, {', '.join(f'coalesce({c}, 0) as {c}' for c in (*EFF_DOUBLES, *EXEC_COUNTS))} from exec), j as (select b.*, {', '.join('e3.' + c for c in (*EFF_DOUBLES, *EXEC_COUNTS))} from bars b asof left join e3 on b.instr = e3.instr and b.ts >= e3.ts), j2 as (select *, eff_spread_buy_sum / (eff_spread_buy_weight + {EPS}) as vb, eff_spread_sell_sum / (eff_spread_sell_weight + {EPS}) as vs, bid_up_count + ask_down_count as imp, bid_down_count + ask_up_count as wor from j) " + final({"vwap_eff_spread": f"r:eff_spread_sum / (eff_spread_weight + {EPS})", "vwap_eff_spread_buy": "r:vb", "vwap_eff_spread_sell": "r:vs", "eff_spread_asymmetry": "r:vb - vs", "large_trade_volume_share": f"r:large_trade_volume / (volume + {EPS})", "n_large_trades_log": "r:ln(1 + n_large_trades)", "cancel_to_trade_ratio": f"r:case when volume > 0 then (net_bid_decrement_no_trade_L1 + net_ask_decrement_no_trade_L1) / (volume + {EPS}) end", "quote_to_trade_ratio": f"r:case when trades_count > 0 then quote_update_count / (trades_count + {EPS}) end", "quote_movement_directionality": f"r:(imp - wor) / (imp + wor + {EPS})", "hidden_absorption_ratio_w4": f"r:{roll('sum', 'hidden_absorption_volume', 4)} / ({roll('sum', 'volume', 4)} + {EPS})", "side_cond_ask_resilience_buy": f"r:case when lift_ask_vol > 0 then (ask_sz_L1_delta_signed + lift_ask_vol) / (lift_ask_vol + {EPS}) end", "side_cond_bid_resilience_sell": f"r:case when hit_bid_vol > 0 then (bid_sz_L1_delta_signed + hit_bid_vol) / (hit_bid_vol + {EPS}) end"}, "j2"))
@@ -648,7 +652,7 @@ def label_sql(horizon: int, gap: int, mode: str, least: int, up: float = 1.0, do
     lab as (select *, ln(exit_ / close) as realized_ret, exit_ - close as realized_ret_pts from lb)"""
 
 
-LABEL_OUT = r("atr", "realized_ret", "realized_ret_pts") | {"label": "label", "hit_offset": "cast(hit_offset as integer)", "truncated": "truncated"}
+LABEL_OUT = r("atr", "realized_ret", "realized_ret_pts") | {"label": "label", "hit_offset": "cast(hit_offset as integer)", "halt_truncated": "truncated"}
 
 
 def _label_bars(spark, d):
@@ -697,7 +701,7 @@ def _hourly(spark, d):
     return rounded(labels.hourly_statistics(_labeled(spark, d))[0])
 
 
-@query("labels_sessions", f"with {TO_BARS}, {label_sql(4, 90000, 'drop', 2, 0.5, 0.5)}, hl as (select *, cast(bod as integer) as hour_et from lab), hs as (select hour_et, count(*) as n, avg(case when label = 1 then 1.0 else 0 end) as p, avg(case when label = -1 then 1.0 else 0 end) as m, avg(case when label = 0 then 1.0 else 0 end) as z from hl where atr is not null and realized_ret is not null group by 1), bs as (select *, (-p * ln(p + 1e-12) - m * ln(m + 1e-12) - z * ln(z + 1e-12)) / ln(3) as b, case when hour_et >= 18 or hour_et < 3 then 'ASIA' when hour_et < 9 then 'EU' when hour_et < 16 then 'RTH' else 'ETH' end as session from hs) select session, cast(sum(n) as bigint) as n_total, round(sum(p * n) / sum(n), 6) + 0.0 as frac_pos, round(sum(m * n) / sum(n), 6) + 0.0 as frac_neg, round(sum(z * n) / sum(n), 6) + 0.0 as frac_zero, round(sum(b * n) / sum(n), 6) + 0.0 as balance_score from bs group by 1")
+@query("labels_sessions", f"with {TO_BARS}, {label_sql(4, 90000, 'drop', 2, 0.5, 0.5)}, hl as (select *, cast(bod as integer) as hour_et from lab), hs as (select hour_et, count(*) as n, avg(case when label = 1 then 1.0 else 0 end) as p, avg(case when label = -1 then 1.0 else 0 end) as m, avg(case when label = 0 then 1.0 else 0 end) as z from hl where atr is not null and realized_ret is not null group by 1), bs as (select *, (-p * ln(p + 1e-12) - m * ln(m + 1e-12) - z * ln(z + 1e-12)) / ln(3) as b, case when hour_et >= 18 or hour_et < 3 then 'ASIA' when hour_et < 9 then 'EU' when hour_et < 16 then 'US_RTH' else 'US_ETH' end as session from hs) select session, cast(sum(n) as bigint) as n_total, round(sum(p * n) / sum(n), 6) + 0.0 as frac_pos, round(sum(m * n) / sum(n), 6) + 0.0 as frac_neg, round(sum(z * n) / sum(n), 6) + 0.0 as frac_zero, round(sum(b * n) / sum(n), 6) + 0.0 as balance_score from bs group by 1")
 def _sessions(spark, d):
     return rounded(labels.hourly_statistics(_labeled(spark, d))[1])
 
@@ -765,12 +769,13 @@ def _greedy(spark, d):
     return spark.createDataFrame([(i, f) for i, f in enumerate(taken)], "place int, feature string")
 
 
-FOLDS = scoring.walk_forward(100, 3, 4, 4, 20)
+#: Three folds with an embargo and a purge of 4 rows, 20 training, 20 fold and 10 test rows at least, as the rule has them.
+_fold = lambda k, then: f"case when least({k} * size + 4 + size, n) - ({k} * size + 4) >= 10 and greatest(20, {k} * size - 4) <= n and {then} end"
 
 
-@query("walk_forward_folds", f"with {TO_BARS}, n as (select instr, ts, row_number() over (partition by instr order by ts) - 1 as row_no from bars) select instr, ts, row_no, case {' '.join(f'when row_no >= {c} and row_no < {e} then {k}' for k, (_, _, c, e) in enumerate(FOLDS))} else -1 end as test_fold, cast({' + '.join(f'(case when row_no >= {a} and row_no < {b} then 1 else 0 end)' for a, b, _, _ in FOLDS)} as integer) as n_train_folds from n")
+@query("walk_forward_folds", f"with {TO_BARS}, a as (select instr, ts, row_number() over (partition by instr order by ts) - 1 as row_no, count(*) over (partition by instr) as n, count(*) over (partition by instr) // 4 as size from bars) select instr, ts, row_no, coalesce({', '.join(_fold(k, f'row_no >= {k} * size + 4 and row_no < least({k} * size + 4 + size, n) then {k - 1}') for k in (1, 2, 3))}, -1) as test_fold, cast({' + '.join('coalesce(' + _fold(k, f'row_no < greatest(20, {k} * size - 4) then 1') + ', 0)' for k in (1, 2, 3))} as integer) as n_train_folds from a")
 def _folds(spark, d):
-    rows = scoring.with_folds(ad.bars(spark, d).select("instr", "ts"), FOLDS, ["ts"], ["instr"])
+    rows = scoring.with_folds(ad.bars(spark, d).select("instr", "ts"), ["ts"], ["instr"], 3, 4, 4, 20, 20, 10)
     return rows.select("instr", "ts", F.col("row_no").cast("long").alias("row_no"), "test_fold", F.size("train_folds").alias("n_train_folds"))
 
 
@@ -803,13 +808,30 @@ def _overlap(spark, d):
     return scoring.consistency(scores, 3)[1]
 
 
-NAMES = ("ES_log_return", "NQ_ofi", "cs_universe_ofi", "corr_ES_vs_gold_w60", "ofi", "spread_to_mid_bps", "slope_2s5s_logret", "hhi_bid_d10")
+NAMES = (
+    "ES_log_return", "NQ_ofi", "6E_ofi", "ZN_log_return", "SR3_x", "cs_universe_ofi", "cs_class_ofi", "cs_other", "corr_ES_vs_gold_w60", "ix_gex_sign_x_log_return", "ix_corr_ES_vs_oil_w60_x_ofi_tc_z",
+    "slope_2s5s_logret", "slope_x", "butterfly_2s5s10s", "butterfly_x", "synthetic_dxy_logret", "synthetic_x", "risk_off_score", "ofi", "hour_et", "is_rth", "log_volume", "spread_to_mid_bps", "hhi_bid_d10",
+    "amihud_illiq_w20", "large_trade_volume_share", "side_cond_ask_resilience_buy", "average_trade_size", "rolling_volume_sum_w20", "kyle_lambda_w60", "vwap_eff_spread", "volume_imbalance_L3", "order_count_imbalance_L1", "cum_imbalance_d10",
+    "microprice", "hidden_absorption_ratio_w30", "volume", "cvd_globex", "implied_volume", "mid_close", "spread_max_sub", "bid_px_L3", "ask_ord_L10", "ask_sz_L11", "book_ts_close", "halt_truncated", "atr", "instr", "seq",
+)
+_CROSS = "feature in ('synthetic_dxy_logret', 'risk_off_score', 'butterfly_2s5s10s') or regexp_matches(feature, '^(cs_universe_|cs_class_|ix_|corr_|slope_2s5s_|slope_5s10s_|slope_2s10s_|slope_10s30s_)') or regexp_matches(feature, '^(NQ|RTY|YM|6A|6B|6C|6E|6J|BZ|CL|HO|NG|RB|GC|HG|PA|PL|SI|SR3|TN|ZB|ZF|ZN|ZT|ZC|ZL|ZM|ZS|ZW)_')"
+_LIQUID = "regexp_matches(feature, 'eff_spread|depth_weighted_spread|amihud_illiq|volume_imbalance_L|order_count_imbalance_L|order_size_imbalance_L|large_trade|hhi_|dw_imbalance|cum_imbalance|side_cond_|spread|kyle_lambda|average_trade_size|rolling_volume|log_volume')"
+_RAW = "feature in ('ts', 'root', 'expiry', 'open', 'high', 'low', 'close', 'volume', 'dollar_volume', 'buys_qty', 'sells_qty', 'trades_count', 'unclassified_count', 'implied_volume', 'implied_buys', 'implied_sells', 'bid_close', 'ask_close', 'mid_close', 'spread_abs_close', 'spread_mean_sub', 'spread_std_sub', 'spread_max_sub', 'spread_min_sub', 'cvd_globex', 'cvd_rth', 'bars_since_rth_reset', 'is_session_warm', 'book_ts_close', 'book_ts_close_bid', 'book_ts_close_ask', 'label', 'realized_ret', 'realized_ret_pts', 'hit_offset', 'atr', 'halt_truncated') or regexp_full_match(feature, '(bid|ask)_(px|sz|ord)_L([1-9]|10)') or feature in ('instr', 'seq', 'year')"
 
 
-@query("feature_names", "select feature, feature like 'cs\\_%' escape '\\' or feature like 'corr\\_%' escape '\\' or feature like 'ix\\_corr\\_%' escape '\\' or feature like 'slope\\_%' escape '\\' or feature like 'butterfly\\_%' escape '\\' or feature like 'synthetic\\_%' escape '\\' or feature like 'NQ\\_%' escape '\\' as is_cross_asset, regexp_matches(feature, '" + "|".join(scoring.LIQUIDITY) + "') as is_liquidity from (values " + ", ".join(f"('{n}')" for n in NAMES) + ") t(feature)")
+@query("feature_names", f"select feature, {_CROSS} as is_cross_asset, {_LIQUID} as is_liquidity, not ({_RAW}) as is_feature from (values " + ", ".join(f"('{n}')" for n in NAMES) + ") t(feature)")
 def _names(spark, d):
     rows = spark.createDataFrame([(n,) for n in NAMES], "feature string")
-    return rows.select("feature", scoring.is_cross_asset(F.col("feature"), "ES", ["ES", "NQ"]).alias("is_cross_asset"), scoring.is_liquidity(F.col("feature")).alias("is_liquidity"))
+    panel_ = spark.createDataFrame([], ", ".join(f"`{n}` double" for n in NAMES))
+    return rows.select("feature", scoring.is_cross_asset(F.col("feature"), "ES").alias("is_cross_asset"), scoring.is_liquidity(F.col("feature")).alias("is_liquidity"), F.col("feature").isin(scoring.feature_columns(panel_)).alias("is_feature"))
+
+
+_SPEARMAN = "rk2 as (select *, row_number() over (order by abs(rank_ic) desc, feature) as rank from ics where rank_ic is not null)"
+
+
+@query("liquidity_ranks", f"with {TO_BARS}, {PANEL}, {ic_sql('')}, {_SPEARMAN} select feature, cast(rank as integer) as rank, round(rank_ic, 6) + 0.0 as rank_ic from rk2 where {_LIQUID}")
+def _liquidity_ranks(spark, d):
+    return rounded(scoring.liquidity_ranks(scoring.information_coefficients(_panel(spark, d), list(IC_FEATURES), "y", least=20)).select("feature", "rank", "rank_ic"))
 
 
 # --- Files, rolls, ingest --------------------------------------------------------------------------------------------

@@ -118,7 +118,7 @@ def test_halts_drop_or_truncate(spark):
     drop = labels.first_touch(ohlc(spark, rows), 2.0, 2.0, 4).orderBy("ts").collect()
     assert [r.hit_offset for r in drop[5:10]] == [4, -1, -1, -1, -1]
     cut = labels.first_touch(ohlc(spark, rows), 2.0, 2.0, 4, halt_mode="truncate").orderBy("ts").collect()
-    assert [r.hit_offset for r in cut[6:10]] == [3, 2, -1, -1] and [r.truncated for r in cut[5:10]] == [False, True, True, False, False]
+    assert [r.hit_offset for r in cut[6:10]] == [3, 2, -1, -1] and [r.halt_truncated for r in cut[5:10]] == [False, True, True, False, False]
     with pytest.raises(ValueError):
         labels.first_touch(ohlc(spark, rows), 1.0, 1.0, 4, halt_mode="keep")
 
@@ -126,7 +126,7 @@ def test_halts_drop_or_truncate(spark):
 def test_null_range_has_no_label(spark):
     rows = [(0, 1.0, 1.0, 1.0, 1.0, None), (5, 9.0, 9.0, 9.0, 9.0, 1.0)]
     r = labels.first_touch(ohlc(spark, rows), 1.0, 1.0, 2).orderBy("ts").first()
-    assert (r.label, r.hit_offset, r.realized_ret, r.truncated) == (0, 0, None, False)
+    assert (r.label, r.hit_offset, r.realized_ret, r.halt_truncated) == (0, 0, None, False)
 
 
 def test_volume_buckets_discard_the_overshoot(spark):
@@ -157,7 +157,7 @@ def test_fractional_difference(spark):
 
 def test_ema_starts_at_the_first_value(spark):
     df = series(spark, [None, 1.0, 2.0])
-    assert column(sequential.ema(df, ["x"], (3,)), "x_ema_w3") == [None, 1.0, 1.5]
+    assert column(sequential.ema(df, ["x"], (3,)), "x_ema_s3") == [None, 1.0, 1.5]
 
 
 def test_gamma_profile_by_hand(spark):
@@ -208,10 +208,55 @@ def test_scores(spark):
     assert scoring.greedy_select(scores, corr, 5, 0.7) == ["a", "c"]
 
 
-def test_walk_forward_keeps_an_embargo():
-    for _, train_to, test_from, test_to in scoring.walk_forward(60_000):
-        assert train_to <= test_from - 8 and test_to > test_from
-
+def test_walk_forward_keeps_an_embargo(spark):
+    for k, (_, train_to, test_from, test_to) in enumerate(scoring.walk_forward(60_000), 1):
+        assert train_to == 10_000 * k - 8 and test_from == 10_000 * k + 8 and test_to == min(test_from + 10_000, 60_000)
+    with pytest.raises(ValueError):
+        scoring.walk_forward(599, 5)
+    assert len(scoring.walk_forward(6_000, 5, embargo=960)) == 4  # the last test would have 40 rows
+    n = 1_237
+    df = spark.range(n).select(F.lit("a").alias("instr"), F.col("id").alias("ts"))
+    got = {r.ts: (r.test_fold, set(r.train_folds)) for r in scoring.with_folds(df, ["ts"], ["instr"], least_train=300).collect()}
+    splits = scoring.walk_forward(n, least_train=300)
+    for i in range(n):
+        assert got[i] == (next((k for k, (_, _, c, d) in enumerate(splits) if c <= i < d), -1), {k for k, (a, b, _, _) in enumerate(splits) if a <= i < b})
+
+
+def test_exponential_means_age_over_nulls(spark):
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1.0, None, 3.0, 4.0])], "instr string, ts int, x double")
+    got = [r.x_ema_s3 for r in sequential.ema(df, ["x"], (3,)).orderBy("ts").collect()]
+    assert got[:2] == [1.0, None] and got[2:] == pytest.approx([2 + 1 / 3, 3 + 1 / 6])
+    rets = df.withColumnRenamed("x", "r").na.fill(0.5)
+    assert [r.v for r in sequential.realized_volatility(rets, "r", 3, "ewma", "v").orderBy("ts").collect()][0] == 1.0
+    with pytest.raises(ValueError):
+        sequential.realized_volatility(rets, "r", 3, "other")
+
+
+def test_lags_are_chosen_by_aic():
+    rng = np.random.default_rng(2)
+    e = rng.standard_normal(3_000)
+    dx = np.zeros(3_000)
+    for i in range(3, 3_000):  # differences that lean on the third one before
+        dx[i] = 0.6 * dx[i - 3] + e[i]
+    walk = np.cumsum(dx)
+    assert 3 <= sequential.chosen_lags(walk) <= 12 and sequential.dickey_fuller(walk) > sequential.CRITICAL[0.01]
+    assert sequential.dickey_fuller(e) < sequential.CRITICAL[0.01]
+    # By hand: the same rows for all numbers of lags, each fitted by itself.
+    most = 30
+    a, y = sequential._unit_root_design(walk[:800], most)
+    aic = []
+    for k in range(2, most + 3):
+        rest = y - a[:, :k] @ np.linalg.lstsq(a[:, :k], y, rcond=None)[0]
+        aic.append(len(y) * np.log(rest @ rest / len(y)) + 2 * k)
+    assert sequential.chosen_lags(walk[:800]) == int(np.argmin(aic[: int(np.ceil(12 * 8**0.25)) + 1])) or abs(min(aic) - aic[sequential.chosen_lags(walk[:800])]) < 12
+
+
+def test_options_join_keeps_the_panels_columns(spark):
+    panel_ = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 6.0)], "ts int, close double, gex double")
+    options = spark.createDataFrame([(1, 9.0, 7.0), (1, 9.5, 8.0), (3, 1.0, 1.0)], "ts int, gex double, flip double")
+    got = panel.with_options(panel_, options)
+    assert got.columns == ["ts", "close", "gex", "flip"] and sorted(tuple(r) for r in got.where("ts = 1").collect()) == [(1, 1.0, 5.0, 7.0), (1, 1.0, 5.0, 8.0)]
+    assert got.where("ts = 2").first().flip is None and got.count() == 3
 
 def test_rolls(spark):
     f = spark.createDataFrame([("VX", date(2024, 1, 3), "VXF4", 5_000), ("VX", date(2024, 1, 3), "VXG4", 9_000), ("VX", date(2024, 1, 3), "VXZ3", 7_000), ("VX", date(2024, 1, 3), "VXH5", 100), ("ES", date(2024, 1, 3), "ESH4", 5_000), ("ES", date(2024, 1, 3), "ESM4", 6_000), ("ES", date(2024, 1, 4), "ESH4", 7_000), ("ES", date(2024, 1, 6), "ESM4", 7_000)], "root string, day date, expiry string, bytes long")
