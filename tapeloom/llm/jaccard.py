@@ -10,7 +10,7 @@ link with nothing. Nothing here is approximate but for 64-bit hashes that stand
 3. *Candidates.* A short list gives its pairs of fitting sizes, which must also pass a bound: parity sketches differ in at
    most as many bits as two linked sets may differ in shingles. A long list (near copies by the hundred) gives only a star.
 4. *Candidate groups.* Connected components over candidates, by hash-to-min with pointer jumping until nothing changes; every
-   linked pair lies within one.
+   linked pair lies within one. Groups are dealt by steps of set sizes: a set goes with those of its step and the next.
 5. *DivideSkip.* Within a group a set is a query: its longest inverted lists are set aside, the shorter ones are merged (they
    are sorted runs) and count occurrences, and only sets that reach T minus the number of long lists are probed in these by
    binary search. One hub is asked first; sets that it links with need no query of their own, as a link between two components
@@ -28,6 +28,7 @@ Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ WORDS, SHARE = 5, (3, 4)
 #: those with such a sum, the most frequent ones up to so many, are ordered last; shingles of one task's block of a group.
 SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 6, 500_000, 500_000
 #: Index entries that one task is dealt, rows of pairs that a task holds at once, names and words it remembers.
-ENTRIES_A_TASK, PAIRS_AT_ONCE, NAMES_KEPT, WORDS_KEPT = 1_000_000, 500_000, 100_000, 150_000
+ENTRIES_A_TASK, PAIRS_AT_ONCE, NAMES_KEPT, WORDS_KEPT = 500_000, 200_000, 100_000, 150_000
 MU = 0.0085  # DivideSkip's weight of probing against merging
 
 
@@ -424,8 +425,8 @@ def _unique(table: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
     return names, at, [np.frombuffer(table["shingles"][k].as_py(), "<u8") for k in at]
 
 
-def group_links(carried: DataFrame) -> tuple[DataFrame, bool]:
-    """(a, b) of connected names within groups: stars around the least connected name of a task; and whether each group was one task."""
+def group_links(carried: DataFrame) -> DataFrame:
+    """(a, b) of connected names within groups: stars around the least connected name of a task."""
 
     def within(table: pa.Table) -> pa.Table:
         names, at, sets = _unique(table)
@@ -440,9 +441,8 @@ def group_links(carried: DataFrame) -> tuple[DataFrame, bool]:
     placed = carried.withColumn("block", F.expr("explode(if(name = hub, sequence(0, blocks - 1), array(block)))"))
     local = written(placed.groupBy("c", "block").applyInArrow(within, "c long, a long, b long, open boolean"), "links")
     links = local.where("a <> b").select("a", "b")
-    whole = not carried.where("blocks > 1").take(1)
-    if whole or not local.where("open").take(1):
-        return links, whole
+    if not local.where("open").take(1):
+        return links
 
     def across(table: pa.Table) -> pa.Table:
         names, _, sets = _unique(table)
@@ -452,12 +452,12 @@ def group_links(carried: DataFrame) -> tuple[DataFrame, bool]:
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _LINK, strict=True)], schema=_LINK)
 
     # Sets that their block didn't connect to the hub, in chunks, meet every block of their group.
-    rest = written(local.where("open").select(F.col("b").alias("name")).distinct().join(carried, "name"), "rest")
+    rest = written(local.where("open").select("c", F.col("b").alias("name")).distinct().join(carried, ["c", "name"]), "rest")
     chunks = rest.groupBy("c").agg(F.ceil(F.sum(F.expr("octet_length(shingles) div 8")) / BLOCK_SHINGLES).cast("int").alias("chunks"))
     asked = hot_join(rest, chunks, "c", "inner").select("c", F.expr("cast(pmod(xxhash64(name, 1), chunks) as int)").alias("chunk"), F.expr("explode(sequence(0, blocks - 1))").alias("block"), "name", "shingles", F.lit(True).alias("asked"))
     there = hot_join(carried, chunks, "c", "inner").select("c", F.expr("explode(sequence(0, chunks - 1))").alias("chunk"), "block", "name", "shingles", F.lit(False).alias("asked"))
     more = asked.unionByName(there).groupBy("c", "chunk", "block").applyInArrow(across, "c long, a long, b long, open boolean")
-    return links.unionByName(written(more.where("a <> b"), "links").select("a", "b")), False
+    return links.unionByName(written(more.where("a <> b"), "links").select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -486,12 +486,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Groups, their hubs (the name of most candidates) and blocks; each set of a group travels once.
     degrees = close.selectExpr("inline(array(struct(a as name), struct(b as name)))").groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
     members = written(classes.join(grouped.withColumnRenamed("v", "name"), "name").join(degrees, "name"), "members")
-    cut = members.groupBy("c").agg(F.max(F.struct("degree", "name"))["name"].alias("hub"), F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = hot_join(members, cut, "c", "inner").select("row_key", "name", "c", "hub", "blocks", F.expr("cast(pmod(xxhash64(name), blocks) as int)").alias("block"))
-    carried = _sets_of(docs, dealt, [("c", "long", pa.int64()), ("hub", "long", pa.int64()), ("blocks", "int", pa.int32()), ("block", "int", pa.int32())])
-    links, whole = group_links(carried)
-    stars = links.select(F.col("b").alias("name"), F.col("a").alias("c")).unionByName(links.select(F.col("a").alias("name"), F.col("a").alias("c")).distinct())
-    final = written(stars if whole else components(links).withColumnRenamed("v", "name"), "final")
+    # A group falls apart by size: sets of one step, a factor of 1.34, link with their own and the next step only.
+    step = F.floor(F.log("n") / math.log(1.34)).cast("int")
+    stepped = written(members.select("name", "row_key", "n", "degree", F.explode(F.array(step, step - 1)).alias("step"), "c").withColumn("c", F.xxhash64("c", "step")), "stepped")
+    cut = stepped.groupBy("c").agg(F.max(F.struct("degree", "name"))["name"].alias("hub"), F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    dealt = hot_join(stepped, cut, "c", "inner").groupBy("row_key", "name").agg(F.collect_list(F.struct("c", "hub", "blocks", F.expr("cast(pmod(xxhash64(name), blocks) as int)").alias("block"))).alias("places"))  # two places at most
+    place = pa.struct([("c", pa.int64()), ("hub", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32())])
+    carried = _sets_of(docs, dealt, [("places", "array<struct<c: bigint, hub: bigint, blocks: int, block: int>>", pa.list_(place))]).selectExpr("name", "inline(places)", "shingles")
+    final = written(components(group_links(carried)).withColumnRenamed("v", "name"), "final")
 
     least = classes.join(final, "name").groupBy("c").agg(F.min("least").alias("component_id"))
     of_class = hot_join(final, least, "c", "inner").select("name", "component_id")

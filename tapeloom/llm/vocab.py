@@ -10,7 +10,7 @@ from array import array
 import numpy as np
 
 #: Most entries of a worker's cache; a full cache is emptied, results stay the same.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, PIECE_ENTRIES = 300_000, 120_000
 _LOADED: dict = {}
 _PAIR_OF_SPACES = re.compile(r"\s\s")
 
@@ -117,7 +117,7 @@ class Pieces:
         where a token begins with one; words that a vocabulary's normaliser splits or joins are encoded one by one.
         """
         new = [w for w in words if w not in self.kept]
-        if len(self.kept) + len(new) > CACHE_ENTRIES:
+        if len(self.kept) + len(new) > PIECE_ENTRIES:
             self.kept.clear()
             new = list(words)
         for i in range(0, len(new), 2_000):
