@@ -16,7 +16,7 @@ link with nothing. Nothing here is approximate but for 64-bit hashes that stand
    binary search. One hub is asked first; sets that it links with need no query of their own, as a link between two components
    has an end outside the hub's. So a group of near copies of one text costs work in proportion to it.
 6. *Large groups* are cut into blocks of bounded size, the hub in each; the sets that aren't connected to it are then asked
-   against every block.
+   once against each other and against every block of the others.
 
 Joins on keys that may be hot (a class with very many copies, a group with very many classes) go through `hot_join`.
 
@@ -445,18 +445,24 @@ def group_links(carried: DataFrame) -> DataFrame:
         return links
 
     def across(table: pa.Table) -> pa.Table:
-        names, _, sets = _unique(table)
-        asked = {n for n, q in zip(table["name"].to_pylist(), table["asked"].to_pylist(), strict=True) if q}
-        found = divide_skip(sets, ask=[n in asked for n in names]) if asked and len(asked) < table.num_rows else Groups(len(names))
+        names, at, sets = _unique(table)
+        asked = [table["asked"][k].as_py() for k in at]
+        found = divide_skip(sets) if all(asked) else divide_skip(sets, ask=asked)
         rows = [(0, names[found.root(i)], name, False) for i, name in enumerate(names)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _LINK, strict=True)], schema=_LINK)
 
-    # Sets that their block didn't connect to the hub, in chunks, meet every block of their group.
-    rest = written(local.where("open").select("c", F.col("b").alias("name")).distinct().join(carried, ["c", "name"]), "rest")
-    chunks = rest.groupBy("c").agg(F.ceil(F.sum(F.expr("octet_length(shingles) div 8")) / BLOCK_SHINGLES).cast("int").alias("chunks"))
-    asked = hot_join(rest, chunks, "c", "inner").select("c", F.expr("cast(pmod(xxhash64(name, 1), chunks) as int)").alias("chunk"), F.expr("explode(sequence(0, blocks - 1))").alias("block"), "name", "shingles", F.lit(True).alias("asked"))
-    there = hot_join(carried, chunks, "c", "inner").select("c", F.expr("explode(sequence(0, chunks - 1))").alias("chunk"), "block", "name", "shingles", F.lit(False).alias("asked"))
-    more = asked.unionByName(there).groupBy("c", "chunk", "block").applyInArrow(across, "c long, a long, b long, open boolean")
+    # Sets that their block didn't connect to the hub meet, in chunks, each other once and the blocks of all other sets.
+    cut = carried.where("blocks > 1").select("c", "name", "shingles")
+    loose = local.where("open").select("c", F.col("b").alias("name")).distinct()
+    rest, others = written(cut.join(loose, ["c", "name"]), "rest"), cut.join(loose, ["c", "name"], "left_anti")
+    held = F.sum(F.expr("octet_length(shingles) div 8"))
+    both = rest.groupBy("c").agg(held.alias("some")).join(cut.groupBy("c").agg(held.alias("total")), "c")
+    sizes = written(both.select("c", *[F.greatest(F.lit(1), F.ceil(F.expr(x) / BLOCK_SHINGLES)).cast("int").alias(y) for x, y in (("some", "chunks"), ("total - some", "blocks"))]), "sizes")
+    asked = hot_join(rest, sizes, "c", "inner").withColumn("q", F.expr("cast(pmod(xxhash64(name, 1), chunks) as int)"))
+    paired = asked.withColumn("k", F.expr("explode(sequence(0, chunks - 1))")).select("c", F.least("q", "k").alias("x"), F.greatest("q", "k").alias("y"), "name", "shingles", F.expr("q <= k").alias("asked"))
+    sent = asked.select("c", F.col("q").alias("x"), F.expr("explode(sequence(-blocks, -1))").alias("y"), "name", "shingles", F.lit(True).alias("asked"))
+    there = hot_join(others, sizes, "c", "inner", keys=cut.select("c")).select("c", F.expr("explode(sequence(0, chunks - 1))").alias("x"), F.expr("cast(-1 - pmod(xxhash64(name), blocks) as int)").alias("y"), "name", "shingles", F.lit(False).alias("asked"))
+    more = paired.unionByName(sent).unionByName(there).groupBy("c", "x", "y").applyInArrow(across, "c long, a long, b long, open boolean")
     return links.unionByName(written(more.where("a <> b"), "links").select("a", "b"))
 
 
