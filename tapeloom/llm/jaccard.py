@@ -9,7 +9,7 @@ link with nothing. Nothing here is approximate but for 64-bit hashes that stand
    give no lists of candidates. Those first shingles are the inverted index, dealt out by hash ranges.
 3. *Candidates.* A short list gives its pairs of fitting sizes, which must also pass a bound: parity sketches differ in at
    most as many bits as two linked sets may differ in shingles. A long list (near copies by the hundred) gives only a star.
-4. *Candidate groups.* Connected components over candidates, by hash-to-min with pointer jumping until nothing changes; every
+4. *Candidate groups.* Connected components over candidates, by contraction onto least neighbours until no edge is left; every
    linked pair lies within one. Groups are dealt by steps of set sizes: a set goes with those of its step and the next.
 5. *DivideSkip.* Within a group a set is a query: its longest inverted lists are set aside, the shorter ones are merged (they
    are sorted runs) and count occurrences, and only sets that reach T minus the number of long lists are probed in these by
@@ -186,18 +186,22 @@ def divide_skip(sets: list[np.ndarray], ask: list[bool] | None = None, hub: int
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): each end of an edge (a, b) with the least end of its component.
 
-    Every round takes the least label among neighbours and then the label of that label, over written tables, until no label
-    changes: labels only fall, so it ends.
+    Every round an end takes the least of itself and its neighbours, then what that one took, and edges are drawn again between
+    what their ends took, until none are left. The least end of a component keeps itself, and the greatest is never taken: so it
+    ends. Edges become fewer each round, and long chains halve.
     """
-    both = written(edges.select("a", "b").where("a <> b").distinct().selectExpr("inline(array(struct(a as v, b as w), struct(b as v, a as w)))"), "edges")
-    labels = written(both.groupBy("v").agg(F.min("w").alias("c")).select("v", F.least("v", "c").alias("c")), "labels")
+    left = written(edges.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = hot_join(both, labels.select(F.col("v").alias("w"), "c"), "w", "inner").groupBy("v").agg(F.min("c").alias("c"))
-        lower = written(labels.alias("l").join(near.alias("n"), "v").select("v", F.least("l.c", "n.c").alias("c"), F.col("l.c").alias("was")), "lower")
-        tops = lower.select(F.col("v").alias("c"), F.col("c").alias("top"))
-        now = written(hot_join(lower, tops, "c", "left").select("v", F.least("c", F.coalesce("top", "c")).alias("c"), "was"), "labels")
-        labels = now.select("v", "c")
-        if not now.where("c <> was").take(1):
+        both = left.selectExpr("inline(array(struct(a as v, b as w), struct(b as v, a as w)))")
+        least = written(both.groupBy("v").agg(F.min("w").alias("w")).selectExpr("v", "least(v, w) as c"), "least")
+        took = written(hot_join(least, least.selectExpr("v as c", "c as top"), "c", "inner").selectExpr("v", "top as c"), "took")
+        tops = took.selectExpr("v as c", "c as top")
+        labels = took if labels is None else written(hot_join(labels, tops, "c", "left").selectExpr("v", "coalesce(top, c) as c"), "labels")
+        half = written(hot_join(left, took.selectExpr("v as a", "c as x"), "a", "inner").select("x", "b"), "half")
+        drawn = hot_join(half, took.selectExpr("v as b", "c as y"), "b", "inner").selectExpr("least(x, y) as a", "greatest(x, y) as b")
+        left = written(drawn.where("a <> b").distinct(), "edges")
+        if not left.take(1):
             return labels
 
 
