@@ -41,7 +41,7 @@ from .common import WordHash, arrow_rows, bounded_batches, chunked, fresh, hot_j
 WORDS, SHARE = 5, (3, 4)
 #: Lists up to so long give all their pairs; shingles that come so often in one task are counted over all tasks;
 #: those with such a sum, the most frequent ones up to so many, are ordered last; shingles of one task's block of a group.
-SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 6, 500_000, 500_000
+SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 2, 500_000, 500_000
 #: Index entries that one task is dealt, rows of pairs that a task holds at once, names and words it remembers.
 ENTRIES_A_TASK, PAIRS_AT_ONCE, NAMES_KEPT, WORDS_KEPT = 500_000, 200_000, 100_000, 150_000
 MU = 0.0085  # DivideSkip's weight of probing against merging
@@ -77,6 +77,12 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(hits.astype(np.uint8), bitorder="little").tobytes()
 
 
+def narrowed(n: int, x: bytes) -> bytes:
+    """The sketch of a set of n folded to a power of two of at least 3n/4 bits: enough to part most sets that share little."""
+    width = max(64, 1 << (max(1, 3 * n // 4) - 1).bit_length()) // 8
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0).tobytes()
+
+
 def may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
     """False only if the sets can't link: sketches differ in no more bits than the sets differ in shingles."""
     x, y = (a, b) if len(a) <= len(b) else (b, a)
@@ -479,18 +485,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = int(classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0)
     pairs, near = candidate_pairs(docs, frequent, entries)
 
-    # Sketches of the sets in pairs; a pair that can't link goes.
+    # Sketches of the sets in pairs; a pair that can't link goes, most by narrow sketches, so that few whole ones travel.
     ends = pairs.selectExpr("inline(array(struct(a as name), struct(b as name)))").distinct()
-    of_pairs = classes.join(ends, "name").select("row_key", "name")
-    sketches = written(of_pairs.join(sets.where("n > 0").select("row_key", "sketch"), "row_key").groupBy("name").agg(F.first("sketch").alias("sketch")), "sketches")
-    drawn = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+    of_pairs = classes.join(ends, "name").select("row_key", "name", F.col("n").cast("int").alias("n"))
+    whole = of_pairs.join(sets.where("n > 0").select("row_key", "sketch"), "row_key").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    arrow = pa.schema([("name", pa.int64()), ("sketch", pa.binary()), ("narrow", pa.binary())])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from chunked(((name, x, narrowed(n, x)) for name, n, x in arrow_rows(batches)), arrow)
+
+    sketches = written(whole.mapInArrow(folded, "name long, sketch binary, narrow binary"), "sketches")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [may_link(n, x, m, y) for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "n", "m"]).filter(pa.array(keep, pa.bool_()))
+
+    def passing(some: DataFrame, kind: str) -> DataFrame:
+        drawn = some.join(sketches.select(F.col("name").alias("a"), F.col(kind).alias("x")), "a").join(sketches.select(F.col("name").alias("b"), F.col(kind).alias("y")), "b")
+        return drawn.select("a", "b", "n", "x", "m", "y").mapInArrow(likely, "a long, b long, n int, m int")
 
-    close = written(drawn.select("a", "b", "n", "x", "m", "y").mapInArrow(likely, "a long, b long").unionByName(near), "close")
+    fit = written(passing(pairs, "narrow"), "likely")
+    close = written(passing(fit, "sketch").select("a", "b").unionByName(near), "close")
     grouped = components(close)
 
     # Groups, their hubs (the name of most candidates) and blocks; each set of a group travels once.

@@ -298,6 +298,16 @@ def test_one_large_group_of_near_copies(spark, monkeypatch, block):
     assert got == brute_components(list(enumerate(texts)))
 
 
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(1000), 400)
+    edges = [*zip(names[:150], names[1:151], strict=False), *((names[200], x) for x in names[201:260]), (names[300], names[301]), (names[301], names[300]), (names[310], names[310])]
+    got = {(r.v, r.c) for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parts = [names[:151], names[200:260], names[300:302]]
+    assert got == {(v, min(part)) for part in parts for v in part}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_hot_join_is_a_join(spark):
     left = spark.createDataFrame([(i % 7 if i % 2 else 1, i) for i in range(200)] + [(None, -1)] * 30, "k long, v long")
     right = spark.createDataFrame([(k, k * k) for k in range(5)], "k long, w long")
@@ -314,6 +324,7 @@ def test_sketches_lose_no_link(a, change):
     x, y = salt(a), salt(b)
     if 4 * len(a & b) >= 3 * len(a | b):
         assert jaccard.may_link(len(x), jaccard.sketch(x), len(y), jaccard.sketch(y))
+        assert jaccard.may_link(len(x), jaccard.narrowed(len(x), jaccard.sketch(x)), len(y), jaccard.narrowed(len(y), jaccard.sketch(y)))
         assert jaccard.divide_skip([x, y]).root(1) == 0
         order = set(x[: jaccard.index_part(len(x))].tolist()) & set(y[: jaccard.index_part(len(y))].tolist())
         assert order  # the index part of one meets that of the other
