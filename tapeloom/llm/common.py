@@ -90,6 +90,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a written table whose buckets hold the hashes of `key`: joins by the key leave its rows where they lie.
+
+    It has as many buckets as a shuffle has partitions in this session, so that the other side of such a join is dealt alike.
+    """
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tapeloom_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, name)).format("parquet").saveAsTable(table)
+    atexit.register(_drop, spark, table)
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {table}")
+    except Exception:  # noqa: BLE001  the session and its catalogue have ended
+        pass
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """A column name made from `name` that is none of those taken, whatever their case."""
     name, taken = f"_{name}", {c.lower() for c in taken}

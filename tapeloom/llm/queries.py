@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators; each reads its whole tables and returns all rows."""
+"""The registered queries of the thirteen operators; each reads its whole tables and returns all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, jaccard, licenses, packing, pii, quality_rules, sharding, url_filters, warc
+from . import classifier, decontamination, fill_in_middle, importance, jaccard, licenses, packing, pii, quality_rules, sharding, substrings, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,9 @@ QUERIES = {
     "op8_warc": lambda spark, d: warc.page_records(table(spark, d, "pages")),
     "op9_pii": lambda spark, d: pii.span_digest(table(spark, d, "documents")),
     "op10_quality_classifier": lambda spark, d: classifier.score(table(spark, d, "documents"), classifier.train(table(spark, d, "documents"), table(spark, d, "labels"))),
+    "op11_importance_resampling": lambda spark, d: importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op12_fill_in_middle": lambda spark, d: fill_in_middle.digest(table(spark, d, "documents")),
+    "op13_substring_dedup": lambda spark, d: substrings.digest(table(spark, d, "documents")),
 }
 
 ORACLES = {
@@ -36,4 +39,5 @@ ORACLES = {
             case when payload_bytes >= 100 and page_id <> first then first end as refers_to
         from r""",
     "op9_pii": pii.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
