@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import boosting
 from .cross_section import CLASSES
 
 ALL_INSTRUMENTS = [i for members in CLASSES.values() for i in members]
@@ -158,11 +159,11 @@ def walk_forward(n: int, folds: int = 5, embargo: int = 8, purge: int = 8, least
 
 def with_folds(df: DataFrame, order: list[str], by: list[str], folds: int = 5, embargo: int = 8, purge: int = 8, least_train: int = 5_000, least_fold: int = 100, least_test: int = 50) -> DataFrame:
     """Rows of each group numbered in order of time, with the fold they test (-1: none) and the folds they train, by the rule of
-    `walk_forward` over each group's own number of rows."""
+    `walk_forward` over each group's own number of rows. Groups with too few rows have no folds; `groups_without_folds` names them."""
     group = Window.partitionBy(*by)
     rows = df.withColumns({"row_no": F.row_number().over(group.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(group)})
     size = F.floor(F.col("_n") / (folds + 1)).cast("int")
-    rows = rows.withColumn("_size", F.when(size >= least_fold, size).otherwise(F.raise_error(F.lit(f"too few rows for {folds} folds")).cast("int")))
+    rows = rows.withColumn("_size", F.when(size >= least_fold, size))
     test, train = F.lit(-1), []
     for k in range(folds):
         end = F.col("_size") * (k + 1)
@@ -175,10 +176,18 @@ def with_folds(df: DataFrame, order: list[str], by: list[str], folds: int = 5, e
     return rows.withColumns({"test_fold": test, "train_folds": F.filter(F.array(*train), lambda x: x.isNotNull())}).drop("_n", "_size")
 
 
-def class_metrics(df: DataFrame, label: str, probabilities: dict[int, str]) -> DataFrame:
-    """Log loss, accuracy and balanced accuracy of predicted class probabilities."""
-    p = {c: F.least(F.greatest(F.col(x), F.lit(1e-15)), F.lit(1.0)) for c, x in probabilities.items()}
-    best = F.greatest(*[F.struct(F.col(x).alias("p"), F.lit(c).alias("c")) for c, x in probabilities.items()])["c"] if len(probabilities) > 1 else F.lit(next(iter(probabilities)))
+def groups_without_folds(folded: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows with folds: the groups that have none, with their numbers of rows."""
+    some = F.max((F.col("test_fold") >= 0) | (F.size("train_folds") > 0))
+    return folded.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), some.alias("_some")).where(~F.col("_some")).drop("_some")
+
+
+def class_metrics(df: DataFrame, label: str, probabilities: dict[int, str], by: list[str] | None = None) -> DataFrame:
+    """Log loss, accuracy and balanced accuracy of predicted class probabilities, of each group of `by`. Of equal probabilities the
+    first class of `probabilities` is predicted; probabilities count as 1e-12 at least."""
+    p = {c: F.least(F.greatest(F.col(x), F.lit(1e-12)), F.lit(1.0)) for c, x in probabilities.items()}
+    ranked = [F.struct(F.col(x).alias("p"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, (c, x) in enumerate(probabilities.items())]
+    best = F.greatest(*ranked)["c"] if len(ranked) > 1 else F.lit(next(iter(probabilities)))
     hit = (best == F.col(label)).cast("double")
     loss = F.coalesce(*[F.when(F.col(label) == c, -F.ln(x)) for c, x in p.items()])
     recall = [F.avg(F.when(F.col(label) == c, hit)) for c in probabilities]
@@ -186,17 +195,19 @@ def class_metrics(df: DataFrame, label: str, probabilities: dict[int, str]) -> D
     total, n = F.lit(0.0), F.lit(0)
     for r, k in zip(recall, present, strict=True):
         total, n = total + F.coalesce(r, F.lit(0.0)), n + k
-    return df.agg(F.avg(loss).alias("log_loss"), F.avg(hit).alias("accuracy"), (total / n).alias("balanced_accuracy"), F.count(F.lit(1)).alias("n"))
-
-
-def train_classes(train: DataFrame, features: list[str], label: str = "label", trees: int = 40, depth: int = 6, seed: int = 7):
-    """A three-class forest over the features (nulls as 0): a distributed stand-in for boosted trees, whose library isn't here."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    steps = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol="_x"), RandomForestClassifier(labelCol="_label", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed)]
-    return Pipeline(stages=steps).fit(train.na.fill(0.0, features))
+    return df.groupBy(*(by or [])).agg(F.avg(loss).alias("log_loss"), F.avg(hit).alias("accuracy"), (total / n).alias("balanced_accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def train_classes(rows: DataFrame, features: list[str], label: str = "label", **parameters) -> tuple[boosting.Forest, DataFrame]:
+    """The boosted model refitted on all rows (see boosting.train), and the metrics of each fold over the rows that it tests."""
+    model, folds = boosting.train(rows, features, label, parameters=boosting.Parameters(**parameters))
+    tested = rows.where((F.col("test_fold") >= 0) & boosting.whole(features) & F.col(label).isNotNull())
+    if not folds:
+        return model, class_metrics(tested.select(F.col("test_fold").alias("fold"), label, *[F.lit(None).cast("double").alias(f"p{k}") for k in range(3)]), label, {c: f"p{k}" for k, c in enumerate(model.classes)}, ["fold"])
+    scores = boosting.predict(tested.select(F.col("test_fold").alias("fold"), label, *[f"`{f}`" for f in features]), folds, F.col("fold"))
+    metrics = class_metrics(scores, label, {c: f"p{k}" for k, c in enumerate(model.classes)}, ["fold"])
+    about = rows.sparkSession.createDataFrame([(f.metadata["fold"], f.metadata["best_iteration"], f.metadata["n_train"]) for f in folds], "fold int, best_iteration int, n_train long")
+    return model, metrics.join(F.broadcast(about), "fold").withColumnRenamed("n", "n_val")  # a row a fold
 
 
 def top_combinations(stats: DataFrame, n: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ from .functions.along import Along, share
 from .operators import asof as asof_op
 from .operators import bars as bars_op
 from .operators import cross_section as cs
-from .operators import daily, execution, labels, rolls, scoring, sequential
+from .operators import boosting, daily, execution, labels, rolls, scoring, sequential
 from .plans import panel
 from .sources import ingest
 
@@ -779,18 +779,53 @@ def _folds(spark, d):
     return rows.select("instr", "ts", F.col("row_no").cast("long").alias("row_no"), "test_fold", F.size("train_folds").alias("n_train_folds"))
 
 
-PROBS = "pr as (select label, 1 + abs(label) + (k % 3) as a, 1 + (k % 5) as b, 1 + (k % 2) as c from lab), pn as (select label, a / (a + b + c) as p1, b / (a + b + c) as p0, c / (a + b + c) as pm from pr), best as (select *, case when pm > p0 and pm > p1 then -1 when p0 > p1 and p0 >= pm then 0 else 1 end as x, case label when 1 then p1 when 0 then p0 else pm end as p from pn)"
+#: Some probabilities are 0, and some tie.
+PROBS = "pr as (select label, k % 3 as a, 1 + (k % 4) as b, (k + abs(label)) % 2 * (1 + k % 5) as c from lab), pn as (select label, a / (a + b + c) as p1, b / (a + b + c) as p0, c / (a + b + c) as pm from pr), best as (select *, case when pm >= p0 and pm >= p1 then -1 when p0 >= p1 then 0 else 1 end as x, greatest(case label when 1 then p1 when 0 then p0 else pm end, 1e-12) as p from pn)"
 
 
 @query("class_metrics", f"with {TO_BARS}, {label_sql(4, 90000, 'drop', 2, 0.5, 0.5)}, {PROBS} select round(avg(-ln(p)), 6) + 0.0 as log_loss, round(avg(case when x = label then 1.0 else 0 end), 6) + 0.0 as accuracy, (select round(avg(q), 6) + 0.0 from (select avg(case when x = label then 1.0 else 0 end) as q from best group by label)) as balanced_accuracy, count(*) as n from best")
 def _metrics(spark, d):
     k = F.row_number().over(Window.partitionBy("instr").orderBy("ts"))
-    rows = _labeled(spark, d).withColumn("k", k).withColumns({"a": 1 + F.abs("label") + F.col("k") % 3, "b": 1 + F.col("k") % 5, "c": 1 + F.col("k") % 2})
+    rows = _labeled(spark, d).withColumn("k", k).withColumns({"a": F.col("k") % 3, "b": 1 + F.col("k") % 4, "c": (F.col("k") + F.abs("label")) % 2 * (1 + F.col("k") % 5)})
     total = F.col("a") + F.col("b") + F.col("c")
     rows = rows.select("label", (F.col("c") / total).alias("pm"), (F.col("b") / total).alias("p0"), (F.col("a") / total).alias("p1"))
     return rounded(scoring.class_metrics(rows, "label", {-1: "pm", 0: "p0", 1: "p1"}))
 
 
+BOOSTED = ("ofi", "log_return", "log_volume", "spread_to_mid_bps", "average_trade_size")
+_GROWTH = {"rounds": 8, "patience": 3, "depth": 3, "bins": 32, "rate": 0.1, "least_rows": 10}
+
+
+def _training_rows(spark, d):
+    rows = _base(spark, d)
+    marks = _labeled(spark, d).select("instr", "ts", "label")
+    rows = rows.join(marks, ["instr", "ts"]).select("instr", "ts", "label", *BOOSTED)
+    return scoring.with_folds(rows, ["ts"], ["instr"], 3, 4, 4, 20, 20, 10)
+
+
+@query("boosted_folds")
+def _boosted_folds(spark, d):
+    """Trees have no SQL: the tests hold them against a plain loop, and `boosted_split_gains` has the first node's."""
+    return rounded(scoring.train_classes(_training_rows(spark, d), list(BOOSTED), **_GROWTH)[1])
+
+
+#: Fixed edges of bins for the comparison with SQL.
+CUTS = {"ofi": (-0.4, -0.1, 0.1, 0.4), "log_return": (-0.5, -0.1, 0.0, 0.1, 0.5), "log_volume": (3.0, 4.0, 5.0)}
+_WHOLE = " and ".join(f"isfinite({f})" for f in CUTS)
+GAINS = f"""lb2 as (select label, {', '.join(CUTS)} from base join (select instr, ts, label from lab) using (instr, ts) where {_WHOLE}),
+    pri as (select {', '.join(f"avg(case when label = {c} then 1.0 else 0 end) as q{k}" for k, c in enumerate((-1, 0, 1)))} from lb2),
+    gh as (select {', '.join(f"{' + '.join(f'(case when {f} > {e} then 1 else 0 end)' for e in es)} as b_{f}" for f, es in CUTS.items())}, {', '.join(f"q{k} - case when label = {c} then 1.0 else 0 end as g{k}, 1.5 * q{k} * (1 - q{k}) as h{k}" for k, c in enumerate((-1, 0, 1)))} from lb2, pri),
+    long as ({' union all '.join(f"select {k} as class, {i} as feature, b_{f} as bin, g{k} as g, h{k} as h from gh" for k in range(3) for i, f in enumerate(CUTS))}),
+    sums as (select class, feature, bin, sum(g) as g, sum(h) as h, count(*) as n from long group by all),
+    ran as (select *, sum(g) over w as gl, sum(h) over w as hl, sum(n) over w as nl, sum(g) over v as ga, sum(h) over v as ha, sum(n) over v as na from sums window w as (partition by class, feature order by bin), v as (partition by class, feature))"""
+
+
+@query("boosted_split_gains", f"with {TO_BARS}, {BASE}, {label_sql(4, 90000, 'drop', 2, 0.5, 0.5)}, {GAINS} select cast(class as integer) as class, cast(feature as integer) as feature, cast(bin as integer) as bin, cast(nl as bigint) as n_left, case when nl >= 10 and na - nl >= 10 then round(gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha, 6) + 0.0 end as gain from ran")
+def _boosted_split_gains(spark, d):
+    rows = _base(spark, d).join(_labeled(spark, d).select("instr", "ts", "label"), ["instr", "ts"])
+    return rounded(boosting.first_split_gains(rows, {f: list(e) for f, e in CUTS.items()}, "label", (-1, 0, 1), 10, 1e-3).select(F.col("model").alias("class"), "feature", "bin", F.col("nl").alias("n_left"), "gain"))
+
+
 @query("label_top_combinations", "select * from (" + ORACLES["labels_tuned"].replace("* from (with", "* from (with") + ") order by balance_score * abs(label_forward_return_corr) desc limit 3")
 def _top_combinations(spark, d):
     return rounded(scoring.top_combinations(labels.tune_labels(_label_bars(spark, d), (0.5, 1.0), (0.5, 1.0), (2, 4), (N,), gap_seconds=90000), 3).drop("score"))
