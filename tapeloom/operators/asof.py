@@ -1,8 +1,12 @@
-"""As-of joins as one shuffle: a tagged union of both sides, then the last right row in the order of time.
+"""As-of joins over slices of time, with carries: a key's history is parted among many tasks.
+
+Both sides are tagged, united and dealt by (key, slice) in one shuffle. Within a slice a window finds the last right row; each slice's
+last right row, a row a slice, is handed on to the slices after it, where it stands in for left rows that come before any right row of
+their own slice. The carries are read from the same shuffle, and join back without another one of the rows.
 
 Right columns travel as one struct, so that a right row with nulls still covers older ones. Strict: a right row at the very
-time of a left one doesn't count. `within` bounds the age of the right row in seconds (None: any age). A hot key is one
-window partition; give `slice_by` (for example the day) where carrying rows over its edge isn't wanted, to spread it.
+time of a left one doesn't count. `within` bounds the age of the right row in seconds (None: any age). Rows with a null key or time
+find nothing and aren't found.
 """
 
 from __future__ import annotations
@@ -10,21 +14,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import HOURS, time_slice
+
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str = "ts", strict: bool = False, within: float | None = None, carry: str | None = None, right_on: str | None = None, left_seq: str = "seq", right_seq: str = "seq", slice_by: list[str] | None = None) -> DataFrame:
-    """left with the columns of the latest right row before (or at) its time; `carry` names a column for that row's time."""
-    right_on, keys = right_on or on, [*by, *(slice_by or [])]
-    values = [c for c in right.columns if c not in (*keys, right_on, right_seq)]
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str = "ts", strict: bool = False, within: float | None = None, carry: str | None = None, right_on: str | None = None, left_seq: str = "seq", right_seq: str = "seq", hours: int = HOURS) -> DataFrame:
+    """left with the columns of the latest right row before (or at) its time; `carry` names a column for that row's time. A slice
+    has `hours` hours: fewer where one key's day is too much for a task."""
+    right_on = right_on or on
+    values = [c for c in right.columns if c not in (*by, right_on, right_seq)]
     clash = [c for c in values if c in left.columns]
     if clash:
         raise ValueError(f"both sides have {clash}")
     late, early = (0, 1) if strict else (1, 0)  # where the right row stands at equal times
     seq = lambda d, name: F.col(name).cast("long") if name in d.columns else F.lit(0).cast("long")
-    l = left.select(*[F.col(k) for k in keys], F.col(on).alias("_t"), F.lit(late).alias("_side"), seq(left, left_seq).alias("_seq"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).alias("_right"))
-    r = right.select(*[F.col(k) for k in keys], F.col(right_on).alias("_t"), F.lit(early).alias("_side"), seq(right, right_seq).alias("_seq"), F.lit(None).alias("_left"), F.struct(*[F.col(c) for c in values], F.col(right_on).alias("_at")).alias("_right"))
-    both = l.unionByName(r)
-    frame = Window.partitionBy(*keys).orderBy("_t", "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(frame)).where(F.col("_left").isNotNull())
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    names = [*[f"_k{i}" for i in range(len(by))], "_slice"]
+    known = F.col(right_on).isNotNull()
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    l = left.select(*keys, F.col(on).alias("_t"), F.lit(late).alias("_side"), seq(left, left_seq).alias("_seq"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).alias("_right"))
+    r = right.where(known).select(*keys, F.col(right_on).alias("_t"), F.lit(early).alias("_side"), seq(right, right_seq).alias("_seq"), F.lit(None).alias("_left"), F.struct(*[F.col(c) for c in values], F.col(right_on).alias("_at")).alias("_right"))
+    dealt = l.unionByName(r).withColumn("_slice", time_slice(F.col("_t"), hours)).repartition(*names)
+
+    frame = Window.partitionBy(*names).orderBy("_t", "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_hit", F.last("_right", ignorenulls=True).over(frame)).where(F.col("_left").isNotNull())
+    # A row a slice. It reads the same columns as the window does, so both share one shuffle.
+    ends = dealt.groupBy(*names).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct("_t", "_side", "_seq"))).alias("_end"), F.count("_left").alias("_lefts"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*names[:-1]).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    carries = ends.withColumn("_carry", before).where(F.col("_carry").isNotNull() & (F.col("_lefts") > 0)).select(*names, "_carry")
+    found = found.join(carries, names, "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
     hit = F.col("_hit")
     if within:
         found = found.withColumn("_hit", F.when(F.col("_t") - F.col("_hit._at") <= F.make_dt_interval(secs=F.lit(within)), hit))

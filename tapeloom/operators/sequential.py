@@ -1,16 +1,15 @@
-"""Recursions along a series that no window expresses, in one Arrow pass over each instrument (or session).
-
-Volume buckets, decaying intensities, exponential means and fractional differences. A series is one task's work; `session`
-columns split it where the recursion restarts anyway.
+"""Recursions along a series that no window expresses: volume buckets, decaying intensities, exponential means and fractional
+differences. Series are parted into slices of time (see `scans`) or blocks of rows, so none is one task's work.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,10 @@ from pyspark.sql import types as T
 from ..functions import bar
 from ..functions.along import Along
 from ..functions.session import eastern
+from ..sources.scratch import written
+from . import scans
+from .scans import chunked
+from .slices import HOURS, numbered, with_halo
 
 
 def _per_group(df: DataFrame, by: list[str], fields: list[tuple[str, str]], work: Callable[[pd.DataFrame], pd.DataFrame], order: list[str]) -> DataFrame:
@@ -37,18 +40,31 @@ def fracdiff_weights(d: float, tau: float = 1e-5, most: int = 10_000) -> np.ndar
     return np.array(weights)
 
 
-def fracdiff(df: DataFrame, value: str, d: float, out: str, tau: float = 1e-5, by: list[str] | None = None) -> DataFrame:
-    """Causal fractional difference; null until all weights have values."""
-    weights = fracdiff_weights(d, tau)
+#: Rows of a block of fractional differences.
+BLOCK = 65_536
+
+
+def fracdiff(df: DataFrame, value: str, d: float, out: str, tau: float = 1e-5, by: list[str] | None = None, block: int = BLOCK, hours: int = HOURS) -> DataFrame:
+    """Causal fractional difference; null until all weights have values. Rows are numbered and worked in blocks, each with the rows
+    before it that its weights reach."""
+    by, weights = by or ["instr"], fracdiff_weights(d, tau)
+    order = [c for c in ("seq",) if c in df.columns]
+    # Rows that agree in time and order stand by value, in both readings.
+    rows = numbered(df.withColumn("_x", F.col(value).cast("double")), by, "ts", [*order, "_x"], "_no", hours)
+    keys = [f for f in rows.schema.fields if f.name in by]
+    dealt = with_halo(rows.select(*by, "_no", "_x"), "_no", block, len(weights) - 1)
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        x = g[value].to_numpy(float)
+        g = g.sort_values("_no")
+        x = g["_x"].to_numpy(float)
         y = np.convolve(x, weights)[: len(x)]
-        y[: len(weights) - 1] = np.nan
-        g[out] = pd.Series(y).astype(object).where(~np.isnan(y), None)
-        return g
+        y[g["_no"].to_numpy() < len(weights) - 1] = np.nan
+        own = g["_own"].to_numpy(bool)
+        values = pd.Series(y[own]).astype(object).where(~np.isnan(y[own]), None)
+        return pd.DataFrame({**{f.name: g[f.name].to_numpy()[own] for f in keys}, "_no": g["_no"].to_numpy()[own], out: values.to_numpy()})
 
-    return _per_group(df, by or ["instr"], [(out, "double")], work, ["ts"])
+    found = dealt.groupBy(*by, "_block").applyInPandas(work, T.StructType([*keys, T.StructField("_no", T.LongType()), T.StructField(out, T.DoubleType())]))
+    return rows.join(found, [*by, "_no"], "left").select(*[f"`{c}`" for c in df.columns], out)
 
 
 def _unit_root_design(x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,33 +122,100 @@ def fracdiff_auto(df: DataFrame, value: str, out: str, level: float = 0.01, grid
     return _per_group(df, by or ["instr"], [(out, "double"), (f"{out}_d", "double")], work, ["ts"])
 
 
-def volume_buckets(bars: DataFrame, size: int, keep_partial: bool = False, by: list[str] | None = None) -> DataFrame:
-    """A row for each run of bars that reaches a volume: its signed share. What goes beyond the size isn't carried over."""
-    by = by or ["instr"]
+def bucket_steps(volume: np.ndarray, size: int) -> list[tuple[float, float, float]]:
+    """A chunk's map from the volume that an open bucket brings along to the volume of the bucket that it leaves open.
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        buys, sells = g["buys_qty"].to_numpy(np.int64), g["sells_qty"].to_numpy(np.int64)
-        upto, signed = np.concatenate(([0], np.cumsum(buys + sells))), np.concatenate(([0], np.cumsum(buys - sells)))
-        ends, at = [], 0
-        while at < len(g):  # the next end is found in the running total, not row by row
-            end = int(np.searchsorted(upto, upto[at] + size, "left"))
-            if end <= at:
-                end = at + 1
-            if end > len(g):
-                if keep_partial and upto[-1] > upto[at]:
-                    ends.append((at, len(g)))
-                break
-            ends.append((at, end))
-            at = end
-        rows = [(g["ts"][b - 1], abs(signed[b] - signed[a]) / (upto[b] - upto[a]) if upto[b] > upto[a] else 0.0, upto[b] - upto[a], b - a) for a, b in ends]
-        out = pd.DataFrame(rows, columns=["ts", "vpin", "bucket_volume", "n_sub_bars"])
-        for k in reversed(by):
-            out.insert(0, k, g[k].iloc[0] if len(g) else None)
+    Steps (reach, left, ends): where the chunk's running volume must come to `reach` at most to close the first bucket, `left` stays
+    open at the chunk's end after `ends` closed buckets. Each row's bucket end has its successor, found in the running volume; what a
+    bucket end at a row leads to is read off the last one of its chain, whose jumps are doubled until none moves. Neighbours that lead to
+    the same are one step.
+    """
+    n = len(volume)
+    upto = np.concatenate(([0], np.cumsum(volume)))
+    # A bucket that ends with row i is followed by one that ends with row after[i] (n: stays open).
+    after = np.maximum(np.searchsorted(upto, upto[1:] + size, "left") - 1, np.arange(n) + 1)
+    jump, ends = np.append(np.minimum(after, n), n), np.append(np.ones(n, np.int64), 0)
+    last = np.where(jump < n, jump, np.arange(n + 1))  # the last bucket end that is known in each chain
+    while True:
+        moved = jump[jump]
+        if (moved == jump).all():
+            break
+        ends = ends + ends[jump]
+        last = np.where(jump < n, last[np.minimum(jump, n - 1)], last)
+        jump = moved
+    left = upto[n] - upto[last[:n] + 1]
+    keep = np.append((left[1:] != left[:-1]) | (ends[1:n] != ends[: n - 1]), True) if n else np.zeros(0, bool)
+    return list(zip(upto[1:][keep].tolist(), left[keep].tolist(), ends[:n][keep].tolist(), strict=True))
+
+
+def volume_buckets(bars: DataFrame, size: int, keep_partial: bool = False, by: list[str] | None = None, hours: int = HOURS) -> DataFrame:
+    """A row for each run of bars that reaches a volume: its signed share. What goes beyond the size isn't carried over.
+
+    Slices are written as rows of arrays, each with its map of open volumes (see bucket_steps). A key's maps are walked in order,
+    a row a slice; each slice then knows the volume and the number of buckets before it, cuts its own rows into pieces, and pieces of
+    one bucket are added up.
+    """
+    by = by or ["instr"]
+    packed = chunked(bars, by, ["buys_qty", "sells_qty"], hours)
+    keys = [f for f in packed.schema.fields if f.name in (*by, "_slice")]
+    names = [f.name for f in keys]
+    steps = T.ArrayType(T.ArrayType(T.DoubleType()))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, totals = [], []
+            for k in range(batch.num_rows):
+                f = scans.fields_of(batch.column("rows"), k)
+                volume = (f["buys_qty"] + f["sells_qty"]).astype(np.int64)
+                found.append([list(map(float, s)) for s in bucket_steps(volume, size)])
+                totals.append(int(volume.sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.list_(pa.float64()))), pa.array(totals, pa.int64())], [*batch.schema.names, "_steps", "_total"])
+
+    parts = written(packed.mapInArrow(mapped, T.StructType([*packed.schema.fields, T.StructField("_steps", steps), T.StructField("_total", T.LongType())])), "buckets")
+
+    def walked(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_slice")
+        held, number, rows = 0, 0, []
+        for table, total in zip(g["_steps"], g["_total"], strict=True):
+            rows.append((held, number))
+            table = np.stack(table)
+            at = int(np.searchsorted(table[:, 0], size - held, "left"))
+            if at < len(table):
+                held, number = int(table[at, 1]), number + int(table[at, 2])
+            else:
+                held += int(total)
+        out = g[names].copy()
+        out["_held"], out["_number"] = zip(*rows, strict=True)
         return out
 
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields if f.name in by)
-    slim = bars.select(*by, "ts", "buys_qty", "sells_qty")
-    return slim.groupBy(*by).applyInPandas(lambda g: work(g.sort_values("ts", kind="stable").reset_index(drop=True)), f"{keys}, ts timestamp_ntz, vpin double, bucket_volume long, n_sub_bars long")
+    more = [T.StructField("_held", T.LongType()), T.StructField("_number", T.LongType())]
+    entries = parts.select(*names, "_steps", "_total").groupBy(*by).applyInPandas(walked, T.StructType([*keys, *more]))
+    piece = T._parse_datatype_string("_number long, _ends boolean, ts timestamp_ntz, signed long, volume long, n long")
+    own = [f for f in keys if f.name != "_slice"]
+    kind = next(f.dataType for f in bars.schema.fields if f.name == "ts")
+    piece["ts"].dataType = kind
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                f = scans.fields_of(batch.column("rows"), k)
+                buys, sells = f["buys_qty"].astype(np.int64), f["sells_qty"].astype(np.int64)
+                upto, signed = np.concatenate(([0], np.cumsum(buys + sells))), np.concatenate(([0], np.cumsum(buys - sells)))
+                n, need, at, edges = len(buys), size - batch.column("_held")[k].as_py(), 0, [0]
+                while (end := max(int(np.searchsorted(upto, upto[at] + need, "left")), at + 1)) <= n:
+                    edges.append(end)
+                    at, need = end, size
+                closed = len(edges) - 1
+                if at < n:
+                    edges.append(n)
+                a, b = np.array(edges[:-1]), np.array(edges[1:])
+                columns = [pa.array(batch.column("_number")[k].as_py() + np.arange(len(a))), pa.array(np.arange(len(a)) < closed), batch.column("rows")[k].values.field("ts").take(pa.array(b - 1)), pa.array(signed[b] - signed[a]), pa.array(upto[b] - upto[a]), pa.array(b - a)]
+                yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(x.name)[k].as_py()] * len(a), batch.column(x.name).type) for x in own], *columns], [*[x.name for x in own], *piece.names])
+
+    pieces = parts.select(*names, "rows").join(entries, names).mapInArrow(cut, T.StructType([*own, *piece.fields]))
+    whole = pieces.groupBy(*by, "_number").agg(F.max("ts").alias("ts"), F.sum("signed").alias("_signed"), F.sum("volume").alias("bucket_volume"), F.sum("n").alias("n_sub_bars"), F.max("_ends").alias("_ends"))
+    whole = whole.where("_ends or bucket_volume > 0" if keep_partial else "_ends")
+    return whole.select(*by, "ts", F.when(F.col("bucket_volume") > 0, F.abs("_signed") / F.col("bucket_volume")).otherwise(0.0).alias("vpin"), "bucket_volume", "n_sub_bars")
 
 
 def session_resets(bars: DataFrame) -> DataFrame:
@@ -141,55 +224,116 @@ def session_resets(bars: DataFrame) -> DataFrame:
     return bars.withColumn("reset", (F.hour(et) == 18) & (F.minute(et) == 0) & (F.second(et) == 5))
 
 
-def decaying_intensity(bars: DataFrame, half_life: float, name: str, warmup: float = 5.0, by: list[str] | None = None) -> DataFrame:
+def decaying_intensity(bars: DataFrame, half_life: float, name: str, warmup: float = 5.0, by: list[str] | None = None, hours: int = HOURS) -> DataFrame:
     """Buys and sells that decay with a half life: {name}_buy, {name}_sell, {name}_imbalance and whether it is warm.
 
     `reset` marks rows where both restart. The decay between rows is by the true seconds between them.
     """
-    beta = math.log(2) / half_life
+    return decaying_intensities(bars, {name: half_life}, warmup, by, hours)
+
+
+def decaying_intensities(bars: DataFrame, half_lives: dict[str, float], warmup: float = 5.0, by: list[str] | None = None, hours: int = HOURS) -> DataFrame:
+    """decaying_intensity for several half lives by name, in one scan."""
+    beta = np.array([math.log(2) / h for h in half_lives.values()])
+    sides = ("buys_qty", "sells_qty")
+    marked = "reset" in bars.columns
+
+    def local(f: dict[str, np.ndarray]):
+        t = scans.epoch_seconds(f["ts"])
+        reset = f["reset"].astype(bool) if marked else np.zeros(len(t), bool)
+        start = np.maximum.accumulate(np.where(reset, t, -np.inf))
+        own, summary = [t, np.where(np.isfinite(start), start, np.nan)], [t[0], t[-1], start[-1]]
+        for b in beta:
+            keep = np.exp(-b * np.maximum(np.diff(t, prepend=t[:1]), 0.0))  # the first row's decay is part of what enters
+            keep[reset] = 0.0
+            for side in sides:
+                p, q = scans.affine_prefix(keep, f[side])
+                own += [p, q]
+                summary += [p[-1], q[-1]]
+        return summary, own
+
+    def fold(s: np.ndarray) -> np.ndarray:
+        out, level, start, last = np.zeros((len(s), 1 + 2 * len(beta))), np.zeros(2 * len(beta)), s[0, 0], s[0, 0]
+        for i, row in enumerate(s):
+            level = level * np.exp(-np.repeat(beta, 2) * max(row[0] - last, 0.0))
+            out[i] = [start, *level]
+            level = row[3::2] * level + row[4::2]
+            start, last = max(start, row[2]), row[1]
+        return out
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        t = g["ts"].astype("int64").to_numpy() / {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[np.datetime_data(g["ts"].dtype)[0]]
-        keep = np.exp(-beta * np.maximum(np.diff(t, prepend=t[:1]), 0.0))
-        reset = g["reset"].to_numpy(bool) if "reset" in g else np.zeros(len(g), bool)
-        keep[reset] = 0.0
-        start = np.where(reset, t, -np.inf)
-        start[:1] = t[:1]
-        out = {}
-        for side, column in (("buy", "buys_qty"), ("sell", "sells_qty")):
-            level, series = 0.0, np.empty(len(g))
-            for i, (k, x) in enumerate(zip(keep.tolist(), g[column].to_numpy(float).tolist(), strict=True)):
-                level = level * k + x
-                series[i] = level
-            out[side] = g[f"{name}_{side}"] = series
-        g[f"{name}_imbalance"] = out["buy"] - out["sell"]
-        g[f"{name}_is_warm"] = t - np.maximum.accumulate(start) >= warmup * half_life
-        return g
+    def finish(own, entry):
+        new = {}
+        for i, (name, h) in enumerate(half_lives.items()):
+            levels = [own(2 + 4 * i + 2 * j) * entry(1 + 2 * i + j) + own(3 + 4 * i + 2 * j) for j in range(2)]
+            since = own(0) - F.when(F.isnan(own(1)), entry(0)).otherwise(own(1))
+            new |= {f"{name}_buy": levels[0], f"{name}_sell": levels[1], f"{name}_imbalance": levels[0] - levels[1], f"{name}_is_warm": since >= warmup * h}
+        return new
 
-    return _per_group(bars, by or ["instr"], [(f"{name}_{x}", "double") for x in ("buy", "sell", "imbalance")] + [(f"{name}_is_warm", "boolean")], work, ["ts"])
+    return scans.scan(bars, by or ["instr"], [*sides, *(["reset"] if marked else [])], local, fold, finish, hours)
 
 
-def intensities(bars: DataFrame, fast: float = 5.0, slow: float = 60.0, by: list[str] | None = None) -> DataFrame:
+def intensities(bars: DataFrame, fast: float = 5.0, slow: float = 60.0, by: list[str] | None = None, hours: int = HOURS) -> DataFrame:
     """Imbalances of a fast and a slow half life, and their difference."""
     by = by or ["instr"]
-    rows = session_resets(bars.select(*by, "ts", "buys_qty", "sells_qty"))
-    rows = decaying_intensity(decaying_intensity(rows, fast, "_f", by=by), slow, "_s", by=by)
+    rows = decaying_intensities(session_resets(bars.select(*by, "ts", "buys_qty", "sells_qty")), {"_f": fast, "_s": slow}, by=by, hours=hours)
     return rows.select(*by, "ts", F.col("_f_imbalance").alias(f"hawkes_imbalance_hl{int(fast)}"), F.col("_s_imbalance").alias(f"hawkes_imbalance_hl{int(slow)}"), (F.col("_f_imbalance") - F.col("_s_imbalance")).alias("hawkes_acceleration"))
 
 
-def ema(df: DataFrame, values: list[str], spans: tuple[int, ...] = (10, 30), by: list[str] | None = None) -> DataFrame:
-    """Exponential means {value}_ema_s{span} from the first value on. A null row has none, and ages what came before it."""
-    fields = [(f"{v}_ema_s{s}", "double") for v in values for s in spans]
+def ema(df: DataFrame, values: list[str], spans: tuple[int, ...] = (10, 30), by: list[str] | None = None, hours: int = HOURS) -> DataFrame:
+    """Exponential means {value}_ema_s{span} from the first value on. A null row has none, and ages what came before it.
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
+    A value after g rows without one weighs what came before by (1 - alpha) ^ (g + 1), so a mean is affine in the one before it; in a
+    chunk, in the mean at its first value.
+    """
+    if not values:
+        return df
+    alphas = [2 / (s + 1) for s in spans]
+
+    def local(f: dict[str, np.ndarray]):
+        summary, own = [], []
         for v in values:
-            x = pd.to_numeric(g[v], errors="coerce").astype(float)
-            for s in spans:
-                y = x.ewm(span=s, adjust=False, ignore_na=False).mean()
-                g[f"{v}_ema_s{s}"] = y.astype(object).where(x.notna(), None)
-        return g
+            x = f[v]
+            at = np.flatnonzero(~np.isnan(x))
+            summary += [len(x), at[0] if len(at) else -1, len(x) - 1 - at[-1] if len(at) else 0, x[at[0]] if len(at) else 0.0]
+            for alpha in alphas:
+                p, q = np.full(len(x), np.nan), np.full(len(x), np.nan)
+                if len(at):
+                    weight = (1 - alpha) ** np.diff(at)
+                    p[at], q[at] = scans.affine_prefix(np.append(1.0, weight / (weight + alpha)), np.append(0.0, alpha * x[at[1:]] / (weight + alpha)))
+                    summary += [p[at[-1]], q[at[-1]]]
+                else:
+                    summary += [0.0, 0.0]
+                own += [p, q]
+        return summary, own
+
+    wide = 4 + 2 * len(spans)
+
+    def fold(s: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(s), len(values) * len(spans)))
+        for j in range(len(values)):
+            level, gap = [None] * len(spans), 0
+            for i, row in enumerate(s[:, j * wide : (j + 1) * wide]):
+                rows, lead, trail, first = row[:4]
+                if lead < 0:
+                    gap += rows
+                    continue
+                for k, alpha in enumerate(alphas):
+                    weight = (1 - alpha) ** (gap + lead + 1)
+                    entry = first if level[k] is None else (weight * level[k] + alpha * first) / (weight + alpha)
+                    out[i, j * len(spans) + k] = entry
+                    level[k] = row[4 + 2 * k] * entry + row[5 + 2 * k]
+                gap = trail
+        return out
+
+    def finish(own, entry):
+        new = {}
+        for j, v in enumerate(values):
+            for k, s in enumerate(spans):
+                i = j * len(spans) + k
+                new[f"{v}_ema_s{s}"] = F.when(~F.isnan(own(2 * i)), own(2 * i) * entry(i) + own(2 * i + 1))
+        return new
 
-    return _per_group(df, by or ["instr"], fields, work, ["ts"])
+    return scans.scan(df, by or ["instr"], values, local, fold, finish, hours)
 
 
 def ewm_volatility(df: DataFrame, ret: str, span: int, out: str, by: list[str] | None = None) -> DataFrame:
