@@ -1,12 +1,12 @@
 """Readers of daily vendor files: trades and quotes, and ten-level books, as compressed CSV.
 
 Paths: <root>/<dataset>/<ROOT>/<YYYY>/<YYYYMMDD>/<EXPIRY>.csv.gz, without <ROOT> for the volatility set. Schemas are declared;
-a compressed file can't be split, so a day's file is a task. Everything goes through Spark's readers and Hadoop's file
-systems, so any store works.
+a compressed file can't be split, so a day's file is a task of the data source in `vendor`. Catalogues come from Spark's listing.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 from datetime import date
@@ -59,18 +59,18 @@ def timestamp_of(day: Column, clock: Column, width: int = 9) -> Column:
     return (F.to_timestamp_ntz(joined, F.lit("yyyyMMddHHmmss")) + F.make_dt_interval(secs=micros.cast("decimal(18,6)") / 1_000_000)).cast("timestamp_ntz")
 
 
-def clock_width(df: DataFrame, clock: str = "UTCTime") -> int:
-    """6, 9, 12 or 15: what the longest time of a set needs."""
-    longest = df.agg(F.max(F.length(clock))).first()[0]
-    if longest is None:
-        raise ValueError("no rows to tell the width of times from")
-    return next(w for w in (6, 9, 12, 15) if w >= longest)
+def _vendor(spark: SparkSession, dataset: str, paths: str | list[str], width: int | None) -> DataFrame:
+    from . import vendor
+
+    vendor.register(spark)
+    reader = spark.read.format("vendor_daily").option("dataset", dataset).option("files", json.dumps([paths] if isinstance(paths, str) else paths))
+    return (reader.option("width", width) if width else reader).load().drop("root", "expiry", "day")
 
 
 def read_taq(spark: SparkSession, paths: str | list[str], width: int | None = None) -> DataFrame:
-    """Rows of trade and quote files, with ts and seq (the place in the file). `width` saves a pass where it is known."""
-    raw = spark.read.schema(TAQ).option("header", True).csv(paths)
-    return raw.withColumn("ts", timestamp_of(F.col("UTCDate"), F.col("UTCTime"), width or clock_width(raw))).withColumn("seq", F.monotonically_increasing_id())
+    """Rows of trade and quote files, with ts and seq (the place in the file). A file's own longest time tells its clock's digits;
+    `width` saves the look at them where it is known."""
+    return _vendor(spark, "taq", paths, width)
 
 
 def depth_fields() -> list[tuple[str, str]]:
@@ -79,13 +79,8 @@ def depth_fields() -> list[tuple[str, str]]:
 
 
 def read_depth(spark: SparkSession, paths: str | list[str], width: int | None = None) -> DataFrame:
-    """Book snapshots; a misspelt header is mended, missing columns are null."""
-    raw = spark.read.option("header", True).csv(paths)  # all strings: nothing is inferred
-    for wrong, right in HEADER_TYPOS.items():
-        if wrong in raw.columns:
-            raw = raw.withColumnRenamed(wrong, right)
-    typed = raw.select(*[(F.col(n) if n in raw.columns else F.lit(None)).try_cast(t).alias(n) for n, t in depth_fields()])
-    return typed.withColumn("ts", timestamp_of(F.col("UTCDate"), F.col("UTCTime"), width or clock_width(typed))).withColumn("seq", F.monotonically_increasing_id())
+    """Book snapshots; each file has its own header: a misspelt one is mended, missing columns are null."""
+    return _vendor(spark, "depth", paths, width)
 
 
 def trades_of(taq: DataFrame, keep: list[str] | None = None) -> DataFrame:
