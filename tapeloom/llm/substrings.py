@@ -5,7 +5,7 @@ difference cover is a set of residues modulo a period such that every difference
 at any two places, wherever they begin, some pair of equal runs inside both stands at cover positions: only these short runs
 (anchors, 15 words at 5 of 21 positions by default) are hashed and counted over all documents, and no match is missed.
 
-Documents travel as blocks of a few megabytes, written once and bucketed by block, so that later passes join what was found to
+Documents travel as blocks of about a megabyte, written once and bucketed by block, so that later passes join what was found to
 them without moving texts again. Each pass emits narrow rows, one a block and distinct key, however often the block holds it: a key
 that any part of all documents share has as many rows as there are blocks, and no more. The passes:
 
@@ -24,7 +24,8 @@ Extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_rows, bounded_batches, bucketed, chunked, mix, written
+from .common import arrow_rows, bounded_batches, bucketed, chunked, mix, written
 
 LENGTH, PERIOD = 35, 21
 #: Bytes of text that close a block; a longer text is a block by itself.
-BLOCK_BYTES = 4 << 20
-#: Odd multipliers of the two rolling hashes.
+BLOCK_BYTES = 1 << 20
+#: Odd multipliers of the two rolling hashes; the first also hashes the bytes of words.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
+@cache
 def difference_cover(period: int) -> tuple[int, ...]:
     """The first of the smallest sets of residues whose differences are all residues modulo the period."""
     for size in range(1, period + 1):
@@ -67,15 +69,42 @@ class Powers:
 _POWERS = tuple(Powers(b) for b in BASES)
 
 
+#: Which bytes part words.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Bytes hashed at a time, and the multiplier of a word's length.
+_SEGMENT, _SIZE = 1 << 18, np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their 64-bit hashes: of all words of a segment at once, from running sums over its bytes."""
+    begins, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while at < len(data):
+        end = at + _SEGMENT
+        while end < len(data) and not _SPACE[data[end]]:  # a segment ends where a word does
+            end += 1
+        raw = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+        word = np.concatenate(([False], ~_SPACE[raw], [False]))
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        first, last = edges[::2], edges[1::2]
+        _POWERS[0].reach(len(raw))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[0].up[: len(raw)])))
+            hashes.append(mix((sums[last] - sums[first]) * _POWERS[0].down[first] + (last - first).astype(np.uint64) * _SIZE))
+        begins.append(first + at)
+        at = end
+    return np.concatenate(begins), np.concatenate(hashes)
+
+
 class Block:
     """The words of a block's documents behind each other, and hashes of their runs."""
 
-    def __init__(self, texts: list[bytes | None], hashes: WordHash, length: int, period: int):
-        self.words = [t.split() if t else [] for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        n = int(self.sizes.sum())
-        h = np.fromiter((hashes[w] for words in self.words for w in words), np.uint64, n)
+    def __init__(self, texts: list[bytes | None], length: int, period: int):
+        ends = np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)
+        at, h = hashed_words(b"\n".join([t or b"" for t in texts]))
+        upto = np.searchsorted(at, ends)
+        self.sizes = np.diff(upto, prepend=0)
+        self.begins = upto - self.sizes
+        n = len(h)
         self.sums = []
         with np.errstate(over="ignore"):
             for p in _POWERS:
@@ -115,6 +144,14 @@ class Block:
         return np.cumsum(steps[:n]) > 0
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of two arrays, where each stands first, and how often."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    begins = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[begins], b[begins], order[begins], np.diff(begins, append=len(a))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -175,11 +212,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
 
     def passed(source: DataFrame, schema: pa.Schema, ddl: str, work) -> DataFrame:
         def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHash()
             for batch in batches:
                 for k in range(batch.num_rows):
                     texts = batch.column("texts")[k].as_py()
-                    yield from work(batch, k, Block(texts, hashes, length, period))
+                    yield from work(batch, k, texts, Block(texts, length, period))
 
         return source.mapInArrow(mapped, ddl)
 
@@ -189,7 +225,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     # 1. Anchors.
     one = pa.schema([(c, pa.int64()) for c in ("block", "anchor", "n")])
 
-    def anchors(batch, k, block):
+    def anchors(batch, k, texts, block):
         distinct, n = np.unique(block.anchors()[1], return_counts=True)
         yield rows(batch, k, one, distinct, n)
 
@@ -199,15 +235,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     # 2. Contexts of repeated anchors.
     two = pa.schema([(c, pa.int64()) for c in ("block", "anchor", "context", "anchor_places", "n")])
 
-    def contexts(batch, k, block):
+    def contexts(batch, k, texts, block):
         there, found = block.anchors()
         wanted, places = (_flat(batch.column("anchors"), k, f) for f in ("anchor", "places"))
         order = np.argsort(wanted.view(np.uint64))
         wanted, places = wanted.view(np.uint64)[order], places[order]
         at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
         hit = wanted[at] == found
-        pairs, first, n = np.unique(np.stack((found[hit], block.contexts(there[hit])[2]), axis=1), axis=0, return_index=True, return_counts=True)
-        yield rows(batch, k, two, pairs[:, 0].copy(), pairs[:, 1].copy(), places[at[hit]][first], n)
+        anchor, context, first, n = distinct_pairs(found[hit], block.contexts(there[hit])[2])
+        yield rows(batch, k, two, anchor, context, places[at[hit]][first], n)
 
     pairs = passed(_joined(blocks.select("block", "texts"), anchored, "inner"), two, "block long, anchor long, context long, anchor_places long, n long", contexts)
     group = Window.partitionBy("anchor", "context")
@@ -225,10 +261,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         at = block.windows(first[mine], last[mine])
         return at, block.run(at, length), block.run(at, length, 1)
 
-    def windows(batch, k, block):
+    def windows(batch, k, texts, block):
         _, a, b = open_windows(block, _flat(batch.column("open"), k, "context"))
-        both, n = np.unique(np.stack((a, b), axis=1), axis=0, return_counts=True)
-        yield rows(batch, k, three, both[:, 0].copy(), both[:, 1].copy(), n)
+        a, b, _, n = distinct_pairs(a, b)
+        yield rows(batch, k, three, a, b, n)
 
     still = _per_block(judged.where("goes_on"), ["context"], "open")
     again = _found(passed(_joined(blocks.select("block", "texts"), still, "inner"), three, "block long, window long, second long, n long", windows), ["window", "second"])
@@ -238,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     marks = _per_block(kinds, ["is_context", "key"], "marks")
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
-    def kept(batch, k, block):
+    def kept(batch, k, texts, block):
         keys, is_context = _flat(batch.column("marks"), k, "key"), _flat(batch.column("marks"), k, "is_context").astype(bool)
         gone = np.zeros(len(block.at), bool)
         if len(keys):
@@ -252,7 +288,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         ids = batch.column("doc_ids")[k].as_py()
 
         def documents():
-            for doc_id, words, begin in zip(ids, block.words, block.begins.tolist(), strict=True):
+            for doc_id, text, begin in zip(ids, texts, block.begins.tolist(), strict=True):
+                words = text.split() if text else []
                 lost = gone[begin : begin + len(words)]
                 n = int(lost.sum())
                 yield doc_id, len(words), n, b" ".join([w for w, x in zip(words, lost.tolist()) if not x] if n else words)

@@ -14,7 +14,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapeloom.llm import fill_in_middle, importance, substrings
-from tapeloom.llm.common import WordHash
 
 WORDS = "the of and river stone quiet walks under blue hills when evening comes slowly to old towns near water".split()
 LONG = " ".join(f"w{i}" for i in range(3_000))
@@ -212,10 +211,24 @@ def test_equal_windows_share_an_aligned_anchor():
     shared = [f"s{i}".encode() for i in range(35)]
     for _ in range(60):
         a, b = (b" ".join([f"{name}{i}".encode() for i in range(rng.randrange(60))] + shared) for name in "ab")
-        one, two = (substrings.Block([t], WordHash(), 35, 21).anchors()[1] for t in (a, b))
+        one, two = (substrings.Block([t], 35, 21).anchors()[1] for t in (a, b))
         assert len(np.intersect1d(one, two)) >= 1
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é\n\t\x0b\x1c\xa0日"), max_size=12), max_size=6), st.integers(1, 9))
+def test_words_are_hashed_alike_in_all_segments(texts, segment):
+    raw = [t.encode() for t in texts]
+    kept, substrings._SEGMENT = substrings._SEGMENT, segment
+    try:
+        block, (_, h) = substrings.Block(raw, 35, 21), substrings.hashed_words(b"\n".join(raw))
+    finally:
+        substrings._SEGMENT = kept
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    assert block.sizes.tolist() == [len(w) for w in words]
+    assert len({(w, int(x)) for w, x in zip(sum(words, []), h, strict=True)}) == len(set(sum(words, []))) == len(set(h.tolist()))
+
+
 def test_later_passes_leave_texts_where_they_lie(spark):
     """What passes find is joined to bucketed blocks: no exchange stands between the blocks and the join."""
     lines = substrings.remove_repeats(documents(spark, spliced(1)))._jdf.queryExecution().executedPlan().toString().splitlines()
