@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.along import EPS, Along
+from ..functions.normal import normal_quantile
+from .slices import HOURS, numbered, with_halo
 
 #: Asset classes and their instruments; weights of the currency basket before they are scaled to 1.
 CLASSES = {
@@ -42,27 +44,16 @@ def return_zscore(ret: Column) -> Column:
     return (ret - F.avg(ret).over(at_time())) / (F.stddev_pop(ret).over(at_time()) + EPS)
 
 
-def gauss_table(most: int) -> list[list[float | None]]:
-    """Normal quantiles of (rank + 1) / (n + 1) for n up to `most`; none below two."""
-    inverse = NormalDist().inv_cdf
-    return [[inverse((k + 1) / (n + 1)) if n > 1 else None for k in range(n)] for n in range(most + 1)]
-
-
-def gauss_ranks(rows: DataFrame, values: list[str], scope: list[str] | None = None, prefix: str = "gauss_rank_", most: int = 64, tie: str = "instr") -> DataFrame:
-    """Adds the normal quantile of each value's rank among the non-null values at its time (and scope); ties by instrument.
-
-    Quantiles come from a table of at most `most` * (`most` + 1) / 2 rows, which is broadcast; a larger group is an error.
-    """
-    spark = rows.sparkSession
-    table = F.broadcast(spark.createDataFrame([(n, k + 1, z) for n, row in enumerate(gauss_table(most)) for k, z in enumerate(row) if z is not None], "_n long, _k int, _z double"))
-    out = rows
+def gauss_ranks(rows: DataFrame, values: list[str], scope: list[str] | None = None, prefix: str = "gauss_rank_", tie: str = "instr") -> DataFrame:
+    """Adds the normal quantile of (rank + 1) / (n + 1), rank from 0, among the non-null values at a time (and scope); ties by
+    instrument; null where fewer than two have a value. All values share one shuffle by time."""
+    part = scope or []
+    new = {}
     for v in values:
-        part = [*(scope or [])]
         n = F.count(v).over(at_time(*part))
         rank = F.row_number().over(at_time(*part).orderBy(F.col(v).asc_nulls_last(), F.col(tie)))
-        out = out.withColumns({"_n": F.when(n <= most, n).otherwise(F.raise_error(F.lit(f"more than {most} instruments at a time")).cast("long")), "_k": rank})
-        out = out.join(table, ["_n", "_k"], "left").withColumn(f"{prefix}{v}", F.when(F.col(v).isNotNull(), F.col("_z"))).drop("_n", "_k", "_z")
-    return out
+        new[f"{prefix}{v}"] = F.when(F.col(v).isNotNull() & (n > 1), normal_quantile(rank / (n + 1)))
+    return rows.withColumns(new)
 
 
 def widen(rows: DataFrame, values: list[str], instruments: list[str]) -> DataFrame:
@@ -107,9 +98,21 @@ def risk_off(gold: Column, dollar: Column, bonds: list[Column], equities: list[C
     return gold + horizontal_mean(bonds) + dollar - horizontal_mean(equities)
 
 
-def composites(wide: DataFrame, n: int = 60) -> DataFrame:
+#: Rows of a block of all times.
+BLOCK = 65_536
+
+
+def over_times(frame: DataFrame, new: dict[str, Callable[[Along], Column]], n: int, block: int = BLOCK, hours: int = HOURS) -> DataFrame:
+    """Adds columns that look back over n rows of a frame with a row a time: blocks of rows, each with the n - 1 rows before it."""
+    columns = frame.columns
+    rows = with_halo(numbered(frame, [], "ts", [], "_no", hours), "_no", block, n - 1)
+    a = Along(["_block"], ["_no"])
+    return rows.withColumns({name: f(a) for name, f in new.items()}).where("_own").select(*[f"`{c}`" for c in columns], *new)
+
+
+def composites(wide: DataFrame, n: int = 60, block: int = BLOCK) -> DataFrame:
     """Currency basket, curve spreads and rolling correlations of the targets with gold, oil, notes and the basket, as far
-    as the wide frame has their returns. One window over all times: the frame has a row a time."""
+    as the wide frame has their returns."""
     r = lambda i: F.col(f"`{i}_log_return`")
     have = lambda *names: all(f"{i}_log_return" in wide.columns for i in names)
     out = wide
@@ -117,14 +120,13 @@ def composites(wide: DataFrame, n: int = 60) -> DataFrame:
         out = out.withColumn("synthetic_dxy_logret", basket_return(r("6E"), r("6J"), r("6B"), r("6C")))
     if have("ZT", "ZF", "ZN", "ZB"):
         out = out.withColumns(curve_spreads(r("ZT"), r("ZF"), r("ZN"), r("ZB")))
-    a = Along(["_all"], ["ts"])
-    out = out.withColumn("_all", F.lit(0))
     new = {}
     for target in TARGETS:
         for label, other in (("gold", "GC"), ("oil", "CL"), ("ZN", "ZN"), ("DXY", None)):
             if have(target) and (have(other) if other else "synthetic_dxy_logret" in out.columns) and other != target:
-                new[f"corr_{target}_vs_{label}_w{n}"] = a.pearson(r(target), r(other) if other else F.col("synthetic_dxy_logret"), n)
-    return (out.withColumns(new) if new else out).drop("_all")
+                x, y = r(target), r(other) if other else F.col("synthetic_dxy_logret")
+                new[f"corr_{target}_vs_{label}_w{n}"] = lambda a, x=x, y=y: a.pearson(x, y, n)
+    return over_times(out, new, n, block) if new else out
 
 
 #: Pairs whose products are interactions, by name; {t} is the target and {w} the window.

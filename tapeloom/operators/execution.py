@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .asof import asof
 from .bars import KEY, first_by, in_bars, last_by, quote_stream
+from .slices import time_slice
 from ..functions.along import Along
 
 LEVELS = 10
@@ -97,14 +98,68 @@ def cancel_proxy(trades: DataFrame, depth: DataFrame, every: str, only_regular:
     return out.select(*by, "ts", gone("b", "hit_bid_vol").alias("net_bid_decrement_no_trade_L1"), gone("a", "lift_ask_vol").alias("net_ask_decrement_no_trade_L1"), (F.col("_b1") - F.col("_b0")).alias("bid_sz_L1_delta_signed"), (F.col("_a1") - F.col("_a0")).alias("ask_sz_L1_delta_signed"), "hit_bid_vol", "lift_ask_vol")
 
 
-def execution_bars(trades: DataFrame, quotes: DataFrame, depth: DataFrame, every: str = "5 seconds", by: list[str] | None = None) -> DataFrame:
-    """All six families side by side; what a bar has none of is 0."""
+def execution_bars(trades: DataFrame, quotes: DataFrame, depth: DataFrame, every: str = "5 seconds", by: list[str] | None = None, q: float = 0.99) -> DataFrame:
+    """All six families side by side; what a bar has none of is 0.
+
+    One tagged union, dealt by instrument and day: one window carries the last bid and ask quoted and both touches of the book to trades
+    and to quotes, each day's last ones are handed on to the days after it (a row a day), and one aggregation makes the bars. At equal
+    times trades come first, so that what they see is strictly older.
+    """
     by = by or KEY
-    parts = [effective_spreads(trades, quotes, every, by), large_trades(trades, every, by=by), hidden_absorption(trades, depth, every, by=by), cancel_proxy(trades, depth, every, by=by), quote_directions(quotes, every, by), quote_counts(quotes, every, by)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, [*by, "ts"], "full")
-    return out.select(*by, "ts", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out.columns if c not in (*by, "ts")])
+    long, double = (lambda c: F.col(c).cast("long")), (lambda c: F.col(c).cast("double"))
+    names = {"_kind": "string", "_side": "string", "_price": "double", "_size": "long", "_sign": "int"}
+
+    def tagged(df: DataFrame, **given) -> DataFrame:
+        return df.select(*by, "ts", F.col("seq").cast("long").alias("seq"), *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()])
+
+    rows = tagged(trades, _kind=F.lit("0"), _price=double("price"), _size=long("quantity"), _sign=F.col("aggressor_sign"))
+    rows = rows.unionByName(tagged(quotes, _kind=F.lit("1"), _side=F.col("side"), _price=double("price"), _size=long("size")))
+    rows = rows.unionByName(tagged(depth.where("Flags = 0"), _kind=F.lit("2"), _side=F.col("Side"), _price=double("L1Price"), _size=long("L1Size")))
+    # A day is a slice, so that the day's quantile of sizes is at hand where the day's rows are.
+    rows = rows.withColumn("_slice", time_slice(F.col("ts"), 24))
+    keys = [*by, "_slice"]
+    order = ["ts", "_kind", "seq"]
+    is_trade, is_quote, is_book = (F.col("_kind") == k for k in "012")
+    sources = {"_bid": (is_quote & (F.col("_side") == "bid"), "_price"), "_ask": (is_quote & (F.col("_side") == "ask"), "_price"), "_book_bid": (is_book & (F.col("_side") == "B"), None), "_book_ask": (is_book & (F.col("_side") == "S"), None)}
+    value = {n: F.when(cond, F.col(c) if c else F.struct("_price", "_size")) for n, (cond, c) in sources.items()}
+
+    ends = rows.groupBy(*keys).agg(*[F.max_by(v, F.when(sources[n][0], F.struct(*order))).alias(n) for n, v in value.items()])
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, *[F.last(n, ignorenulls=True).over(before).alias(f"_was{n}") for n in value])
+    trade_sizes = trades.select(*by, time_slice(F.col("ts"), 24).alias("_slice"), long("quantity").alias("_quantity")).repartition(*keys)
+    carried = carried.join(nearest_quantile(trade_sizes, "_quantity", q, keys, "_edge"), keys, "left")
+
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumns({n: F.last(v, ignorenulls=True).over(so_far) for n, v in value.items()}).join(carried, keys, "left")
+    seen = seen.withColumns({n: F.coalesce(n, f"_was{n}") for n in value})
+
+    size, sign, price = F.col("_size"), F.col("_sign"), F.col("_price")
+    off = price - (F.col("_bid") + F.col("_ask")) / 2
+    paid = F.when(is_trade, F.when(sign == 0, 2.0 * F.abs(off)).otherwise(2.0 * sign * off))
+    over = lambda s, c: is_trade & (sign == s) & (price == F.col(f"{c}._price")) & (size > F.col(f"{c}._size"))
+    hidden = F.when(over(1, "_book_ask"), size - F.col("_book_ask._size")).when(over(-1, "_book_bid"), size - F.col("_book_bid._size"))
+    moved = lambda side: F.when(is_quote & (F.col("_side") == side), F.signum(price - F.col(f"_{side}")))
+    seen = seen.withColumns({"_paid": paid, "_hidden": hidden, "_large": is_trade & (size > F.col("_edge")), "_bid_move": moved("bid"), "_ask_move": moved("ask")})
+
+    spread = F.col("_paid").isNotNull()
+    of = lambda s, x: _sum(F.when(spread & (sign == s), x))
+    count = lambda cond: F.count(F.when(cond, 1))
+    at = F.struct("ts", "seq")
+    edge = lambda f, s: f(F.when(is_book & (F.col("_side") == s), size), F.when(is_book & (F.col("_side") == s), at))
+    volume = lambda s: _sum(F.when(is_trade & (sign == s), size))
+    out = in_bars(seen, every, by).agg(
+        _sum(F.col("_paid") * size).alias("eff_spread_sum"), _sum(F.when(spread, size)).alias("eff_spread_weight"), count(spread).alias("eff_spread_count"),
+        of(1, F.col("_paid") * size).alias("eff_spread_buy_sum"), of(1, size).alias("eff_spread_buy_weight"), of(-1, F.col("_paid") * size).alias("eff_spread_sell_sum"), of(-1, size).alias("eff_spread_sell_weight"),
+        count(F.col("_large")).alias("n_large_trades"), _sum(F.when(F.col("_large"), size)).alias("large_trade_volume"),
+        _sum(F.col("_hidden")).alias("hidden_absorption_volume"), count(F.col("_hidden") > 0).alias("hidden_absorption_trades"),
+        edge(F.min_by, "B").alias("_b0"), edge(F.max_by, "B").alias("_b1"), edge(F.min_by, "S").alias("_a0"), edge(F.max_by, "S").alias("_a1"), volume(-1).alias("hit_bid_vol"), volume(1).alias("lift_ask_vol"),
+        *[count(F.col(f"_{s}_move") == m).alias(f"{s}_{n}_count") for s in ("bid", "ask") for n, m in (("up", 1), ("down", -1))],
+        count(is_quote).alias("quote_update_count"),
+    )
+    none = F.lit(0).cast("long")
+    gone = lambda x, v: F.greatest(none, F.coalesce(F.col(f"_{x}0") - F.col(f"_{x}1") - F.col(v), none))
+    new = {"net_bid_decrement_no_trade_L1": gone("b", "hit_bid_vol"), "net_ask_decrement_no_trade_L1": gone("a", "lift_ask_vol"), "bid_sz_L1_delta_signed": F.coalesce(F.col("_b1") - F.col("_b0"), none), "ask_sz_L1_delta_signed": F.coalesce(F.col("_a1") - F.col("_a0"), none)}
+    return out.withColumns(new).drop("_b0", "_b1", "_a0", "_a1")
 
 
 def book_snapshot(bars: DataFrame, depth: DataFrame, only_regular: bool = True, by: list[str] | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ def numbered(df: DataFrame, by: list[str], on: str, order: list[str], name: str,
     slices, a row a slice. No window holds more than a slice's rows."""
     rows = df.withColumn("_slice", time_slice(F.col(on), hours))
     counts = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # Without keys this window is one task, over a row a slice.
     before = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(on, *order))
     return rows.withColumn("_inside", inside).join(before, [*by, "_slice"]).withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_slice", "_inside", "_before")

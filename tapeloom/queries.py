@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -514,8 +516,7 @@ def _monthly(spark, d):
 
 @query("cross_peers", f"with {MONTHLY}, x as (select ts, stddev_pop(log_return) as dispersion, sum(case when log_return > 0 then 1.0 else 0 end) / count(*) as breadth, max(log_return) - min(log_return) as leader_laggard_spread, coalesce(sum(log_return * log_return), 0) / (coalesce(sum(abs(log_return)), 0) ** 2 + {EPS}) as return_concentration from moved group by 1) select ts, round(dispersion, 6) + 0.0 as dispersion, round(breadth, 6) + 0.0 as breadth, round(leader_laggard_spread, 6) + 0.0 as leader_laggard_spread, round(return_concentration, 6) + 0.0 as return_concentration, round(case when count(dispersion) over w >= 5 then avg(dispersion) over w end, 6) + 0.0 as dispersion_w5 from x window w as (order by ts rows between 4 preceding and current row)")
 def _peers(spark, d):
-    rows = cs.peers(_monthly(spark, d)).withColumn("_all", F.lit(0))  # a row a time from here on
-    return rounded(rows.withColumn("dispersion_w5", Along("_all", ["ts"]).mean(F.col("dispersion"), 5)).drop("_all"))
+    return rounded(cs.over_times(cs.peers(_monthly(spark, d)), {"dispersion_w5": lambda a: a.mean(F.col("dispersion"), 5)}, 5, 16))
 
 
 @query("cross_return_zscore", f"with {MONTHLY} select instr, ts, round((log_return - avg(log_return) over (partition by ts)) / (stddev_pop(log_return) over (partition by ts) + {EPS}), 6) + 0.0 as z from moved")
@@ -523,7 +524,7 @@ def _cross_z(spark, d):
     return rounded(_monthly(spark, d).select("instr", "ts", cs.return_zscore(F.col("log_return")).alias("z")))
 
 
-_GAUSS = cs.gauss_table(30)
+_GAUSS = [[NormalDist().inv_cdf((k + 1) / (n + 1)) if n > 1 else None for k in range(n)] for n in range(31)]
 GAUSS_VALUES = ", ".join(f"({n}, {k + 1}, cast({z!r} as double))" for n, row in enumerate(_GAUSS) for k, z in enumerate(row) if z is not None)
 
 
