@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +68,13 @@ def tc_zscore(a: Along, value: Column, days: int) -> Column:
     return a.zscore(value, days)
 
 
-def with_mad_zscores(bars: DataFrame, a: Along, values: list[str], days: int, suffix: str) -> DataFrame:
-    """Robust deviations: from the rolling median of the time of day, over the median of such deviations."""
-    out = bars.withColumns({f"_med_{v}": a.median(F.col(v), days) for v in values})
-    out = out.withColumns({f"_dev_{v}": F.abs(F.col(v) - F.col(f"_med_{v}")) for v in values})
-    out = out.withColumns({f"_mad_{v}": a.median(F.col(f"_dev_{v}"), days, max(2, days // 2)) for v in values})
-    out = out.withColumns({f"{v}_{suffix}": (F.col(v) - F.col(f"_med_{v}")) / (1.4826 * F.col(f"_mad_{v}") + EPS) for v in values})
-    return out.drop(*[f"_{x}_{v}" for x in ("med", "dev", "mad") for v in values])
+def robust_deviation(x: np.ndarray, days: int) -> np.ndarray:
+    """Deviation from the rolling median of `days` values, over the median of such deviations. The windows are ordered structures that
+    each row updates by one insertion and one deletion."""
+    values = pd.Series(x)
+    middle = values.rolling(days, min_periods=days).median()
+    spread = (values - middle).abs().rolling(days, min_periods=max(2, days // 2)).median()
+    return ((values - middle) / (1.4826 * spread + EPS)).to_numpy()
 
 
 def session_vwap(bars: DataFrame, by: str = "instr") -> Column:

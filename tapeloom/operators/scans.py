@@ -90,3 +90,24 @@ def scan(df: DataFrame, by: list[str], values: list[str], local: Callable, fold:
     rows = _sliced(df, by, hours).withColumn("_at", at).join(found, [f.name for f in keys], "left")
     own, entry = (lambda i: F.col("_own")[i][F.col("_at") - 1]), (lambda i: F.col("_entry")[i])
     return rows.withColumns(finish(own, entry)).drop("_slice", "_at", "_own", "_entry")
+
+
+def by_group(df: DataFrame, by: list[str], values: list[str], outputs: list[str], work: Callable) -> DataFrame:
+    """df with new doubles that `work(fields)` gives for a whole group (a dict of arrays by output's name; NaN: null).
+
+    Only the values travel to Python, a group in one row of arrays; rows take their results by their place in the group.
+    """
+    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*_order(df, values)))).alias("rows"))
+    keys = [f for f in packed.schema.fields if f.name in by]
+
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [work(fields_of(batch.column("rows"), k)) for k in range(batch.num_rows)]
+            own = [[pa.array(np.asarray(f[n], float), mask=np.isnan(np.asarray(f[n], float))) for n in outputs] for f in found]
+            columns = [pa.array([o[i].to_pylist() for o in own], pa.list_(pa.float64())) for i in range(len(outputs))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keys], *columns], [*[f.name for f in keys], *[f"_own{i}" for i in range(len(outputs))]])
+
+    schema = T.StructType([*keys, *[T.StructField(f"_own{i}", T.ArrayType(T.DoubleType())) for i in range(len(outputs))]])
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*_order(df, values)))
+    rows = df.withColumn("_at", at).join(packed.mapInArrow(worked, schema), by, "left")
+    return rows.withColumns({n: F.col(f"_own{i}")[F.col("_at") - 1] for i, n in enumerate(outputs)}).drop("_at", *[f"_own{i}" for i in range(len(outputs))])

@@ -13,6 +13,7 @@ from ..functions.along import EPS, Along, share
 from ..operators import bars as bars_op
 from ..operators import cross_section, daily, labels, sequential
 from ..operators.asof import asof
+from ..operators.scans import by_group
 
 #: Columns that are normalised by time of day, and those that are smoothed, where a panel has them.
 NORMALISED = (
@@ -83,12 +84,13 @@ def base_features(bars: DataFrame, rv: tuple = (20, 60, 120), ranges: tuple = (2
 
 
 def normalised(bars: DataFrame, values: list[str], days: tuple = (30, 60), minutes: int = 15, by: str = "instr") -> DataFrame:
-    """Plain and robust deviations by time of day of all columns: one shuffle for all of them."""
+    """Plain and robust deviations by time of day of all columns: windows share one shuffle, medians are one pass over the values."""
     rows = bars.withColumn("bod", session.bar_of_day(F.col("ts"), minutes))
     a = session.time_of_day(by)
-    for n in days:
-        rows = rows.withColumns({f"{v}_tc_z_w{n}": session.tc_zscore(a, F.col(v), n) for v in values})
-        rows = session.with_mad_zscores(rows, a, values, n, f"tc_madz_w{n}")
+    rows = rows.withColumns({f"{v}_tc_z_w{n}": session.tc_zscore(a, F.col(v), n) for n in days for v in values})
+    robust = {f"{v}_tc_madz_w{n}": (v, n) for n in days for v in values}
+    if robust:
+        rows = by_group(rows, [by, "bod"], values, list(robust), lambda f: {name: session.robust_deviation(f[v], n) for name, (v, n) in robust.items()})
     return rows.drop("bod")
 
 
