@@ -247,3 +247,14 @@ def consistency(scores: DataFrame, top: int = 50) -> tuple[DataFrame, DataFrame]
     stable = every.where("n_targets = _all").select("feature", "n_targets", "ic_min", "ic_max", (F.signum("ic_min") == F.signum("ic_max")).alias("sign_stable"))
     overlap = best.select(F.col("target").alias("target_a"), "feature").join(best.select(F.col("target").alias("target_b"), "feature"), "feature").groupBy("target_a", "target_b").agg(F.count(F.lit(1)).alias("overlap"))
     return stable, overlap
+
+
+def rank_correlation(scores: DataFrame) -> DataFrame:
+    """Of scores (target, feature, ic): Spearman's correlation of the targets' orders of features by size of score, over features that every
+    target has a score of. A row a pair of targets."""
+    sized = scores.where(F.col("ic").isNotNull() & ~F.isnan("ic")).select("target", "feature", F.abs("ic").alias("_x"))
+    n = scores.select("target").distinct().agg(F.count(F.lit(1)).alias("_all"))
+    common = sized.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(n), F.col("_n") == F.col("_all")).select("feature")  # n has one row
+    ranked = sized.join(common, "feature").withColumn("_rank", average_rank("_x", ["target"]))
+    pairs = ranked.select(F.col("target").alias("target_a"), "feature", F.col("_rank").alias("_a")).join(ranked.select(F.col("target").alias("target_b"), "feature", F.col("_rank").alias("_b")), "feature")
+    return pairs.groupBy("target_a", "target_b").agg(correlation(F.col("_a"), F.col("_b"), 2).alias("rho"), F.count(F.lit(1)).alias("n"))

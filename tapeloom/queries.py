@@ -24,14 +24,22 @@ EVERY = ad.EVERY
 A = Along("instr", ["ts", "seq"])
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
+def registrar(queries: dict, oracles: dict):
+    """A decorator that registers a query, and its SQL where there is some."""
+
+    def query(name: str, sql: str | None = None):
+        def register(f):
+            queries[name] = f
+            if sql:
+                oracles[name] = sql
+            return f
+
+        return register
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
