@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -97,12 +98,32 @@ def dickey_fuller(x: np.ndarray, lags: int | None = None) -> float:
     return float(beta[1] / math.sqrt(max(1e-300, scale * np.linalg.pinv(a.T @ a)[1, 1])))
 
 
-#: Large-sample critical values of that statistic by level.
-CRITICAL = {0.01: -3.43, 0.05: -2.86, 0.10: -2.57}
+#: MacKinnon's approximation of the statistic's distribution with a constant. Below `turn` the normal value of p is the
+#: first polynomial of the statistic, above it the second; beyond the bounds p is 0 or 1.
+UNIT_ROOT_P = {"least": -18.83, "turn": -1.61, "most": 2.74, "small": (2.1659, 1.4412, 0.038269), "large": (1.7339, 0.93202, -0.12745, -0.010368)}
+#: His response surfaces of critical values over the number of differences: coefficients of 1, 1/n, 1/n^2, 1/n^3.
+UNIT_ROOT_CRITICAL = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040), 0.10: (-2.56677, -1.5384, -2.809, 0.0)}
+
+
+def unit_root_p(statistic: float) -> float:
+    """The p value of the unit-root statistic."""
+    if statistic <= UNIT_ROOT_P["least"]:
+        return 0.0
+    if statistic > UNIT_ROOT_P["most"]:
+        return 1.0
+    terms = UNIT_ROOT_P["small" if statistic <= UNIT_ROOT_P["turn"] else "large"]
+    return NormalDist().cdf(sum(c * statistic**k for k, c in enumerate(terms)))
+
+
+def unit_root_critical(level: float, n: int) -> float:
+    """The statistic below which n differences reject a unit root at a level."""
+    return sum(c / n**k for k, c in enumerate(UNIT_ROOT_CRITICAL[level]))
 
 
 def fracdiff_auto(df: DataFrame, value: str, out: str, level: float = 0.01, grid: tuple = tuple(i / 10 for i in range(1, 11)), tau: float = 1e-5, by: list[str] | None = None) -> DataFrame:
-    """The smallest order of the grid whose difference rejects a unit root; 1 where none does. Adds the order too."""
+    """The smallest order of the grid whose difference rejects a unit root by its p value; 1 where none does. Adds the order too.
+
+    The test needs a whole series, so a series is one task's work here: its values alone travel."""
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         x = g[value].to_numpy(float)
@@ -111,7 +132,7 @@ def fracdiff_auto(df: DataFrame, value: str, out: str, level: float = 0.01, grid
             y = np.convolve(x, weights)[: len(x)]
             y[: len(weights) - 1] = np.nan
             whole = y[~np.isnan(y)]
-            if len(whole) >= 100 and dickey_fuller(whole) < CRITICAL[level]:
+            if len(whole) >= 100 and unit_root_p(dickey_fuller(whole)) < level:
                 break
         else:
             d, y = 1.0, np.concatenate(([np.nan], np.diff(x)))[: len(x)]

@@ -79,10 +79,12 @@ def read_jdbc(spark: SparkSession, url: str, query: str, column: str | None = No
     return reader.option("dbtable", f"({query}) q").option("partitionColumn", column).option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions).load()
 
 
-def remote_tables(spark: SparkSession, url: str, pattern: str = "%", **options: str) -> DataFrame:
-    """Schemas, tables and their columns of a remote database, from its information schema."""
-    query = f"select table_schema, table_name, column_name, data_type from information_schema.columns where table_name like '{pattern}'"
-    return read_jdbc(spark, url, query, **options).groupBy("table_schema", "table_name").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
+def remote_tables(spark: SparkSession, url: str, pattern: str = "%", columns: str = "information_schema.columns", **options: str) -> DataFrame:
+    """Schemas, tables and their columns of a remote database, from its catalogue `columns` (table_schema, table_name, column_name); the
+    pattern is a filter that Spark pushes down, never a part of the query's text."""
+    found = spark.read.format("jdbc").option("url", url).option("dbtable", columns).options(**options).load()
+    found = found.select(*[F.col(c) for c in ("table_schema", "table_name", "column_name")]).where(F.col("table_name").like(pattern))
+    return found.groupBy("table_schema", "table_name").agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
 
 
 def option_chain(raw: DataFrame) -> DataFrame:

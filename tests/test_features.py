@@ -239,8 +239,8 @@ def test_lags_are_chosen_by_aic():
     for i in range(3, 3_000):  # differences that lean on the third one before
         dx[i] = 0.6 * dx[i - 3] + e[i]
     walk = np.cumsum(dx)
-    assert 3 <= sequential.chosen_lags(walk) <= 12 and sequential.dickey_fuller(walk) > sequential.CRITICAL[0.01]
-    assert sequential.dickey_fuller(e) < sequential.CRITICAL[0.01]
+    assert 3 <= sequential.chosen_lags(walk) <= 12 and sequential.unit_root_p(sequential.dickey_fuller(walk)) > 0.01
+    assert sequential.unit_root_p(sequential.dickey_fuller(e)) < 0.01
     # By hand: the same rows for all numbers of lags, each fitted by itself.
     most = 30
     a, y = sequential._unit_root_design(walk[:800], most)
@@ -277,3 +277,23 @@ def test_cross_composites_skip_what_is_missing(spark):
 def test_label_balance(spark):
     third = F.lit(1 / 3)
     assert spark.range(1).select(labels.balance(third, third, third)).first()[0] == pytest.approx(1.0)
+
+
+def test_unit_root_p_values_agree_with_critical_values():
+    for level in (0.01, 0.05, 0.10):
+        assert sequential.unit_root_p(sequential.unit_root_critical(level, 10**9)) == pytest.approx(level, abs=0.002)
+        assert sequential.unit_root_critical(level, 50) < sequential.unit_root_critical(level, 500) < sequential.unit_root_critical(level, 10**9)
+    values = [sequential.unit_root_p(x / 10) for x in range(-200, 40)]
+    assert values == sorted(values) and values[0] == 0.0 and values[-1] == 1.0
+    assert sequential.unit_root_p(-1.61) == pytest.approx(sequential.unit_root_p(-1.6099), abs=0.01)
+
+
+def test_normal_quantiles_equal_the_standard_librarys(spark):
+    from statistics import NormalDist
+
+    from tapeloom.functions.normal import normal_quantile
+
+    shares = [1e-300, 1e-12, 1e-5, 0.02, 0.07, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-9]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate([*shares, 0.0, 1.0])], "i int, p double").select("i", normal_quantile(F.col("p")).alias("z")).orderBy("i").collect()
+    assert [r.z for r in rows[: len(shares)]] == pytest.approx([NormalDist().inv_cdf(p) for p in shares], rel=1e-12)
+    assert [r.z for r in rows[len(shares) :]] == [None, None]

@@ -119,3 +119,21 @@ def test_queries_equal_their_sql(spark, name):
     close = lambda x: round(float(x), 5) if isinstance(x, float) else x
     key = lambda rows: sorted(repr(tuple(close(x) for x in r)) for r in rows)
     assert key(ours) == key(theirs)
+
+
+def test_a_remote_database_is_read_in_ranges(spark, tmp_path):
+    """Spark's own embedded database stands for a warehouse."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.createDataFrame([(i, f"2024-01-{1 + i % 28:02d}", 5_000_000 + i, "C" if i % 2 else "P") for i in range(60)], "id int, date string, strike_price int, cp_flag string")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "chain").option("createTableColumnTypes", "date varchar(10), cp_flag varchar(1)").options(**driver).save()
+    whole = tables.read_jdbc(spark, url, 'select * from chain where "id" < 50', **driver)
+    parts = tables.read_jdbc(spark, url, 'select * from chain where "id" < 50', "id", "0", "50", 5, **driver)
+    assert whole.count() == parts.count() == 50 and parts.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    catalog = "(select cast(s.schemaname as varchar(128)) as table_schema, cast(t.tablename as varchar(128)) as table_name, cast(c.columnname as varchar(128)) as column_name from sys.systables t join sys.sysschemas s on t.schemaid = s.schemaid join sys.syscolumns c on c.referenceid = t.tableid) cat"
+    found = tables.remote_tables(spark, url, "CHA%", catalog, **driver)
+    assert [(r.table_name, r["columns"]) for r in found.collect()] == [("CHAIN", ["cp_flag", "date", "id", "strike_price"])]
+    assert tables.remote_tables(spark, url, "x' or '1' = '1", catalog, **driver).count() == 0
+    chain = tables.option_chain(whole.withColumns({"exdate": F.lit("2024-03-15"), "open_interest": F.lit("7"), "gamma": F.lit("n/a")}))
+    assert chain.agg(F.min("strike_price")).first()[0] == 5000.0 and chain.where("gamma is not null").count() == 0
