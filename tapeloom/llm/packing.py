@@ -5,9 +5,10 @@ the remainder, the others are full. Pieces are then packed:
 
 1. each partition packs its pieces by best-fit decreasing;
 2. dual-feasible functions give a lower bound of the bins that its pieces need, and of those that all pieces need;
-3. while all bins are more than the bound of all, partitions release their emptiest bins, by the gap to their own bound;
-   these documents meet in fewer partitions and are packed again, until the bound is met (the packing is certified) or one
-   partition holds all that was released. Each round moves few bins and no texts.
+3. while all bins are more than the bound of all, partitions release their emptiest bins, by the gap to their own bound, unless these
+   bins meet the bound of what is in them; released documents meet others in new partitions of bounded size and are packed again, until
+   the bound is met (the packing is certified), one partition holds all that was released, or a round saves next to nothing (then the
+   better of both arrangements stands). No texts move.
 
 The certificate goes with the rows: `partition_bins` and `partition_bound` are the bins that the row's partition kept and the
 bound of the pieces in them, `total_bound` is the bound of all pieces.
@@ -19,10 +20,12 @@ packed once each. An empty table gives an empty result. Extra columns are ignore
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from .vocab import ByteBpe, loaded
 CAPACITY, END_ID = 1024, 2
 #: Fixed value: pieces that one packing task is dealt.
 PIECES_A_TASK = 40_000
+#: Share of the released bins that a round must save for another one.
+LEAST_GAIN = 0.002
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -122,13 +127,35 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 def release(lengths: np.ndarray, place: np.ndarray, fill: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Bins to give up: the emptiest, until their free room makes up the gap to the bound and one bin more. A partition that
-    meets its own bound still gives one bin's worth of room, as the bound of all may be lower than the sum of theirs."""
-    gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1))
-    given = np.zeros(len(fill), bool)
+    meets its own bound still gives one bin's worth of room, as the bound of all may be lower than the sum of theirs; so does one whose
+    released pieces would need as many bins by their own bound."""
     order = np.argsort(fill, kind="stable")
     room = np.cumsum(capacity - fill[order])
-    given[order[: int(np.searchsorted(room, (gap + 1) * capacity)) + 1]] = True
-    return given & (fill < capacity)
+
+    def given(gap: int) -> np.ndarray:
+        out = np.zeros(len(fill), bool)
+        out[order[: int(np.searchsorted(room, (gap + 1) * capacity)) + 1]] = True
+        return out & (fill < capacity)
+
+    gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1))
+    out = given(gap)
+    return given(0) if gap and lower_bound(np.bincount(lengths[out[place]], minlength=capacity + 1)) >= out.sum() else out
+
+
+def _standing(out: DataFrame, capacity: int) -> DataFrame:
+    """A round's rows where open bins stand after all: each task's open bins are a partition of their own, with its own certificate."""
+    given, task = out.where("open"), F.shiftright("sequence_id", 32)
+    sizes = given.groupBy(task.alias("_task"), "length").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("offset") == 0, 1)).alias("_bins"))
+    told = sizes.groupBy("_task").applyInPandas(lambda g: _certificate(g, capacity), "_task long, _bins long, _bound long")
+    given = given.withColumn("_task", task).join(F.broadcast(told), "_task")  # a row a task
+    given = given.withColumns({"partition_bins": F.col("_bins"), "partition_bound": F.col("_bound"), "sequence_id": F.col("sequence_id") + (1 << 55)})
+    return out.where(~F.col("open")).unionByName(given.drop("_task", "_bins", "_bound")).drop("open")
+
+
+def _certificate(g: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[g["length"].to_numpy()] = g["_n"].to_numpy()
+    return g.head(1)[["_task"]].assign(_bins=int(g["_bins"].sum()), _bound=lower_bound(counts))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
@@ -143,6 +170,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECE
         counts[row["length"]] = row["n"]
     bound, closed = lower_bound(counts), 0
     left, total, rounds = pieces, int(counts.sum()), 0
+    before, open_bins = None, math.inf  # the bins that the pieces left had, and how many
     tasks = max(1, -(-total // pieces_a_task))
     while True:
         tag, last = rounds << 56, tasks == 1
@@ -165,18 +193,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECE
                 table = table.append_column(name, pa.array(values))
             yield from table.cast(held).to_batches(20_000)
 
-        # Dealt by a hash of what a piece is, so that a rerun task meets the same pieces and hot documents spread.
-        dealt = left.select(*base).repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32")) if tasks > 1 else left.select(*base).coalesce(1)
+        # Dealt by a hash of what a piece is and the round, so that a rerun task meets the same pieces, hot documents spread, and
+        # pieces meet others each round.
+        dealt = left.select(*base).repartition(tasks, F.xxhash64(F.lit(rounds), "doc_id", "piece", "ids_crc32")) if tasks > 1 else left.select(*base).coalesce(1)
         out = written(dealt.sortWithinPartitions("length", "doc_id", "piece", "ids_crc32").mapInArrow(packed, PIECE_SCHEMA + ", sequence_id long, offset long, partition_bins long, partition_bound long, open boolean"), "packed")
         bins = out.groupBy("open").agg(F.count(F.when(F.col("offset") == 0, 1)).alias("bins"), F.count(F.lit(1)).alias("n")).collect()
-        if last or closed + sum(r["bins"] for r in bins) == bound or not any(r["open"] for r in bins):  # certified, or none left
-            done.append(out.drop("open"))
+        made, given_up = sum(r["bins"] for r in bins), sum(r["bins"] for r in bins if r["open"])
+        if before is not None and made >= open_bins:  # nothing gained: the bins that were given up stand as they were
+            done.append(_standing(before, capacity))
+            break
+        few = before is not None and open_bins - made < LEAST_GAIN * open_bins
+        if last or few or closed + made == bound or not given_up:  # certified, or not worth another round
+            done.append(_standing(out, capacity) if given_up else out.drop("open"))
             break
         done.append(out.where(~F.col("open")).drop("open"))
-        left, open_pieces = out.where("open"), sum(r["n"] for r in bins if r["open"])
-        closed += sum(r["bins"] for r in bins if not r["open"])
-        rounds += 1
-        tasks = min(max(1, tasks // 4), max(1, -(-open_pieces // pieces_a_task)))
+        before, open_bins = out.where("open"), given_up
+        left, closed, rounds = before, closed + made - given_up, rounds + 1
+        tasks = max(1, -(-sum(r["n"] for r in bins if r["open"]) // pieces_a_task))  # never more pieces a task
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
