@@ -45,27 +45,42 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _found(kind: str, order: int) -> str:
-    """Spans of the matches of one kind, with value v, before any check."""
-    return f"""aggregate(zip_with(slice(_pii_gap_{kind}, 1, size(_pii_hit_{kind})), _pii_hit_{kind}, (g, h) -> struct(g as g, h as h)),
-        struct(0 as p, cast(array() as array<struct<s:int,e:int,v:string>>) as a),
-        (acc, x) -> struct(acc.p + length(x.g) + length(x.h) as p,
-            concat(acc.a, array(struct(acc.p + length(x.g) as s, acc.p + length(x.g) + length(x.h) as e, x.h as v))) as a),
-        acc -> acc.a)"""
+#: Fixed value: matches of a block. Places are added up within blocks and over blocks, so that work grows with a text's matches.
+BLOCK = 64
 
 
-#: The check of each kind, over a span x of the text _pii_text.
+def _numbers(items: str) -> str:
+    return f"sequence(0, (size({items}) - 1) div {BLOCK})"
+
+
+def _block(items: str, b: str) -> str:
+    return f"slice({items}, {b} * {BLOCK} + 1, {BLOCK})"
+
+
+def _found(kind: str) -> str:
+    """Spans of the matches of one kind, before any check: s, e, value v, and what stands before and after it.
+
+    A block's own stretch of the text is cut out once; what a match needs of the text is cut out of that.
+    """
+    pairs, sums, starts = (f"_pii_{x}_{kind}" for x in ("pairs", "sums", "starts"))
+    stretch = f"transform(array(greatest({starts}[b] - {CONTEXT_CHARS}, 0)), t -> struct({starts}[b] as p, t as t, substr(_pii_text, t + 1, {starts}[b] - t + {sums}[b] + 1) as text))[0]"
+    span = f"struct(acc.p + x.g as s, acc.p + x.g + x.l as e, x.v as v, substr(k.text, greatest(acc.p + x.g - {CONTEXT_CHARS}, 0) - k.t + 1, least(acc.p + x.g, {CONTEXT_CHARS})) as before, substr(k.text, acc.p + x.g + x.l - k.t + 1, 1) as after)"
+    spans = f"aggregate({_block(pairs, 'b')}, struct(k.p as p, cast(array() as array<struct<s:int,e:int,v:string,before:string,after:string>>) as a), (acc, x) -> struct(acc.p + x.g + x.l as p, concat(acc.a, array({span})) as a), acc -> acc.a)"
+    return f"flatten(transform({_numbers(pairs)}, b -> transform(array({stretch}), k -> {spans})[0]))"
+
+
+#: The check of each kind, over a span x.
 _CHECKS = {
     "email": "true",
     "ip": "forall(split(x.v, r'\\.'), p -> length(ltrim('0', p)) <= 3 and cast(concat('0', substr(ltrim('0', p), 1, 3)) as int) <= 255)",
     "card": "length(regexp_replace(x.v, '[^0-9]', '')) between 12 and 19 and luhn_check(regexp_replace(x.v, '[^0-9]', ''))",
     "phone": "length(regexp_replace(x.v, '[^0-9]', '')) between 9 and 15",
-    "iban": """not rlike(substr(_pii_text, x.s, if(x.s = 0, 0, 1)), '[A-Za-z0-9]') and not rlike(substr(_pii_text, x.e + 1, 1), '[A-Za-z0-9]')
+    "iban": """not rlike(right(x.before, 1), '[A-Za-z0-9]') and not rlike(x.after, '[A-Za-z0-9]')
         and aggregate(sequence(1, length(x.v)), 0, (r, i) -> cast(
             if(substr(concat(substr(x.v, 5), substr(x.v, 1, 4)), i, 1) between '0' and '9',
                r * 10 + ascii(substr(concat(substr(x.v, 5), substr(x.v, 1, 4)), i, 1)) - 48,
                r * 100 + ascii(substr(concat(substr(x.v, 5), substr(x.v, 1, 4)), i, 1)) - 55) % 97 as int)) = 1""",
-    "account": "length(regexp_replace(x.v, '[^0-9]', '')) >= 7 and not rlike(substr(_pii_text, x.s, if(x.s = 0, 0, 1)), '[A-Za-z0-9.+]') and not rlike(substr(_pii_text, x.e + 1, 1), '[A-Za-z0-9]')",
+    "account": "length(regexp_replace(x.v, '[^0-9]', '')) >= 7 and not rlike(right(x.before, 1), '[A-Za-z0-9.+]') and not rlike(x.after, '[A-Za-z0-9]')",
 }
 #: Whether a text can have a match at all: a cheap look before the patterns.
 _MAY = {"email": "contains(_pii_text, '@')", "ip": "contains(_pii_text, '.') and _pii_digit", "card": "_pii_digit", "phone": "contains(_pii_text, '+') and _pii_digit", "iban": "_pii_digit", "account": "_pii_digit"}
@@ -76,10 +91,13 @@ def find_spans(docs: DataFrame) -> DataFrame:
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_pii_own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_pii_text")).withColumn("_pii_digit", F.expr("rlike(_pii_text, '[0-9]')"))
     out = out.select("*", *[F.expr(f"if({_MAY[kind]}, split(_pii_text, {_quoted(java)}, -1), array(_pii_text))").alias(f"_pii_gap_{kind}") for kind, java, _, _ in KINDS])
     out = out.select("*", *[F.expr(f"if(size(_pii_gap_{kind}) > 1, regexp_extract_all(_pii_text, {_quoted(java)}, 0), cast(array() as array<string>))").alias(f"_pii_hit_{kind}") for kind, java, _, _ in KINDS])
+    out = out.select("*", *[F.expr(f"zip_with(slice(_pii_gap_{kind}, 1, size(_pii_hit_{kind})), _pii_hit_{kind}, (g, h) -> struct(length(g) as g, length(h) as l, h as v))").alias(f"_pii_pairs_{kind}") for kind, *_ in KINDS])
+    out = out.select("*", *[F.expr(f"transform({_numbers(f'_pii_pairs_{kind}')}, b -> aggregate({_block(f'_pii_pairs_{kind}', 'b')}, 0, (n, x) -> n + x.g + x.l))").alias(f"_pii_sums_{kind}") for kind, *_ in KINDS])
+    out = out.select("*", *[F.expr(f"transform(_pii_sums_{kind}, (_, b) -> aggregate(slice(_pii_sums_{kind}, 1, b), 0, (n, x) -> n + x))").alias(f"_pii_starts_{kind}") for kind, *_ in KINDS])
     parts = []
     for order, (kind, _, _, points) in enumerate(KINDS):
-        spans = f"filter({_found(kind, order)}, x -> {_CHECKS[kind]})"
-        near = f"rlike(lower(substr(_pii_text, greatest(x.s - {CONTEXT_CHARS}, 0) + 1, least(x.s, {CONTEXT_CHARS}))), '{CONTEXT[kind]}')"
+        spans = f"filter(if(size(_pii_hit_{kind}) = 0, cast(array() as array<struct<s:int,e:int,v:string,before:string,after:string>>), {_found(kind)}), x -> {_CHECKS[kind]})"
+        near = f"rlike(lower(x.before), '{CONTEXT[kind]}')"
         scored = f"transform({spans}, x -> struct(x.s as s, {order} as o, '{kind}' as kind, x.e as e, {points} + if({near}, {CONTEXT_POINTS}, 0) as points))"
         parts.append(f"cast({scored if order < BASE_KINDS else f'filter({scored}, y -> y.points >= {LEAST_POINTS})'} as {_SPAN})")
     out = out.select("*", *[F.expr(p).alias(f"_pii_found_{kind}") for p, (kind, *_) in zip(parts, KINDS, strict=True)])
@@ -108,17 +126,19 @@ def span_digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets, `<email>`; overlapping spans are replaced as one."""
+    """docs with every span replaced by its kind in angle brackets, `<email>`; overlapping spans are replaced as one.
+
+    A span behind the furthest end so far begins a replacement and brings along the text since that end; others only move the end.
+    """
     found = find_spans(docs)
-    merged = """aggregate(_pii_spans, cast(array() as array<struct<s:int,e:int,kind:string>>), (acc, x) ->
-        if(size(acc) > 0 and x.s < element_at(acc, -1).e,
-           concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, greatest(element_at(acc, -1).e, x.e) as e, element_at(acc, -1).kind as kind))),
-           concat(acc, array(struct(x.s as s, x.e as e, x.kind as kind)))))"""
-    rebuilt = """aggregate(_pii_cuts, struct(0 as p, cast(array() as array<string>) as a),
-        (acc, x) -> struct(x.e as p, concat(acc.a, array(substr(_pii_text, acc.p + 1, x.s - acc.p), concat('<', x.kind, '>'))) as a),
-        acc -> concat(array_join(acc.a, ''), substr(_pii_text, acc.p + 1)))"""
-    out = found.withColumn("_pii_cuts", F.expr(merged))
-    return out.select(*[F.expr(f"if(size(_pii_cuts) = 0, _pii_own.text, {rebuilt})").alias("text") if n == "text" else F.col("_pii_own")[n].alias(n) for n in docs.columns])
+    spans = "_pii_spans"
+    found = found.withColumn("_pii_ends", F.expr(f"transform({_numbers(spans)}, b -> aggregate({_block(spans, 'b')}, 0, (n, x) -> greatest(n, x.e)))"))
+    found = found.withColumn("_pii_from", F.expr("transform(_pii_ends, (_, b) -> aggregate(slice(_pii_ends, 1, b), 0, (n, x) -> greatest(n, x)))"))
+    piece = "if(x.s >= acc.p, concat(acc.a, array(substr(k.text, acc.p - k.p + 1, x.s - acc.p), concat('<', x.kind, '>'))), acc.a)"
+    stretch = "struct(_pii_from[b] as p, substr(_pii_text, _pii_from[b] + 1, greatest(_pii_ends[b] - _pii_from[b], 0)) as text)"
+    block = f"aggregate({_block(spans, 'b')}, struct(k.p as p, cast(array() as array<string>) as a), (acc, x) -> struct(greatest(acc.p, x.e) as p, {piece} as a), acc -> array_join(acc.a, ''))"
+    rebuilt = f"concat(array_join(transform({_numbers(spans)}, b -> transform(array({stretch}), k -> {block})[0]), ''), substr(_pii_text, array_max(_pii_ends) + 1))"
+    return found.select(*[F.expr(f"if(size(_pii_spans) = 0, _pii_own.text, {rebuilt})").alias("text") if n == "text" else F.col("_pii_own")[n].alias(n) for n in docs.columns])
 
 
 def _oracle() -> str:
