@@ -10,10 +10,11 @@ Two kinds of bands reject a document that passes the base:
 * *Script*: fixed, wide limits of what any language of a script may have.
 * *Language* (the `lang` column, where there is one): measured over all documents that pass the base. Documents of a language
   and of about as many tokens (half a power of two) give each measure's median and quartiles; a document is rejected below
-  the median by a measure's reach times the lower quartile's deviation (as a normal one's), or above it by another reach times
-  the upper one's (`MEASURES`). Such a group counts from `LEAST_DOCUMENTS` documents on; in smaller ones the language's documents of all sizes give
-  the limits, but for entropy, which goes with size. Languages without a two- or three-letter code, or with too few
-  documents, have the limits of their script alone.
+  the centre by a measure's reach times the lower deviation (the quartile's, as a normal one's), or above it by another reach times
+  the upper one (`MEASURES`). No group is too small: its median counts by its documents against `POOL` documents on the language's line of
+  medians over sizes, and its deviations likewise against the language's; a line's slope against that of all languages, a language's
+  deviations against a wide fixed one. So few documents are judged leniently, and nothing hinges on one document more. Languages without
+  a two- or three-letter code have the limits of their script alone.
 
 Null texts count as empty: all counts 0, base_failed. Very long texts are measured whole. Ties: values on a limit are kept. Repeated
 rows are judged row by row (and count in the statistics as often as they come). An empty table gives an empty result. Extra
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,8 +65,10 @@ SCRIPT_BANDS = {
 }
 #: Last code point of each range and its script; ranges outside count as other.
 _RANGES = ((0x024F, "latin"), (0x036F, "other"), (0x03FF, "greek"), (0x052F, "cyrillic"), (0x058F, "other"), (0x05FF, "hebrew"), (0x08FF, "arabic"), (0x0DFF, "indic"), (0x0EFF, "thai"), (0x1DFF, "other"), (0x1EFF, "latin"), (0x1FFF, "greek"), (0x2E7F, "other"), (0x9FFF, "cjk"), (0xABFF, "other"), (0xD7AF, "cjk"))
-#: Parameter of the language bands: documents that a group needs.
-LEAST_DOCUMENTS = 100
+#: Parameter of the language bands: as many documents as the broader estimate counts for.
+POOL = 20
+#: Deviations that a language is given before any document is seen.
+WIDE = {"piece_chars_per_token": 0.3, "bpe_chars_per_token": 0.3, "byte_share": 0.05, "token_entropy": 0.4}
 #: The measures, each with the least deviation that it is given, so that a group of equal values rejects no neighbour, and how
 #: many deviations below and above the median are accepted (None: any). Few characters a token are found in texts of mixed
 #: languages too, so these limits are wider than that of the entropy.
@@ -186,36 +189,50 @@ def size_step(pieces: Column) -> Column:
     return F.floor(2 * F.log2(F.greatest(pieces, F.lit(1)))).cast("int")
 
 
-def language_bands(measured: DataFrame, by: list[str], least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """by, and a struct (low, high) of every measure, of the groups of at least `least_documents` rows that pass the base.
+def language_bands(measured: DataFrame, pool: int = POOL) -> DataFrame:
+    """language, size_step, and `band`: a struct (low, high) of every measure, of all groups of rows that pass the base.
 
-    Quantiles are exact over values of three decimals, so a group's state is bounded, and rows may come in any order.
+    Quantiles are exact over values of three decimals, so a group's state is bounded, and rows may come in any order. All that follows is
+    over at most 18,252 languages by 126 sizes.
     """
     quantiles = [F.expr(f"percentile(round({m}, 3), array(0.25, 0.5, 0.75))").alias(m) for m in MEASURES]
-    groups = measured.where(F.expr("not base_failed") & F.col("language").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), *quantiles).where(F.col("documents") >= least_documents)
-
-    def limits(m: str, least: float, below: float | None, above: float | None) -> Column:
+    groups = measured.where(F.expr("not base_failed") & F.col("language").isNotNull()).groupBy("language", "size_step").agg(F.count(F.lit(1)).cast("double").alias("n"), *quantiles)
+    own = Window.partitionBy("language")
+    t, n = F.col("size_step"), F.col("n")
+    mean = lambda x: F.sum(n * x).over(own) / F.sum(n).over(own)
+    rows = groups.withColumns({"documents": F.sum("n").over(own), "at": t - mean(t)})
+    for m in MEASURES:
         low, mid, high = (F.element_at(F.col(m), i) for i in (1, 2, 3))
-        ends = (mid - below * F.greatest((mid - low) / NORMAL_QUARTILE, F.lit(least)) if below else F.lit(None).cast("double"), mid + above * F.greatest((high - mid) / NORMAL_QUARTILE, F.lit(least)) if above else F.lit(None).cast("double"))
-        return F.struct(ends[0].alias("low"), ends[1].alias("high")).alias(m)
+        rows = rows.withColumns({f"mid_{m}": mid, f"low_{m}": (mid - low) / NORMAL_QUARTILE, f"high_{m}": (high - mid) / NORMAL_QUARTILE, f"mean_{m}": mean(mid)})
+    spread = lambda x: F.sum(n * F.col("at") * x)
+    every = rows.agg(*[F.coalesce(F.try_divide(spread(F.col(f"mid_{m}") - F.col(f"mean_{m}")), spread(F.col("at"))), F.lit(0.0)).alias(f"slope_{m}") for m in MEASURES])
+    rows = rows.join(F.broadcast(every))  # one row
+
+    def band(m: str, least: float, below: float | None, above: float | None) -> Column:
+        slope = (spread(F.col(f"mid_{m}") - F.col(f"mean_{m}")).over(own) + pool * F.col(f"slope_{m}")) / (spread(F.col("at")).over(own) + pool)
+        centre = (n * F.col(f"mid_{m}") + pool * (F.col(f"mean_{m}") + slope * F.col("at"))) / (n + pool)
+
+        def deviation(side: str) -> Column:
+            language = (F.sum(n * F.col(f"{side}_{m}")).over(own) + pool * WIDE[m]) / (F.col("documents") + pool)
+            return F.greatest((n * F.col(f"{side}_{m}") + pool * language) / (n + pool), F.lit(least))
+
+        none = F.lit(None).cast("double")
+        return F.struct((centre - below * deviation("low") if below else none).alias("low"), (centre + above * deviation("high") if above else none).alias("high")).alias(m)
 
-    return groups.select(*by, F.struct(*[limits(m, *reach) for m, reach in MEASURES.items()]).alias("_".join(["band", *by])))
+    return rows.select("language", "size_step", F.struct(*[band(m, *reach) for m, reach in MEASURES.items()]).alias("band"))
 
 
-def with_verdicts(measured: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+def with_verdicts(measured: DataFrame, pool: int = POOL) -> DataFrame:
     """Adds `kept` and `rejected_by` (base, script, or the measure outside its language's band) to a written table of measures."""
     sized = measured.withColumn("size_step", size_step(F.col("n_pieces")))
-    exact, wide = (language_bands(sized, by, least_documents) for by in (["language", "size_step"], ["language"]))
     # At most 18,252 languages with 126 sizes each, by their keys; a row of 80 bytes a group.
-    out = sized.join(F.broadcast(exact), ["language", "size_step"], "left").join(F.broadcast(wide), "language", "left")
+    out = sized.join(F.broadcast(language_bands(sized, pool)), ["language", "size_step"], "left")
     reason = F.when(F.col("base_failed"), "base").when(~F.col("script_fine"), "script")
     for m in MEASURES:
-        band = F.col(f"band_language_size_step.{m}")
-        if m != "token_entropy":
-            band = F.coalesce(band, F.col(f"band_language.{m}"))
+        band = F.col(f"band.{m}")
         outside = F.coalesce(F.col(m) < band["low"], F.lit(False)) | F.coalesce(F.col(m) > band["high"], F.lit(False))
         reason = reason.when(outside, m)
-    return out.withColumn("rejected_by", reason).withColumn("kept", F.col("rejected_by").isNull()).drop("size_step", "band_language_size_step", "band_language")
+    return out.withColumn("rejected_by", reason).withColumn("kept", F.col("rejected_by").isNull()).drop("size_step", "band")
 
 
 def _options(options: dict) -> tuple[dict, dict]:
