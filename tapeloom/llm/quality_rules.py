@@ -12,8 +12,8 @@ Two kinds of bands reject a document that passes the base:
   and of about as many tokens (half a power of two) give each measure's median and quartiles; a document is rejected below
   the centre by a measure's reach times the lower deviation (the quartile's, as a normal one's), or above it by another reach times
   the upper one (`MEASURES`). No group is too small: its median counts by its documents against `POOL` documents on the language's line of
-  medians over sizes, and its deviations likewise against the language's; a line's slope against that of all languages, a language's
-  deviations against a wide fixed one. So few documents are judged leniently, and nothing hinges on one document more. Languages without
+  medians over sizes, and its deviations likewise against the language's; a line's slope against that of all languages, that against a
+  level one, a language's deviations against a wide fixed one. So few documents are judged leniently, and nothing hinges on one document more. Languages without
   a two- or three-letter code have the limits of their script alone.
 
 Null texts count as empty: all counts 0, base_failed. Very long texts are measured whole. Ties: values on a limit are kept. Repeated
@@ -199,13 +199,14 @@ def language_bands(measured: DataFrame, pool: int = POOL) -> DataFrame:
     groups = measured.where(F.expr("not base_failed") & F.col("language").isNotNull()).groupBy("language", "size_step").agg(F.count(F.lit(1)).cast("double").alias("n"), *quantiles)
     own = Window.partitionBy("language")
     t, n = F.col("size_step"), F.col("n")
-    mean = lambda x: F.sum(n * x).over(own) / F.sum(n).over(own)
+    weight = n * n / (n + pool)  # a few documents of a rare size don't turn the line
+    mean = lambda x: F.sum(weight * x).over(own) / F.sum(weight).over(own)
     rows = groups.withColumns({"documents": F.sum("n").over(own), "at": t - mean(t)})
     for m in MEASURES:
         low, mid, high = (F.element_at(F.col(m), i) for i in (1, 2, 3))
         rows = rows.withColumns({f"mid_{m}": mid, f"low_{m}": (mid - low) / NORMAL_QUARTILE, f"high_{m}": (high - mid) / NORMAL_QUARTILE, f"mean_{m}": mean(mid)})
-    spread = lambda x: F.sum(n * F.col("at") * x)
-    every = rows.agg(*[F.coalesce(F.try_divide(spread(F.col(f"mid_{m}") - F.col(f"mean_{m}")), spread(F.col("at"))), F.lit(0.0)).alias(f"slope_{m}") for m in MEASURES])
+    spread = lambda x: F.sum(weight * F.col("at") * x)
+    every = rows.agg(*[F.coalesce(spread(F.col(f"mid_{m}") - F.col(f"mean_{m}")) / (spread(F.col("at")) + pool), F.lit(0.0)).alias(f"slope_{m}") for m in MEASURES])
     rows = rows.join(F.broadcast(every))  # one row
 
     def band(m: str, least: float, below: float | None, above: float | None) -> Column:
