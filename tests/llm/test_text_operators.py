@@ -114,6 +114,25 @@ def test_gaps_are_repacked_over_rounds(spark):
     assert many.count() == 400 and whole <= n <= 1.1 * whole  # tasks of 20 pieces of half a sequence each are the worst case
 
 
+@pytest.mark.parametrize("low, high", [(260, 501), (300, 724), (30, 200), (513, 1_025)])
+def test_no_task_gets_more_than_its_share(spark, low, high):
+    """Loose bounds release many bins: they are dealt to as many tasks as they need, and rounds end when they save nothing."""
+    draw = random.Random(low)
+    pieces = spark.createDataFrame([(i, 0, 0, draw.randrange(low, high), i) for i in range(6_000)], packing.PIECE_SCHEMA)
+    rows = packing.pack(pieces, pieces_a_task=500).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6_000))
+    tasks, bins = Counter(r.sequence_id >> 32 for r in rows), {}
+    assert max(tasks.values()) < 700  # 500 by a hash
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for of in bins.values():
+        assert [o for o, _ in sorted(of)] == [sum(n for _, n in sorted(of)[:k]) for k in range(len(of))] and sum(n for _, n in of) <= 1024
+    assert sum({r.sequence_id >> 32: r.partition_bins for r in rows}.values()) == len(bins)
+    assert all(r.partition_bound <= r.partition_bins for r in rows) and {r.total_bound for r in rows} == {packing.lower_bound(np.bincount([r.length for r in rows], minlength=1025))}
+    place, _, fill = packing.best_fit_decreasing(np.array([r.length for r in rows], np.int64))
+    assert len(bins) <= 1.02 * len(fill)
+
+
 # Quality rules
 
 
@@ -172,6 +191,49 @@ def test_measures_are_the_tokenizers(words):
     assert abs(got["token_entropy"] + float(share @ np.log2(share))) < 1e-9
 
 
+def verdicts_by_hand(docs, got, pool=20):
+    """rejected_by of each row: bands of language and size from medians and quartiles, pooled with the language's line over sizes."""
+    pieces = vocab.loaded(vocab.Pieces, "piece_bpe_32k.model", "byte_bpe_50k.json", None)
+    judged = {r.doc_id: dict(zip(quality_rules._JUDGED.names, quality_rules.judge(r.text, pieces), strict=True)) for r in docs.collect()}
+    out = {i: "base" if x["base_failed"] else None if x["script_fine"] else "script" for i, x in judged.items()}
+    groups = {}
+    for i, r in got.items():
+        if not r.base_failed and r.language:
+            groups.setdefault(r.language, {}).setdefault(int(np.floor(2 * np.log2(max(1, judged[i]["n_pieces"])))), []).append(i)
+    for m, (least, below, above) in quality_rules.MEASURES.items():
+        stats, up, down = {}, 0.0, 0.0
+        for language, steps in groups.items():
+            rows = [(t, len(of), *np.quantile(np.round([judged[i][m] for i in of], 3), (0.25, 0.5, 0.75))) for t, of in steps.items()]
+            n = np.array([r[1] for r in rows], float)
+            w = n * n / (n + pool)
+            at = np.array([r[0] for r in rows]) - w @ [r[0] for r in rows] / w.sum()
+            mids = np.array([r[3] for r in rows])
+            mean = w @ mids / w.sum()
+            stats[language] = rows, n, at, mean, w @ (at * (mids - mean)), w @ (at * at)
+            up, down = up + stats[language][4], down + stats[language][5]
+        for language, (rows, n, at, mean, sxy, sxx) in stats.items():
+            slope = (sxy + pool * up / (down + pool)) / (sxx + pool)
+            wide = {side: (sum(r[1] * abs(r[3] - r[k]) / 0.6745 for r in rows) + pool * quality_rules.WIDE[m]) / (n.sum() + pool) for side, k in (("low", 2), ("high", 4))}
+            for (t, k, low, mid, high), x in zip(rows, at, strict=True):
+                centre = (k * mid + pool * (mean + slope * x)) / (k + pool)
+                least_low, least_high = (max((k * d / 0.6745 + pool * wide[side]) / (k + pool), least) for side, d in (("low", mid - low), ("high", high - mid)))
+                for i in groups[language][t]:
+                    if out[i] is None and (below and judged[i][m] < centre - below * least_low or above and judged[i][m] > centre + above * least_high):
+                        out[i] = m
+    return out
+
+
+def test_few_documents_have_bands_too(spark):
+    """No group is too small for a verdict: five documents of a language, and twenty of many sizes."""
+    few = [(i, prose(70_000 + i, 60 + 40 * i), "de") for i in range(5)] + [(10 + i, prose(71_000 + i, 60 * (i + 1)), "fr") for i in range(20)]
+    odd = [(50, " ".join(f"er|nd|{k % 9}" + "ha" * (k % 7) for k in range(200)), "fr"), (51, None, "fr"), (52, "", "de"), (53, prose(9, 80), None)]
+    docs = spark.createDataFrame(few + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality_measures(docs).collect()}
+    assert verdicts_by_hand(docs, got) == {i: r.rejected_by for i, r in got.items()}
+    assert all(got[i].kept for i, *_ in few) and got[53].kept
+    assert quality_rules.quality_measures(docs.limit(0)).count() == 0
+
+
 def test_language_bands_reject_what_the_base_keeps(spark):
     rng = random.Random(1)
 
@@ -183,22 +245,7 @@ def test_language_bands_reject_what_the_base_keeps(spark):
     assert not any(r.base_failed for r in got.values())
     assert sum(got[i].kept for i in range(300)) >= 298 and not any(got[1_000 + i].kept for i in range(3))
     assert {got[1_000 + i].rejected_by for i in range(3)} <= set(quality_rules.MEASURES) and got[2_000].kept and got[2_001].kept
-    # Brute force over the rows: groups of a language and size, else the language.
-    rows = [r for r in got.values() if not r.base_failed and r.language]
-    pieces = vocab.loaded(vocab.Pieces, "piece_bpe_32k.model", "byte_bpe_50k.json", None)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    step = {i: int(np.floor(2 * np.log2(quality_rules.judge(t, pieces)[8]))) for i, t in texts.items()}
-    for r in rows:
-        alike = [x for x in rows if x.language == r.language and step[x.doc_id] == step[r.doc_id]]
-        wide = [x for x in rows if x.language == r.language]
-        outside = []
-        for m, (least, below, above) in quality_rules.MEASURES.items():
-            group = alike if len(alike) >= 100 else wide if len(wide) >= 100 and m != "token_entropy" else None
-            if group:
-                low, mid, high = np.quantile(np.round([x[m] for x in group], 3), (0.25, 0.5, 0.75))
-                if below and r[m] < mid - below * max((mid - low) / 0.6745, least) or above and r[m] > mid + above * max((high - mid) / 0.6745, least):
-                    outside.append(m)
-        assert r.rejected_by == (outside[0] if outside else None)
+    assert verdicts_by_hand(docs, got) == {i: r.rejected_by for i, r in got.items()}
     kept = quality_rules.keep_documents(docs)
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
@@ -683,6 +730,40 @@ def test_personal_data(spark):
     assert pii.redact(docs).columns == docs.columns and pii.span_digest(docs.limit(0)).count() == 0
 
 
+def brute_redacted(text, spans):
+    """Replaces overlapping spans as one, by the first one's kind."""
+    out, at, groups = [], 0, []
+    for span in filter(None, spans.split(",")):
+        kind, s, e = span.rsplit(":", 2)
+        if groups and int(s) < groups[-1][2]:
+            groups[-1][2] = max(groups[-1][2], int(e))
+        else:
+            groups.append([kind, int(s), int(e)])
+    for kind, s, e in groups:
+        out += [text[at:s], f"<{kind}>"]
+        at = e
+    return "".join(out) + text[at:]
+
+
+def test_many_matches_in_one_text(spark):
+    """Blocks of matches meet at their edges; a text of thousands of matches is no slow case."""
+    import time
+
+    rng = random.Random(4)
+    parts = [lambda i: f"user{i}.x@mail{i % 7}.example.com", lambda i: f"10.{i % 256}.3.4", lambda i: "4111 1111 1111 1111", lambda i: f"+49 (30) 123-{4000 + i}", lambda i: f"é日 passport {10_000_000 + i}", lambda i: "GB82WEST12345698765432", lambda i: f"a@b.c{i}.d 1.2.3.4@x.y"]
+    texts = [" ".join(rng.choice(parts)(i) for i in range(n)) for n in (63, 64, 65, 129, 700)]
+    docs = documents(spark, texts)
+    spans = {r.doc_id: r for r in pii.span_digest(docs).collect()}
+    redacted = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        assert spans[i].base_sha256 == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+        assert redacted[i] == brute_redacted(text, spans[i].spans) and len(spans[i].spans.split(",")) > 60
+    long = documents(spark, [" ".join(f"user{i}@mail.example.com" for i in range(40_000))])
+    began = time.time()
+    assert pii.span_digest(long).first().n_email == 40_000 and pii.redact(long).first().text == " ".join(["<email>"] * 40_000)
+    assert time.time() - began < 60
+
+
 # Classifier
 
 
@@ -728,7 +809,7 @@ def test_hard_rows_of_the_other_operators(spark, hard):
     files = odd.select(F.col("doc_id").alias("file_id"), F.lit("a/b/c.txt").alias("path"), "text", F.lit(1).alias("dir"), F.lit(2).alias("inherited"))
     assert {(r.license, r.source) for r in licenses.scan_licenses(files).collect()} == {(None, "none")}
     pages = odd.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h.com/"), "text").alias("url"), F.lit("2024-01-05").alias("fetched_on"), F.lit(1).alias("_row"), F.lit(2).alias("slot"))
-    assert url_filters.judge_captures(pages, spark.createDataFrame([("h.com", "block", "2024-01-01")], "entry string, action string, listed_on string")).groupBy("kept").count().collect() == [(True, 1), (False, n - 1)] or True
+    assert url_filters.judge_captures(pages, spark.createDataFrame([("h.com", "block", "2024-01-01")], "entry string, action string, listed_on string")).count() == n
     records = warc.page_records(odd.select(F.col("doc_id").alias("page_id"), "text", F.col("text").alias("html"), F.lit(1).alias("digest"))).collect()
     assert len(records) == n and {(r.page_id, r.record_type, r.refers_to) for r in records if r.page_id in (3, 4)} == {(3, "response", None), (4, "revisit", 3)}
     assert {r.payload_bytes for r in records if r.page_id == 2} == {len(LONG)}
@@ -758,7 +839,7 @@ def test_registered_queries_and_pipeline(spark, tmp_path):
 
     entry = __import__("__spark_entry__")
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {m[0] for x in names if (m := re.match(r"op\d+_", x))} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {m[0] for x in names if (m := re.match(r"op\d+_", x))} and "pipeline" in names
     d = str(tmp_path)
     texts = near_copies() + [f"mail me at a{i}.b@mail.example.com " + prose(600 + i, 80) for i in range(5)]
     item = prose(5_000, 40)
@@ -777,3 +858,30 @@ def test_registered_queries_and_pipeline(spark, tmp_path):
     ids = bpe.ids_of([clean])[0] + np.array([2], "<u4").tobytes()
     assert [r.ids_crc32 for r in rows if r.doc_id == len(texts) - 2] == [zlib.crc32(ids)]
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_of_hard_rows(spark, hard, tmp_path):
+    """Null and empty texts, a very long one, copies, repeated rows, null ids, clashing and dotted columns; then no rows at all."""
+    import corpus_pipeline
+
+    item = prose(5_000, 40)
+    rng, syllables = random.Random(8), [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "l", "m", "nd")]
+    long = " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 3))) for _ in range(24_000))
+    odd = hard.drop("n").withColumn("n_chars", F.lit(1)).withColumn("meta.src", F.lit("m")).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    more = spark.createDataFrame([(20, long), (21, prose(5_001, 100) + " " + item), (22, "mail a.b@c.example.com " + prose(600, 90)), (None, prose(601, 90)), (None, prose(601, 90)), (23, prose(602, 90)), (23, prose(602, 90))], "doc_id long, text string")
+    rows = odd.unionByName(more, allowMissingColumns=True)
+    d = str(tmp_path / "some")
+    rows.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, d).collect()
+    kept = Counter(r.doc_id for r in out if r.piece == 0)
+    assert set(kept) >= {20, 22, 23, None} and not set(kept) & {0, 1, 4, 5, 7, 8, 21}
+    assert kept[23] == 2  # repeated rows stay or go together
+    bpe = vocab.loaded(vocab.ByteBpe, "byte_bpe_50k.json", None)
+    whole = np.frombuffer(bpe.ids_of([long])[0] + np.array([2], "<u4").tobytes(), "<u4")
+    pieces = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 20)
+    assert sum(n for _, n, _ in pieces) == len(whole) > 10 * 1024 and all(zlib.crc32(whole[a : a + n].tobytes()) == c for a, n, c in pieces)
+    none = str(tmp_path / "none")
+    rows.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
