@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import HOURS, time_slice
+from .slices import HOURS, slice_of
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str = "ts", strict: bool = False, within: float | None = None, carry: str | None = None, right_on: str | None = None, left_seq: str = "seq", right_seq: str = "seq", hours: int = HOURS) -> DataFrame:
@@ -34,7 +34,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str = "ts", stric
         known = known & F.col(k).isNotNull()
     l = left.select(*keys, F.col(on).alias("_t"), F.lit(late).alias("_side"), seq(left, left_seq).alias("_seq"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).alias("_right"))
     r = right.where(known).select(*keys, F.col(right_on).alias("_t"), F.lit(early).alias("_side"), seq(right, right_seq).alias("_seq"), F.lit(None).alias("_left"), F.struct(*[F.col(c) for c in values], F.col(right_on).alias("_at")).alias("_right"))
-    dealt = l.unionByName(r).withColumn("_slice", time_slice(F.col("_t"), hours)).repartition(*names)
+    both = l.unionByName(r)
+    dealt = both.withColumn("_slice", slice_of(both, "_t", hours)).repartition(*names)
 
     frame = Window.partitionBy(*names).orderBy("_t", "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
     found = dealt.withColumn("_hit", F.last("_right", ignorenulls=True).over(frame)).where(F.col("_left").isNotNull())

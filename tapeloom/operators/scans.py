@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import written
-from .slices import HOURS, time_slice
+from .slices import HOURS, slice_of
 
 
 def affine_prefix(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +41,12 @@ def _order(df: DataFrame, values: list[str]) -> list[Column]:
 
 
 def _sliced(df: DataFrame, by: list[str], hours: int) -> DataFrame:
-    return df.withColumn("_slice", time_slice(F.col("ts"), hours))
+    return df.withColumn("_slice", slice_of(df, "ts", hours))
 
 
 def epoch_seconds(times: np.ndarray) -> np.ndarray:
+    if np.issubdtype(times.dtype, np.number):
+        return times.astype(float)
     return times.astype("datetime64[us]").astype(np.int64) / 1e6
 
 

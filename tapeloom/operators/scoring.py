@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Written
 from . import boosting
 from .cross_section import CLASSES
 
@@ -126,16 +127,20 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def greedy_select(scores: DataFrame, corr: DataFrame, most: int, most_corr: float) -> list[str]:
-    """Features by score, each taken unless it correlates with one already taken; unknown correlations don't hinder. The
-    inputs have a row a feature and a row a pair: the driver walks them."""
-    order = [r["feature"] for r in scores.where("ic is not null").orderBy(F.desc(F.abs("ic")), "feature").collect()]
-    known = {frozenset((r["feature_a"], r["feature_b"])): r["corr"] for r in corr.collect()}
+    """Features by score, each taken unless it correlates with one already taken; unknown correlations don't hinder. The driver
+    holds the features' names, and of the correlations, which are written once, one taken feature's at a time."""
+    order = [r["feature"] for r in scores.where("ic is not null").orderBy(F.desc(F.abs("ic")), "feature").select("feature").collect()]  # a row a feature
+    pairs = Written(corr.where(~F.isnan("corr") & (F.abs("corr") >= most_corr)), "correlations")
+    barred: set[str] = set()
     taken: list[str] = []
     for f in order:
         if len(taken) >= most:
             break
-        if all((c := known.get(frozenset((f, g)))) is None or math.isnan(c) or abs(c) < most_corr for g in taken):
+        if f not in barred:
             taken.append(f)
+            other = F.when(F.col("feature_a") == f, F.col("feature_b")).otherwise(F.col("feature_a"))
+            barred |= {r["other"] for r in pairs.df.where((F.col("feature_a") == f) | (F.col("feature_b") == f)).select(other.alias("other")).collect()}
+    pairs.drop()
     return taken
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hours of a slice by default.
 HOURS = 24
@@ -16,10 +17,16 @@ def time_slice(t: Column, hours: int = HOURS) -> Column:
     return F.floor((F.unix_date(F.to_date(t)).cast("long") * 24 + F.hour(t)) / hours).cast("long")
 
 
+def slice_of(df: DataFrame, on: str, hours: int = HOURS) -> Column:
+    """The slice of a time column, or of a number of seconds."""
+    kind = df.schema[on].dataType
+    return F.floor(F.col(on) / (hours * 3_600)).cast("long") if isinstance(kind, T.NumericType) else time_slice(F.col(on), hours)
+
+
 def numbered(df: DataFrame, by: list[str], on: str, order: list[str], name: str, hours: int = HOURS) -> DataFrame:
     """df with each key's row numbers from 0 in the order of (on, order): numbers within slices, and before them the counts of earlier
     slices, a row a slice. No window holds more than a slice's rows."""
-    rows = df.withColumn("_slice", time_slice(F.col(on), hours))
+    rows = df.withColumn("_slice", slice_of(df, on, hours))
     counts = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     # Without keys this window is one task, over a row a slice.
     before = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
