@@ -19,7 +19,7 @@ from .operators import bars as bars_op
 from .operators import cross_section as cs
 from .operators import execution, scoring, sequential
 from .plans import panel
-from .queries import BASE, DEPTH, EPS, EVERY, N, SNAP, TO_BARS, TRADES, A, final, lag, ofi_sql, rounded
+from .queries import BASE, DEPTH, EPS, ET, EVERY, N, SNAP, TO_BARS, TRADES, A, final, lag, ofi_sql, roll, rounded
 from .sources import builds
 from .sources.scratch import shared_folder
 
@@ -198,3 +198,45 @@ def _build_resumed(spark, d):
     failed = entries.groupBy("instr", "month").agg(F.max((F.col("status") == "failed").cast("int")).alias("f"))
     return builds.latest(entries, build.keys).join(failed, build.keys).select("instr", "month", "status", "n_rows", (F.col("f") == 1).alias("failed_first"))
 
+
+
+# --- A whole instrument's panel: base features, nights, deviations by time of day and smoothing, joined as one -------
+
+_VALUES = ("log_return", "abs_log_return", "log_volume", "ofi", "aggressor_ratio", "cvd_change", "net_aggressor_volume", "average_trade_size", "trades_count_log", "implied_volume_share", "implied_aggressor_skew", "spread_to_mid_bps", "spread_sub_var_ratio", "vol_ratio_short_long", "vwap_deviation")
+_SMOOTH = ("abs_log_return", "ofi", "cvd_change", "spread_to_mid_bps", "log_volume")
+_BY = "instr, bod"
+
+
+def _ema_columns() -> tuple[str, str, str]:
+    """Names, first values and steps of the means and their weights, as recursive SQL has them."""
+    names, first, steps = [], [], []
+    for v in _SMOOTH:
+        for s in (10, 30):
+            e, w, a = f"e_{v}_{s}", f"w_{v}_{s}", f"(2e0 / {s + 1}e0)"
+            names += [e, w]
+            first += [f"cast({v} as double)", "cast(1 as double)"]
+            steps.append(f"case when b.{v} is null then e.{e} when e.{e} is null then b.{v} else (e.{w} * (1 - {a}) * e.{e} + {a} * b.{v}) / (e.{w} * (1 - {a}) + {a}) end")
+            steps.append(f"case when b.{v} is null and e.{e} is not null then e.{w} * (1 - {a}) else cast(1 as double) end")
+    return ", ".join(names), ", ".join(first), ", ".join(steps)
+
+
+_NAMES, _FIRST, _STEPS = _ema_columns()
+_PANEL = f"""tod as (select *, hour({ET}) * 4 + minute({ET}) // 15 as bod from base),
+    tz1 as (select *, {', '.join(f"({v} - {roll('avg', v, N, by=_BY)}) / ({roll('stddev_samp', v, N, by=_BY)} + {EPS}) as z_{v}, {roll('median', v, N, by=_BY)} as med_{v}" for v in _VALUES)} from tod),
+    tz2 as (select *, {', '.join(f"abs({v} - med_{v}) as dev_{v}" for v in _VALUES)} from tz1),
+    tz3 as (select *, {', '.join(f"({v} - med_{v}) / (1.4826 * {roll('median', f'dev_{v}', N, least=2, by=_BY)} + {EPS}) as mz_{v}" for v in _VALUES)} from tz2),
+    nb as (select *, row_number() over (partition by instr order by ts) as k from base),
+    em(instr, k, ts, {_NAMES}) as (select instr, k, ts, {_FIRST} from nb where k = 1 union all select b.instr, b.k, b.ts, {_STEPS} from em e join nb b on b.instr = e.instr and b.k = e.k + 1)"""
+
+
+@query(
+    "panel_instrument_whole",
+    f"with recursive {TO_BARS}, {BASE}, {q.NIGHT}, {_PANEL} select t.instr, t.ts, "
+    + ", ".join([f"round(t.{c}, 6) + 0.0 as {c}" for c in q.BASE_DOUBLES if c != "jump_indicator_w5"] + [f"round({slog_sql(f't.z_{v}')}, 5) + 0.0 as {v}_tc_z_w5" for v in _VALUES] + [f"round({slog_sql(f't.mz_{v}')}, 5) + 0.0 as {v}_tc_madz_w5" for v in _VALUES] + [f"case when t.{v} is not null then round(em.e_{v}_{s}, 6) + 0.0 end as {v}_ema_s{s}" for v in _SMOOTH for s in (10, 30)])
+    + ", round(gap, 6) + 0.0 as overnight_log_return, round(rv, 6) + 0.0 as overnight_realized_vol, cast(vol as bigint) as overnight_volume_total, n4.nb as overnight_n_bars from tz3 t join em on em.instr = t.instr and em.ts = t.ts join n2 on n2.instr = t.instr and n2.ts = t.ts left join n4 on n2.instr = n4.instr and n2.tday = n4.tday",
+)
+def _panel_whole(spark, d):
+    out = panel.instrument_features(ad.bars(spark, d), days=(N,), with_patterns=False, engines=False, rv=(5, 10), ranges=(5,), surprise=(5,), moments=5, asymmetry=5, auto=5, short=5, long=10, roll=5)
+    night = ("overnight_log_return", "overnight_realized_vol", "overnight_volume_total", "overnight_n_bars")
+    deviations = [F.round(slog(F.col(f"{v}_{kind}_w5")), 5).alias(f"{v}_{kind}_w5") for kind in ("tc_z", "tc_madz") for v in _VALUES]
+    return rounded(out.select("instr", "ts", *[c for c in q.BASE_DOUBLES if c != "jump_indicator_w5"], *deviations, *[f"{v}_ema_s{s}" for v in _SMOOTH for s in (10, 30)], *night))
