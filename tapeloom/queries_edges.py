@@ -240,3 +240,36 @@ def _panel_whole(spark, d):
     night = ("overnight_log_return", "overnight_realized_vol", "overnight_volume_total", "overnight_n_bars")
     deviations = [F.round(slog(F.col(f"{v}_{kind}_w5")), 5).alias(f"{v}_{kind}_w5") for kind in ("tc_z", "tc_madz") for v in _VALUES]
     return rounded(out.select("instr", "ts", *[c for c in q.BASE_DOUBLES if c != "jump_indicator_w5"], *deviations, *[f"{v}_ema_s{s}" for v in _SMOOTH for s in (10, 30)], *night))
+
+
+_OTHERS = [f"I{k}_{v}" for k in (1, 2, 3) for v in ("log_return", "ofi")]
+_TARGET = "w as (select ts, " + ", ".join(f"min({v}) filter (instr = {k}) as I{k}_{v}" for k in (1, 2, 3) for v in ("log_return", "ofi")) + " from base group by 1)"
+_BY_TIME = roll("avg", "x", N, by=_BY)
+
+
+@query(
+    "panel_target_whole",
+    f"with {TO_BARS}, {BASE}, {q.label_sql(4, 90000, 'truncate', 2, 1.5, 1.0, _BY_TIME)}, {_TARGET} select lab.ts, "
+    + ", ".join([f"round(b.{c}, 6) + 0.0 as {c}" for c in ("close", "log_return", "ofi", "cvd_change")] + [f"round({c}, 6) + 0.0 as {c}" for c in (*_OTHERS, "atr", "realized_ret", "realized_ret_pts")])
+    + ", label, cast(hit_offset as integer) as hit_offset, truncated as halt_truncated from lab join base b on b.instr = lab.instr and b.ts = lab.ts left join w on w.ts = lab.ts where lab.instr = 0 and isfinite(atr) and isfinite(realized_ret)",
+)
+def _target_whole(spark, d):
+    features = q._base(spark, d)
+    wide = cs.widen(features.withColumn("instr", F.concat(F.lit("I"), F.col("instr"))).select("ts", "instr", "log_return", "ofi"), ["log_return", "ofi"], ["I0", "I1", "I2", "I3"])
+    out = panel.target_panel("I0", features.where("instr = 0"), wide, days=N, minutes=60, horizon=4, least=2, gap_seconds=90000)
+    return rounded(out.select("ts", "close", "log_return", "ofi", "cvd_change", *_OTHERS, "atr", "realized_ret", "realized_ret_pts", "label", "hit_offset", "halt_truncated"))
+
+
+# --- Greedy choice: the order is a recursion over the features by score ----------------------------------------------
+
+
+@query(
+    "greedy_choice",
+    f"with recursive {TO_BARS}, {q.PANEL}, {q.ic_sql('')}, cor as (" + " union all ".join(f"select '{x}' as a, '{y}' as b, abs(corr({x}, {y})) as c from pan" for x in q.IC_FEATURES for y in q.IC_FEATURES if x != y)
+    + "), o as (select feature, row_number() over (order by abs(ic) desc, feature) as k from ics where ic is not null), walk(k, taken) as (select 0, cast([] as varchar[]) union all select o.k, case when len(w.taken) < 4 and not exists (select 1 from cor where cor.a = o.feature and list_contains(w.taken, cor.b) and cor.c >= 0.2) then list_append(w.taken, o.feature) else w.taken end from walk w join o on o.k = w.k + 1)"
+    + " select cast(i - 1 as integer) as place, taken[i] as feature from (select taken from walk order by k desc limit 1), range(1, 5) r(i) where i <= len(taken)",
+)
+def _greedy_choice(spark, d):
+    rows = q._panel(spark, d)
+    taken = scoring.greedy_select(scoring.information_coefficients(rows, list(q.IC_FEATURES), "y", least=20), scoring.correlation_matrix(rows, list(q.IC_FEATURES)), 4, 0.2)
+    return spark.createDataFrame(list(enumerate(taken)), "place int, feature string")
