@@ -98,23 +98,24 @@ def test_entry_registers_queries_with_and_without_text(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert entry.market.FLAGSHIP in entry.queries()
     monkeypatch.setattr(entry, "_optional", lambda name: None)
-    assert set(entry.queries()) == set(entry.market.QUERIES) and set(entry.oracle_sql()) == set(entry.market.ORACLES)
+    registers = (entry.market, entry.edges)
+    assert set(entry.queries()) == {n for r in registers for n in r.QUERIES} and set(entry.oracle_sql()) == {n for r in registers for n in r.ORACLES}
+    assert len(entry.queries()) == sum(len(r.QUERIES) for r in registers)
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["bars_core", "exec_bars", "overnight", "roll_front_n", "ingest_trades"])
+@pytest.mark.parametrize("name", ["bars_core", "exec_bars", "overnight", "roll_front_n", "ingest_trades", "class_metrics", "boosted_split_gains", "sql_asof", "cross_interactions_all", "greedy_choice"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
-    from tapeloom import queries
-
+    entry = importlib.import_module("__spark_entry__")
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem", "part"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = queries.QUERIES[name](spark, SF)
+    df = entry.queries()[name](spark, SF)
     names = sorted(df.columns)
     con.sql("set timezone = 'UTC'")
-    theirs = con.sql(queries.ORACLES[name]).project(", ".join(f'"{n}"' for n in names)).fetchall()
+    theirs = con.sql(entry.oracle_sql()[name]).project(", ".join(f'"{n}"' for n in names)).fetchall()
     ours = [tuple(r) for r in df.select(*names).collect()]
     close = lambda x: round(float(x), 5) if isinstance(x, float) else x
     key = lambda rows: sorted(repr(tuple(close(x) for x in r)) for r in rows)
