@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import asof
+from .asof import asof, asof_kinds
 from .bars import KEY, first_by, in_bars, last_by, quote_stream
 from .slices import time_slice
 from ..functions.along import Along
@@ -60,9 +60,9 @@ def large_trades(trades: DataFrame, every: str, q: float = 0.99, by: list[str] |
 def hidden_absorption(trades: DataFrame, depth: DataFrame, every: str, only_regular: bool = True, by: list[str] | None = None) -> DataFrame:
     """Size of trades at the touch beyond what the touch showed just before."""
     by = by or KEY
-    bid, ask = split_sides(depth, only_regular, by)
-    rows = asof(trades, ask.select(*by, "ts", "seq", "ask_px_L1", "ask_sz_L1"), by, strict=True)
-    rows = asof(rows, bid.select(*by, "ts", "seq", "bid_px_L1", "bid_sz_L1"), by, strict=True)
+    book = (depth.where("Flags = 0") if only_regular else depth).select(*by, "ts", "seq", "Side", "L1Price", "L1Size")
+    touch = lambda side: ({f"{side}_px_L1": "L1Price", f"{side}_sz_L1": "L1Size"}, None)
+    rows = asof_kinds(trades, book, by, {"B": touch("bid"), "S": touch("ask")}, "Side", strict=True)
     over = lambda s, side: (F.col("aggressor_sign") == s) & (F.col("price") == F.col(f"{side}_px_L1")) & (F.col("quantity") > F.col(f"{side}_sz_L1"))
     hidden = F.when(over(1, "ask"), F.col("quantity") - F.col("ask_sz_L1")).when(over(-1, "bid"), F.col("quantity") - F.col("bid_sz_L1")).otherwise(0)
     return in_bars(rows.withColumn("_h", hidden), every, by).agg(_sum(F.col("_h")).alias("hidden_absorption_volume"), F.count(F.when(F.col("_h") > 0, 1)).alias("hidden_absorption_trades"))
@@ -165,9 +165,10 @@ def execution_bars(trades: DataFrame, quotes: DataFrame, depth: DataFrame, every
 def book_snapshot(bars: DataFrame, depth: DataFrame, only_regular: bool = True, by: list[str] | None = None) -> DataFrame:
     """Adds the last bid and ask levels before each bar's end, each side whole, and the later of their times."""
     by = by or KEY
-    bid, ask = split_sides(depth, only_regular, by)
-    out = asof(bars, bid, by, strict=True, carry="_bid_ts")
-    out = asof(out, ask, by, strict=True, carry="_ask_ts")
+    rows = depth.where("Flags = 0") if only_regular else depth
+    part = {"Price": "px", "Size": "sz", "Orders": "ord"}
+    levels = lambda side: {f"{side}_{y}_L{k}": f"L{k}{x}" for k in range(1, LEVELS + 1) for x, y in part.items()}
+    out = asof_kinds(bars, rows.select(*by, "ts", "seq", "Side", *[f"L{k}{x}" for k in range(1, LEVELS + 1) for x in part]), by, {"B": (levels("bid"), "_bid_ts"), "S": (levels("ask"), "_ask_ts")}, "Side", strict=True)
     return out.withColumn("book_ts_close", F.greatest("_bid_ts", "_ask_ts")).drop("_bid_ts", "_ask_ts")
 
 
