@@ -30,9 +30,18 @@ def _ratio(parts: tuple, x: Column) -> Column:
     return value[0] / value[1]
 
 
-def normal_quantile(p: Column) -> Column:
-    """The standard normal value that a share p of values lies below; null unless 0 < p < 1."""
+def depth(p: Column) -> Column:
+    """How far out a share lies: the root of minus the logarithm of the nearer tail."""
+    return F.sqrt(-F.ln(F.when(p <= 0.5, p).otherwise(1 - p)))
+
+
+def quantile_at(p: Column, r: Column) -> Column:
+    """The quantile of p by its depth r. Both are named many times: hand over columns, not expressions, where many rows are worked."""
     q = p - 0.5
-    r = F.sqrt(-F.ln(F.when(q <= 0, p).otherwise(1 - p)))
     far = F.when(r <= 5, _ratio(SHOULDER, r - 1.6)).otherwise(_ratio(TAIL, r - 5))
     return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * _ratio(MIDDLE, 0.180625 - q * q)).otherwise(F.when(q < 0, -far).otherwise(far)))
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal value that a share p of values lies below; null unless 0 < p < 1."""
+    return quantile_at(p, depth(p))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.along import EPS, Along
-from ..functions.normal import normal_quantile
+from ..functions.normal import depth, quantile_at
 from .slices import HOURS, numbered, with_halo
 
 #: Asset classes and their instruments; weights of the currency basket before they are scaled to 1.
@@ -48,12 +48,15 @@ def gauss_ranks(rows: DataFrame, values: list[str], scope: list[str] | None = No
     """Adds the normal quantile of (rank + 1) / (n + 1), rank from 0, among the non-null values at a time (and scope); ties by
     instrument; null where fewer than two have a value. All values share one shuffle by time."""
     part = scope or []
-    new = {}
-    for v in values:
+    shares, depths, out = {}, {}, {}
+    for i, v in enumerate(values):
         n = F.count(v).over(at_time(*part))
         rank = F.row_number().over(at_time(*part).orderBy(F.col(v).asc_nulls_last(), F.col(tie)))
-        new[f"{prefix}{v}"] = F.when(F.col(v).isNotNull() & (n > 1), normal_quantile(rank / (n + 1)))
-    return rows.withColumns(new)
+        shares[f"_p{i}"] = F.when(F.col(v).isNotNull() & (n > 1), rank / (n + 1))
+        depths[f"_r{i}"] = depth(F.col(f"_p{i}"))
+        out[f"{prefix}{v}"] = quantile_at(F.col(f"_p{i}"), F.col(f"_r{i}"))
+    # In steps, so that each share and depth is worked out once.
+    return rows.withColumns(shares).withColumns(depths).withColumns(out).drop(*shares, *depths)
 
 
 def widen(rows: DataFrame, values: list[str], instruments: list[str]) -> DataFrame:
