@@ -4,11 +4,13 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 link with nothing. Nothing here is approximate but for 64-bit hashes that stand for shingles (63 bits for whole sets). The steps:
 
 1. *Classes.* Documents with equal sets form a class (one row a class from here on, however many copies it has).
-2. *Index.* In any fixed order of shingles, linked sets share one among the first |A| - ceil(3|A|/4) + 1 of each. The order
-   is by hash, with the most frequent shingles (counted over all documents) last, so that passages common to many documents
+2. *Index.* In any fixed order of shingles, linked sets share three (or all that they must share, if fewer) among the first
+   |A| - ceil(3|A|/4) + 3 of each. The order is by hash, with the most frequent shingles (counted over all documents) last, so that passages common to many documents
    give no lists of candidates. Those first shingles are the inverted index, dealt out by hash ranges.
-3. *Candidates.* A short list gives its pairs of fitting sizes, which must also pass a bound: parity sketches differ in at
-   most as many bits as two linked sets may differ in shingles. A long list (near copies by the hundred) gives only a star.
+3. *Candidates.* A short list gives its pairs of fitting sizes, a long one (near copies by the hundred) only a star. Pairs are
+   counted where they meet: those that no star and fewer than three lists give are gone before anything is joined to them. As
+   a table grows, so do pairs that share one shingle by chance, with its square; next to none of these share three. Those left
+   must pass a bound: parity sketches differ in at most as many bits as two linked sets may differ in shingles.
 4. *Candidate groups.* Connected components over candidates, by contraction onto least neighbours until no edge is left; every
    linked pair lies within one. Groups are dealt by steps of set sizes: a set goes with those of its step and the next.
 5. *DivideSkip.* Within a group a set is a query: its longest inverted lists are set aside, the shorter ones are merged (they
@@ -28,6 +30,7 @@ Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_rows, bounded_batches, chunked, fresh, hot_join, shingle_hashes, written
+from .common import FEW_ROWS, WordHash, arrow_rows, bounded_batches, chunked, dropped, fresh, hot_join, shingle_hashes, written
 
 WORDS, SHARE = 5, (3, 4)
 #: Lists up to so long give all their pairs; shingles that come so often in one task are counted over all tasks;
@@ -44,8 +47,14 @@ WORDS, SHARE = 5, (3, 4)
 SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 2, 500_000, 500_000
 #: Index entries that one task is dealt, rows of pairs that a task holds at once, names and words it remembers.
 ENTRIES_A_TASK, PAIRS_AT_ONCE, NAMES_KEPT, WORDS_KEPT = 500_000, 200_000, 100_000, 150_000
+#: Shingles of their index parts that linked sets share; the weight of a star's pair, which needs no others; the
+#: bits of a map of wanted keys for each key, and at most (32 MB).
+SHARED, STAR, KEY_BITS, MOST_BITS = 3, 1 << 20, 16, 1 << 28
 MU = 0.0085  # DivideSkip's weight of probing against merging
 
+#: hot_join, where narrow tables of few rows need no count by key.
+_joined = functools.partial(hot_join, few=FEW_ROWS)
+
 
 def least_overlap(a, b):
     """The overlap that sets of a and b shingles need: the least whole number of at least 3(a + b)/7."""
@@ -54,7 +63,7 @@ def least_overlap(a, b):
 
 def index_part(n: int) -> int:
     """How many first shingles of a set of n are indexed."""
-    return n - -(-SHARE[0] * n // SHARE[1]) + 1
+    return min(n, n - -(-SHARE[0] * n // SHARE[1]) + SHARED)
 
 
 def class_of(s: np.ndarray) -> int:
@@ -201,13 +210,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = left.selectExpr("inline(array(struct(a as v, b as w), struct(b as v, a as w)))")
         least = written(both.groupBy("v").agg(F.min("w").alias("w")).selectExpr("v", "least(v, w) as c"), "least")
-        took = written(hot_join(least, least.selectExpr("v as c", "c as top"), "c", "inner").selectExpr("v", "top as c"), "took")
+        took = written(_joined(least, least.selectExpr("v as c", "c as top"), "c", "inner").selectExpr("v", "top as c"), "took")
         tops = took.selectExpr("v as c", "c as top")
-        labels = took if labels is None else written(hot_join(labels, tops, "c", "left").selectExpr("v", "coalesce(top, c) as c"), "labels")
-        half = written(hot_join(left, took.selectExpr("v as a", "c as x"), "a", "inner").select("x", "b"), "half")
-        drawn = hot_join(half, took.selectExpr("v as b", "c as y"), "b", "inner").selectExpr("least(x, y) as a", "greatest(x, y) as b")
-        left = written(drawn.where("a <> b").distinct(), "edges")
+        before, labels = labels, took if labels is None else written(_joined(labels, tops, "c", "left").selectExpr("v", "coalesce(top, c) as c"), "labels")
+        if before is not None:
+            dropped(before)
+        half = written(_joined(left, took.selectExpr("v as a", "c as x"), "a", "inner").select("x", "b"), "half")
+        drawn = _joined(half, took.selectExpr("v as b", "c as y"), "b", "inner").selectExpr("least(x, y) as a", "greatest(x, y) as b")
+        done, left = left, written(drawn.where("a <> b").distinct(), "edges")
+        dropped(done, least, half, *([] if labels is took else [took]))
         if not left.take(1):
+            dropped(left)
             return labels
 
 
@@ -305,8 +318,12 @@ def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 ENTRY = np.dtype([("s", "<u8"), ("name", "<i8"), ("n", "<i4")])
 
 
-def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple[bool, tuple]]:
-    """(star, (a, b, n, m)) of the lists of an index part, in slices of PAIRS_AT_ONCE rows or a little more, distinct within a slice."""
+def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple]:
+    """(a, b, weight) of the lists of an index part, in slices of PAIRS_AT_ONCE rows or a little more, added up within a slice.
+
+    A list weighs 1 for each of its pairs, more if these sets may link with fewer than SHARED shingles: pairs that can link
+    reach SHARED over all lists, or a star joins both to one set.
+    """
     order = np.lexsort((table["name"], table["s"]))
     s, names, sizes = (table[c][order] for c in ("s", "name", "n"))
     new = np.concatenate(([True], (s[1:] != s[:-1]) | (names[1:] != names[:-1])))  # copies met in other tasks
@@ -314,14 +331,14 @@ def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple[bool, tuple]]:
     cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     lengths = np.diff(np.append(cuts, len(s)))
 
-    def distinct(parts: list[tuple]) -> tuple:
-        a, b, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def added(parts: list[tuple]) -> tuple:
+        a, b, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((b, a))
-        a, b, n, m = a[order], b[order], n[order], m[order]
-        keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return a[keep], b[keep], n[keep], m[keep]
+        a, b, weight = a[order], b[order], weight[order]
+        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+        return a[at], b[at], np.add.reduceat(weight, at) if len(at) else weight
 
-    def slices() -> Iterator[tuple[bool, tuple]]:
+    def slices() -> Iterator[tuple]:
         for k in range(2, short + 1):
             at = cuts[lengths == k]
             i, j = np.triu_indices(k, 1)
@@ -330,24 +347,25 @@ def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple[bool, tuple]]:
                 rows = at[x : x + step, None] + np.arange(k)
                 n, m = sizes[rows[:, i]].ravel(), sizes[rows[:, j]].ravel()
                 fit = (SHARE[0] * n <= SHARE[1] * m) & (SHARE[0] * m <= SHARE[1] * n)
-                yield False, (names[rows[:, i]].ravel()[fit], names[rows[:, j]].ravel()[fit], n[fit], m[fit])
+                weight = -(-SHARED // np.minimum(SHARED, least_overlap(n[fit].astype(np.int64), m[fit])))
+                yield names[rows[:, i]].ravel()[fit], names[rows[:, j]].ravel()[fit], weight
         for x, k in zip(cuts[lengths > short].tolist(), lengths[lengths > short].tolist(), strict=True):
-            yield True, (np.full(k - 1, names[x]), names[x + 1 : x + k], np.full(k - 1, sizes[x]), sizes[x + 1 : x + k])
+            yield np.full(k - 1, names[x]), names[x + 1 : x + k], np.full(k - 1, STAR)
 
     held: list[tuple] = []
-    count, kind = 0, False
-    for star, part in slices():
-        if held and (star != kind or count >= PAIRS_AT_ONCE):
-            yield kind, distinct(held)
-            held, count = [], 0
+    count = 0
+    for part in slices():
         held.append(part)
-        count, kind = count + len(part[0]), star
-    if held:
-        yield kind, distinct(held)
+        count += len(part[0])
+        if count >= PAIRS_AT_ONCE:
+            yield added(held)
+            held, count = [], 0
+    if count:
+        yield added(held)
 
 
-def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of names whose index parts meet: pairs of short lists, and stars of long ones."""
+def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> DataFrame:
+    """(a, b, star) of names whose index parts meet as often as linked sets' do, or in the star of a long list. Written."""
     spark = docs.sparkSession
     parts = max(1, -(-entries // ENTRIES_A_TASK), min(spark.sparkContext.defaultParallelism, -(-entries // 100_000)))
     shared = spark.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
@@ -387,39 +405,58 @@ def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> tupl
         if held:
             yield from chunked(dealt(), blob)
 
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("star", pa.bool_())])
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("weight", pa.int64())])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[bytes]] = {}
         for part, data in arrow_rows(batches):
             rows.setdefault(part, []).append(data)
         for part in sorted(rows):
-            for star, columns in list_pairs(np.frombuffer(b"".join(rows.pop(part)), ENTRY), short):
-                yield from _columns(pair, (*columns, np.full(len(columns[0]), star)))
+            for columns in list_pairs(np.frombuffer(b"".join(rows.pop(part)), ENTRY), short):
+                yield from _columns(pair, columns)
+
+    met_pairs = _texts(docs).mapInArrow(indexed, "part int, entries binary").repartition(parts, "part").mapInArrow(met, "a long, b long, weight long")
+    counted = met_pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= SHARED)
+    return written(counted.select("a", "b", (F.col("weight") >= STAR).alias("star")), "candidates")
 
-    lists = _texts(docs).mapInArrow(indexed, "part int, entries binary").repartition(parts, "part").mapInArrow(met, "a long, b long, n int, m int, star boolean")
-    out = written(lists, "candidates")
-    return out.where("not star").select("a", "b", "n", "m").distinct(), out.where("star").select("a", "b").distinct()
 
+def _key_map(wanted: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """A bit for each remainder of a wanted row_key, by a power of two of bits; a wanted key is never missed, most others are."""
+    bits = min(most, 1 << max(12, (KEY_BITS * wanted.count() - 1).bit_length()))
+    slot = wanted.select(F.pmod("row_key", F.lit(bits)).alias("slot"))
+    rows = slot.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set")).toArrow()  # most / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["set"].to_numpy()
+    return out.view(np.uint64)
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, columns: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     """The sets of `wanted` (row_key, name, columns), tokenized again: few of all, so only they are hashed. Written."""
-    # Texts are dealt by their key whatever the size of `wanted`, the smaller side, so that work grows in proportion.
-    texts = _texts(docs).select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key").select("text", "name", *[c for c, _, _ in columns])
-    arrow = pa.schema([("name", pa.int64()), *((c, t) for c, _, t in columns), ("shingles", pa.binary())])
+    # A map of the keys tells where texts are read which are wanted: only sets of these travel, and next to no others.
+    shared = docs.sparkSession.sparkContext.broadcast(_key_map(wanted))
+    arrow = pa.schema([("row_key", pa.int64()), ("name", pa.int64()), ("shingles", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash(WORDS_KEPT)
+        hashes, there, seen = WordHash(WORDS_KEPT), shared.value, set()
 
         def rows():
-            for text, name, *rest in arrow_rows(batches):
-                s = _set_of(text, hashes)
-                if class_of(s) == name:  # another row may have an equal row_key
-                    yield (name, *rest, s.tobytes())
+            for batch in batches:
+                slot = batch.column(0).to_numpy().view(np.uint64) & np.uint64(64 * len(there) - 1)
+                hit = there[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)
+                for row_key, _, text in arrow_rows([batch.filter(pa.array(hit.astype(bool)))]):
+                    s = _set_of(text, hashes)
+                    if not len(s) or (key := (row_key, class_of(s))) in seen:  # repeated rows near each other go once
+                        continue
+                    if len(seen) >= NAMES_KEPT:
+                        seen.clear()
+                    seen.add(key)
+                    yield (*key, s.tobytes())
 
         yield from chunked(rows(), arrow)
 
-    return written(texts.mapInArrow(made, "name long, " + ", ".join(f"{c} {t}" for c, t, _ in columns) + ", shingles binary"), "carried")
+    sets = _texts(docs).mapInArrow(made, "row_key long, name long, shingles binary")
+    # Dealt by key whatever the size of `wanted`, so that work grows in proportion. Another row may have an equal row_key.
+    return written(sets.join(wanted.hint("shuffle_hash"), ["row_key", "name"]).select("name", *columns, "shingles"), "carried")
 
 
 _LINK = pa.schema([("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())])
@@ -468,10 +505,10 @@ def group_links(carried: DataFrame) -> DataFrame:
     held = F.sum(F.expr("octet_length(shingles) div 8"))
     both = rest.groupBy("c").agg(held.alias("some")).join(cut.groupBy("c").agg(held.alias("total")), "c")
     sizes = written(both.select("c", *[F.greatest(F.lit(1), F.ceil(F.expr(x) / BLOCK_SHINGLES)).cast("int").alias(y) for x, y in (("some", "chunks"), ("total - some", "blocks"))]), "sizes")
-    asked = hot_join(rest, sizes, "c", "inner").withColumn("q", F.expr("cast(pmod(xxhash64(name, 1), chunks) as int)"))
+    asked = _joined(rest, sizes, "c", "inner").withColumn("q", F.expr("cast(pmod(xxhash64(name, 1), chunks) as int)"))
     paired = asked.withColumn("k", F.expr("explode(sequence(0, chunks - 1))")).select("c", F.least("q", "k").alias("x"), F.greatest("q", "k").alias("y"), "name", "shingles", F.expr("q <= k").alias("asked"))
     sent = asked.select("c", F.col("q").alias("x"), F.expr("explode(sequence(-blocks, -1))").alias("y"), "name", "shingles", F.lit(True).alias("asked"))
-    there = hot_join(others, sizes, "c", "inner", keys=cut.select("c")).select("c", F.expr("explode(sequence(0, chunks - 1))").alias("x"), F.expr("cast(-1 - pmod(xxhash64(name), blocks) as int)").alias("y"), "name", "shingles", F.lit(False).alias("asked"))
+    there = _joined(others, sizes, "c", "inner", keys=cut.select("c")).select("c", F.expr("explode(sequence(0, chunks - 1))").alias("x"), F.expr("cast(-1 - pmod(xxhash64(name), blocks) as int)").alias("y"), "name", "shingles", F.lit(False).alias("asked"))
     more = paired.unionByName(sent).unionByName(there).groupBy("c", "x", "y").applyInArrow(across, "c long, a long, b long, open boolean")
     return links.unionByName(written(more.where("a <> b"), "links").select("a", "b"))
 
@@ -482,51 +519,56 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
     classes = written(sets.where("n > 0").groupBy("name").agg(first, F.first("n").alias("n")).select("name", "n", F.col("first.doc_id").alias("least"), F.col("first.row_key").alias("row_key")), "classes")
     frequent = frequent_shingles(counts)
-    entries = int(classes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0)
-    pairs, near = candidate_pairs(docs, frequent, entries)
+    entries = int(classes.agg(F.sum(F.expr(f"n div 4 + {SHARED}"))).first()[0] or 0)
+    candidates = candidate_pairs(docs, frequent, entries)
+    pairs, near = (candidates.where(x).select("a", "b") for x in ("not star", "star"))
 
     # Sketches of the sets in pairs; a pair that can't link goes, most by narrow sketches, so that few whole ones travel.
     ends = pairs.selectExpr("inline(array(struct(a as name), struct(b as name)))").distinct()
     of_pairs = classes.join(ends, "name").select("row_key", "name", F.col("n").cast("int").alias("n"))
     whole = of_pairs.join(sets.where("n > 0").select("row_key", "sketch"), "row_key").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    arrow = pa.schema([("name", pa.int64()), ("sketch", pa.binary()), ("narrow", pa.binary())])
+    arrow = pa.schema([("name", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("narrow", pa.binary())])
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from chunked(((name, x, narrowed(n, x)) for name, n, x in arrow_rows(batches)), arrow)
+        yield from chunked(((name, n, x, narrowed(n, x)) for name, n, x in arrow_rows(batches)), arrow)
 
-    sketches = written(whole.mapInArrow(folded, "name long, sketch binary, narrow binary"), "sketches")
+    sketches = written(whole.mapInArrow(folded, "name long, n int, sketch binary, narrow binary"), "sketches")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [may_link(n, x, m, y) for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)]
-            yield batch.select(["a", "b", "n", "m"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def passing(some: DataFrame, kind: str) -> DataFrame:
-        drawn = some.join(sketches.select(F.col("name").alias("a"), F.col(kind).alias("x")), "a").join(sketches.select(F.col("name").alias("b"), F.col(kind).alias("y")), "b")
-        return drawn.select("a", "b", "n", "x", "m", "y").mapInArrow(likely, "a long, b long, n int, m int")
+        drawn = some.join(sketches.select(F.col("name").alias("a"), "n", F.col(kind).alias("x")), "a").join(sketches.select(F.col("name").alias("b"), F.col("n").alias("m"), F.col(kind).alias("y")), "b")
+        return drawn.select("a", "b", "n", "x", "m", "y").mapInArrow(likely, "a long, b long")
 
     fit = written(passing(pairs, "narrow"), "likely")
-    close = written(passing(fit, "sketch").select("a", "b").unionByName(near), "close")
+    close = written(passing(fit, "sketch").unionByName(near), "close")
+    dropped(candidates, sketches, fit)
     grouped = components(close)
 
     # Groups, their hubs (the name of most candidates) and blocks; each set of a group travels once.
     degrees = close.selectExpr("inline(array(struct(a as name), struct(b as name)))").groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
     members = written(classes.join(grouped.withColumnRenamed("v", "name"), "name").join(degrees, "name"), "members")
+    dropped(grouped, close)
     # A group falls apart by size: sets of one step, a factor of 1.34, link with their own and the next step only.
     step = F.floor(F.log("n") / math.log(1.34)).cast("int")
     stepped = written(members.select("name", "row_key", "n", "degree", F.explode(F.array(step, step - 1)).alias("step"), "c").withColumn("c", F.xxhash64("c", "step")), "stepped")
     cut = stepped.groupBy("c").agg(F.max(F.struct("degree", "name"))["name"].alias("hub"), F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
-    dealt = hot_join(stepped, cut, "c", "inner").groupBy("row_key", "name").agg(F.collect_list(F.struct("c", "hub", "blocks", F.expr("cast(pmod(xxhash64(name), blocks) as int)").alias("block"))).alias("places"))  # two places at most
-    place = pa.struct([("c", pa.int64()), ("hub", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32())])
-    carried = _sets_of(docs, dealt, [("places", "array<struct<c: bigint, hub: bigint, blocks: int, block: int>>", pa.list_(place))]).selectExpr("name", "inline(places)", "shingles")
-    final = written(components(group_links(carried)).withColumnRenamed("v", "name"), "final")
+    dealt = written(_joined(stepped, cut, "c", "inner").groupBy("row_key", "name").agg(F.collect_list(F.struct("c", "hub", "blocks", F.expr("cast(pmod(xxhash64(name), blocks) as int)").alias("block"))).alias("places")), "dealt")  # two places at most
+    dropped(members, stepped)
+    carried = _sets_of(docs, dealt, ["places"])
+    dropped(dealt)
+    final = components(group_links(carried.selectExpr("name", "inline(places)", "shingles"))).withColumnRenamed("v", "name")
+    dropped(carried)
 
     least = classes.join(final, "name").groupBy("c").agg(F.min("least").alias("component_id"))
-    of_class = hot_join(final, least, "c", "inner").select("name", "component_id")
+    of_class = _joined(final, least, "c", "inner").select("name", "component_id")
     joined = written(classes.join(of_class, "name", "left").select("name", F.coalesce("component_id", "least").alias("component_id")), "of_class")
     # Documents without words have no class: their key is one of their own, which meets none.
     keyed = sets.select("row_key", "doc_id", "n", F.expr("if(n > 0, name, -1 - pmod(row_key, 1 << 62))").alias("name"))
-    return hot_join(keyed, joined, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row_key")
+    return _joined(keyed, joined, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row_key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
