@@ -5,11 +5,13 @@ link with nothing. Nothing here is approximate but for 64-bit hashes that stand
 
 1. *Classes.* Documents with equal sets form a class (one row a class from here on, however many copies it has).
 2. *Index.* In any fixed order of shingles, linked sets share three (or all that they must share, if fewer) among the first
-   |A| - ceil(3|A|/4) + 3 of each. The order is by hash, with the most frequent shingles (counted over all documents) last, so that passages common to many documents
-   give no lists of candidates. Those first shingles are the inverted index, dealt out by hash ranges.
-3. *Candidates.* A short list gives its pairs of fitting sizes, a long one (near copies by the hundred) only a star. Pairs are
-   counted where they meet: those that no star and fewer than three lists give are gone before anything is joined to them. As
-   a table grows, so do pairs that share one shingle by chance, with its square; next to none of these share three. Those left
+   |A| - ceil(3|A|/4) + 3 of each. The order is by hash, with all shingles last that any task met twice (a map of bits has them), so that passages common to many documents
+   and runs of common words give no lists of candidates. Those first shingles are the inverted index, dealt out by hash ranges.
+3. *Candidates.* A short list gives its pairs of fitting sizes; so does a long one of texts that met by chance. Only a long list
+   of near copies gives a star (the least hashes of near copies are mostly equal: that chooses the form, and either is without
+   loss). Pairs are counted where they meet: those that no star and fewer than three lists give are gone before anything is
+   joined to them. As a table grows, so do pairs that share one shingle by chance, with its square; next to none of these share
+   three. Stars of lists that met by chance would make one group of a large table. Those left
    must pass a bound: parity sketches differ in at most as many bits as two linked sets may differ in shingles.
 4. *Candidate groups.* Connected components over candidates, by contraction onto least neighbours until no edge is left; every
    linked pair lies within one. Groups are dealt by steps of set sizes: a set goes with those of its step and the next.
@@ -42,9 +44,12 @@ from pyspark.sql import functions as F
 from .common import FEW_ROWS, WordHash, arrow_rows, bounded_batches, chunked, dropped, fresh, hot_join, shingle_hashes, written
 
 WORDS, SHARE = 5, (3, 4)
-#: Lists up to so long give all their pairs; shingles that come so often in one task are counted over all tasks;
-#: those with such a sum, the most frequent ones up to so many, are ordered last; shingles of one task's block of a group.
-SHORT_LIST, FREQUENT_IN_TASK, FREQUENT_LEAST, FREQUENT_MOST, BLOCK_SHINGLES = 24, 2, 2, 500_000, 500_000
+#: Lists up to so long give all their pairs; those up to so long too, unless half of their sets have the same least
+#: hash; shingles of one task's block of a group.
+SHORT_LIST, LONG_LIST, BLOCK_SHINGLES = 24, 256, 500_000
+#: Bits of a task's map of the shingles that it has met (32 MB), the most of the map of those met twice (16 MB), and
+#: that map's bits for each of them.
+SEEN_BITS, FREQUENT_BITS, FREQUENT_KEY_BITS = 1 << 28, 1 << 27, 16
 #: Index entries that one task is dealt, rows of pairs that a task holds at once, names and words it remembers.
 ENTRIES_A_TASK, PAIRS_AT_ONCE, NAMES_KEPT, WORDS_KEPT = 500_000, 200_000, 100_000, 150_000
 #: Shingles of their index parts that linked sets share; the weight of a star's pair, which needs no others; the
@@ -238,47 +243,59 @@ def _set_of(text: str | None, hashes: WordHash) -> np.ndarray:
     return shingle_hashes((text or "").encode("utf-8", "replace").lower().split(), hashes, WORDS)
 
 
+class Repeated:
+    """Slots of the shingles that come again in one task, by a map of bits. It only orders shingles, so that a slot which others
+    share, or a repetition missed, costs work and no result."""
+
+    def __init__(self):
+        self.seen, self.held = np.zeros(SEEN_BITS // 8, np.uint8), 0
+        self.found: list[np.ndarray] = []
+
+    def add(self, s: np.ndarray) -> None:
+        if self.held > SEEN_BITS // 8:  # a map that is full tells little
+            self.seen[:] = 0
+            self.held = 0
+        slot = (s & np.uint64(SEEN_BITS - 1)).astype(np.int64)
+        at, bit = slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8)
+        had = self.seen[at]
+        again = (had & bit) != 0
+        self.seen[at] = had | bit
+        self.held += len(s)
+        if again.any():
+            self.found.append(slot[again])
+
+    def taken(self) -> np.ndarray:
+        """The slots found since the last call."""
+        out = np.unique(np.concatenate([np.empty(0, np.int64), *self.found]))
+        self.found = []
+        return out
+
+
 def set_names(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row_key, doc_id, n, name, sketch of the set) of every document, and (shingle, times) of those that come often; one pass over the texts."""
+    """(row_key, doc_id, n, name, sketch of the set) of every document, and (slot) of shingles that come again in a task; one pass over the texts."""
     bounded_batches(docs.sparkSession)
-    both = pa.schema([*_SETS_ARROW, ("shingle", pa.int64()), ("times", pa.int64())])
+    both = pa.schema([*_SETS_ARROW, ("slot", pa.int64())])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, names = WordHash(WORDS_KEPT), set()
-        seen, held = [], 0
-        counts = (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-        def counted(parts):
-            """Shingles and how often they came; those that came once are dropped when memory asks for it."""
-            v = np.concatenate([counts[0], *parts])
-            c = np.concatenate([counts[1], np.ones(len(v) - len(counts[0]), np.int64)])
-            order = np.argsort(v, kind="stable")
-            v, c = v[order], c[order]
-            at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.empty(0, np.int64)
-            n = np.add.reduceat(c, at) if len(v) else c
-            return v[at][n > 1], n[n > 1]
-
+        hashes, names, repeated = WordHash(WORDS_KEPT), set(), Repeated()
         for batch in batches:
             rows = []
             for row_key, doc_id, text in arrow_rows([batch]):
                 s = _set_of(text, hashes)
                 name = class_of(s) if len(s) else 0
-                rows.append((row_key, doc_id, len(s), name, sketch(s) if len(s) else None, None, None))
+                rows.append((row_key, doc_id, len(s), name, sketch(s) if len(s) else None, None))
                 if len(s) and name not in names:  # exact copies near each other count once in a task
                     if len(names) >= NAMES_KEPT:
                         names.clear()
                     names.add(name)
-                    seen.append(s)
-                    held += len(s)
-            if held > 1_000_000:
-                counts, seen, held = counted(seen), [], 0
+                    repeated.add(s)
             yield from chunked(rows, both, 20_000)
-        v, c = counted(seen)
-        often = c >= FREQUENT_IN_TASK
-        yield from _columns(both, (None, None, None, None, None, v[often].view(np.int64), c[often]))
+            if sum(map(len, repeated.found)) > 1_000_000:
+                yield from _columns(both, (None, None, None, None, None, repeated.taken()))
+        yield from _columns(both, (None, None, None, None, None, repeated.taken()))
 
-    out = written(_texts(docs).mapInArrow(named, _SETS + ", shingle long, times long"), "sets")
-    return out.where("n is not null").select("row_key", "doc_id", "n", "name", "sketch"), out.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    out = written(_texts(docs).mapInArrow(named, _SETS + ", slot long"), "sets")
+    return out.where("n is not null").select("row_key", "doc_id", "n", "name", "sketch"), out.where("slot is not null").select("slot")
 
 
 def _columns(schema: pa.Schema, columns: tuple, size: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -289,45 +306,45 @@ def _columns(schema: pa.Schema, columns: tuple, size: int = 50_000) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.nulls(k, f.type) if x is None else pa.array(x[at : at + k], f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def frequent_shingles(counts: DataFrame) -> np.ndarray:
-    """The shingles of the greatest counts, FREQUENT_MOST at most, sorted: all from a count on that a histogram by eighths of
-    powers of two gives, so that no shingle of an equal eighth is taken without the others."""
-    often = counts.where(F.col("times") >= FREQUENT_LEAST).withColumn("step", F.floor(8 * F.log2("times")).cast("int"))
-    total, least = 0, None
-    for row in often.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # at most 8 x 63 rows
-        total += row["n"]
-        if total > FREQUENT_MOST:
-            break
-        least = row["step"]
-    if least is None:
-        return np.empty(0, np.uint64)
-    return np.sort(often.where(F.col("step") >= least).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))  # FREQUENT_MOST numbers at most
+def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """A map of `bits` bits (a power of two) in which those of `slot` are set."""
+    rows = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set")).toArrow()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["set"].to_numpy()
+    return out.view(np.uint64)
+
+
+def frequent_map(slots: DataFrame, most: int | None = None) -> np.ndarray:
+    """A map of the slots of shingles that came again in any task."""
+    bits = min(most or FREQUENT_BITS, 1 << max(12, (FREQUENT_KEY_BITS * slots.count() - 1).bit_length()))
+    return _bit_map(slots.select(F.pmod("slot", F.lit(bits)).alias("slot")), bits)
 
 
 def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The indexed part of a set: by hash, frequent shingles last."""
+    """The indexed part of a set: by hash, shingles whose bit is set in the map `frequent` last."""
     k = index_part(len(s))
     if not len(frequent):
         return s[:k]
-    at = np.searchsorted(frequent, s)
-    at[at == len(frequent)] = 0
-    hot = frequent[at] == s
+    slot = s & np.uint64(64 * len(frequent) - 1)
+    hot = (frequent[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
     return np.concatenate((s[~hot], s[hot]))[:k]
 
 
-ENTRY = np.dtype([("s", "<u8"), ("name", "<i8"), ("n", "<i4")])
+#: least: the lowest byte of the set's least hash.
+ENTRY = np.dtype([("s", "<u8"), ("name", "<i8"), ("n", "<i4"), ("least", "u1")])
 
 
-def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple]:
+def list_pairs(table: np.ndarray, short: int, most: int = LONG_LIST) -> Iterator[tuple]:
     """(a, b, weight) of the lists of an index part, in slices of PAIRS_AT_ONCE rows or a little more, added up within a slice.
 
     A list weighs 1 for each of its pairs, more if these sets may link with fewer than SHARED shingles: pairs that can link
-    reach SHARED over all lists, or a star joins both to one set.
+    reach SHARED over all lists, or a star joins both to one set. Lists of more than `short` sets give a star where half of
+    these have the same least hash, as near copies mostly do, or where they are more than `most`.
     """
     order = np.lexsort((table["name"], table["s"]))
-    s, names, sizes = (table[c][order] for c in ("s", "name", "n"))
+    s, names, sizes, least = (table[c][order] for c in ("s", "name", "n", "least"))
     new = np.concatenate(([True], (s[1:] != s[:-1]) | (names[1:] != names[:-1])))  # copies met in other tasks
-    s, names, sizes = s[new], names[new], sizes[new]
+    s, names, sizes, least = s[new], names[new], sizes[new], least[new]
     cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     lengths = np.diff(np.append(cuts, len(s)))
 
@@ -338,9 +355,13 @@ def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple]:
         at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
         return a[at], b[at], np.add.reduceat(weight, at) if len(at) else weight
 
+    star = lengths > max(short, most)
+    for x in np.flatnonzero((lengths > short) & ~star):
+        star[x] = 2 * np.bincount(least[cuts[x] : cuts[x] + lengths[x]]).max() >= lengths[x]
+
     def slices() -> Iterator[tuple]:
-        for k in range(2, short + 1):
-            at = cuts[lengths == k]
+        for k in np.unique(lengths[(lengths > 1) & ~star]).tolist():
+            at = cuts[(lengths == k) & ~star]
             i, j = np.triu_indices(k, 1)
             step = max(1, PAIRS_AT_ONCE // len(i))
             for x in range(0, len(at), step):
@@ -349,7 +370,7 @@ def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple]:
                 fit = (SHARE[0] * n <= SHARE[1] * m) & (SHARE[0] * m <= SHARE[1] * n)
                 weight = -(-SHARED // np.minimum(SHARED, least_overlap(n[fit].astype(np.int64), m[fit])))
                 yield names[rows[:, i]].ravel()[fit], names[rows[:, j]].ravel()[fit], weight
-        for x, k in zip(cuts[lengths > short].tolist(), lengths[lengths > short].tolist(), strict=True):
+        for x, k in zip(cuts[star].tolist(), lengths[star].tolist(), strict=True):
             yield np.full(k - 1, names[x]), names[x + 1 : x + k], np.full(k - 1, STAR)
 
     held: list[tuple] = []
@@ -365,11 +386,11 @@ def list_pairs(table: np.ndarray, short: int) -> Iterator[tuple]:
 
 
 def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> DataFrame:
-    """(a, b, star) of names whose index parts meet as often as linked sets' do, or in the star of a long list. Written."""
+    """(a, b, star) of names whose index parts meet as often as linked sets' do, or in the star of near copies. Written."""
     spark = docs.sparkSession
     parts = max(1, -(-entries // ENTRIES_A_TASK), min(spark.sparkContext.defaultParallelism, -(-entries // 100_000)))
-    shared = spark.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
-    short = SHORT_LIST
+    shared = spark.sparkContext.broadcast(frequent)  # at most FREQUENT_BITS bits
+    short, most = SHORT_LIST, LONG_LIST
     blob = pa.schema([("part", pa.int32()), ("entries", pa.binary())])
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +417,7 @@ def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> Data
                 names.add(name)
                 first = _ordered(s, hot)
                 rows = np.empty(len(first), ENTRY)
-                rows["s"], rows["name"], rows["n"] = first, name, len(s)
+                rows["s"], rows["name"], rows["n"], rows["least"] = first, name, len(s), int(s[0]) & 255
                 held.append(rows)
                 count += len(rows)
             if count > 1_000_000:
@@ -412,7 +433,7 @@ def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> Data
         for part, data in arrow_rows(batches):
             rows.setdefault(part, []).append(data)
         for part in sorted(rows):
-            for columns in list_pairs(np.frombuffer(b"".join(rows.pop(part)), ENTRY), short):
+            for columns in list_pairs(np.frombuffer(b"".join(rows.pop(part)), ENTRY), short, most):
                 yield from _columns(pair, columns)
 
     met_pairs = _texts(docs).mapInArrow(indexed, "part int, entries binary").repartition(parts, "part").mapInArrow(met, "a long, b long, weight long")
@@ -423,11 +444,7 @@ def candidate_pairs(docs: DataFrame, frequent: np.ndarray, entries: int) -> Data
 def _key_map(wanted: DataFrame, most: int = MOST_BITS) -> np.ndarray:
     """A bit for each remainder of a wanted row_key, by a power of two of bits; a wanted key is never missed, most others are."""
     bits = min(most, 1 << max(12, (KEY_BITS * wanted.count() - 1).bit_length()))
-    slot = wanted.select(F.pmod("row_key", F.lit(bits)).alias("slot"))
-    rows = slot.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set")).toArrow()  # most / 64 rows at most
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["at"].to_numpy()] = rows["set"].to_numpy()
-    return out.view(np.uint64)
+    return _bit_map(wanted.select(F.pmod("row_key", F.lit(bits)).alias("slot")), bits)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
@@ -515,10 +532,10 @@ def group_links(carried: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and row_key of every document."""
-    sets, counts = set_names(docs)
+    sets, repeated = set_names(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
     classes = written(sets.where("n > 0").groupBy("name").agg(first, F.first("n").alias("n")).select("name", "n", F.col("first.doc_id").alias("least"), F.col("first.row_key").alias("row_key")), "classes")
-    frequent = frequent_shingles(counts)
+    frequent = frequent_map(repeated)
     entries = int(classes.agg(F.sum(F.expr(f"n div 4 + {SHARED}"))).first()[0] or 0)
     candidates = candidate_pairs(docs, frequent, entries)
     pairs, near = (candidates.where(x).select("a", "b") for x in ("not star", "star"))

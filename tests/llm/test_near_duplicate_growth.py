@@ -51,3 +51,46 @@ def test_dropped_tables_are_gone(spark):
 def test_small_tables_are_joined_at_once(spark):
     left, right = spark.range(50).selectExpr("id % 3 as k", "id as v"), spark.range(3).selectExpr("id as k", "id as w")
     assert sorted(map(tuple, hot_join(left, right, "k", "left", few=100).collect())) == sorted(map(tuple, hot_join(left, right, "k", "left", 3).collect()))
+
+
+def test_long_lists_of_chance_meetings_make_no_group(spark):
+    texts = []
+    runs = [" ".join(f"q{r}{c}" for c in "abcde") for r in range(24)]  # each in all of 40 texts that share nothing else
+    for i in range(40):
+        texts.append(" ".join(f"{prose(7_000 + 40 * r + i, 12)} {run}" for r, run in enumerate(runs)))
+    base = prose(6_900, 120)
+    copies = [f"{base} copy{i}" for i in range(30)]
+    found = jaccard.candidate_pairs(documents(spark, texts + copies), np.empty(0, np.uint64), 20_000).collect()
+    names = {jaccard.class_of(jaccard._set_of(t, jaccard.WordHash())) for t in copies}
+    assert all({r.a, r.b} <= names for r in found if r.star)
+    assert {x for r in found if r.star for x in (r.a, r.b)} == names
+    for r in found:  # several runs may lie in the index parts of two texts: these are pairs, which sketches part
+        assert r.star or len({r.a, r.b} & names) in (0, 2)
+    docs = documents(spark, texts + copies)
+    assert len({r.component_id for r in jaccard.jaccard_components(docs).collect()}) == 41
+
+
+def test_form_of_a_long_list(spark):
+    table = np.zeros(30, jaccard.ENTRY)
+    table["s"], table["name"], table["n"], table["least"] = 5, np.arange(30), 100, np.arange(30)
+    pairs = lambda **most: [x for columns in jaccard.list_pairs(table, 24, **most) for x in zip(*map(np.ndarray.tolist, columns), strict=True)]
+    assert {(a, b) for a, b, _ in pairs()} == {(a, b) for b in range(30) for a in range(b)} and {w for _, _, w in pairs()} == {1}
+    assert pairs(most=29) == [(0, b, jaccard.STAR) for b in range(1, 30)]
+    table["least"][:15] = 9  # half of them
+    assert pairs() == [(0, b, jaccard.STAR) for b in range(1, 30)]
+
+
+def test_repeated_shingles_come_last(spark):
+    repeated, rng = jaccard.Repeated(), np.random.default_rng(3)
+    common, sets = np.sort(rng.integers(1 << 63, size=60, dtype=np.uint64)), []
+    for _ in range(5):
+        sets.append(np.unique(np.concatenate((common, rng.integers(1 << 63, size=300, dtype=np.uint64)))))
+        repeated.add(sets[-1])
+    slots = repeated.taken()
+    assert np.isin((common & np.uint64(jaccard.SEEN_BITS - 1)).astype(np.int64), slots).all() and not len(repeated.taken())
+    marks = jaccard.frequent_map(spark.createDataFrame([(int(x),) for x in slots], "slot long"))
+    for s in sets:
+        first = jaccard._ordered(s, marks)
+        assert len(first) == jaccard.index_part(len(s)) and not np.isin(first, common).any() and np.isin(first, s).all()
+    assert len(jaccard._ordered(common, marks)) == jaccard.index_part(60)
+    assert not jaccard.frequent_map(spark.createDataFrame([], "slot long")).any()
